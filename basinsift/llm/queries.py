@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basinsift.llm import simhash
+from basinsift.llm import packing, simhash, sketch, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprints": sketch.op1_fingerprints,
+        "op2_url_filter": url_filter.op2_url_filter,
+        "op3_packing": packing.op3_packing,
         "op7_simhash": simhash.op7_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": url_filter.OP2_SQL}
