@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basinsift.llm import packing, simhash, sketch, url_filter
+from basinsift.llm import ann, packing, simhash, sketch, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_fingerprints": sketch.op1_fingerprints,
         "op2_url_filter": url_filter.op2_url_filter,
         "op3_packing": packing.op3_packing,
+        "op4_nearest": ann.op4_nearest,
+        "op5_warc": warc.op5_warc,
         "op7_simhash": simhash.op7_simhash,
     }
 
