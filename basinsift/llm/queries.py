@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basinsift.llm import ann, packing, simhash, sketch, url_filter, warc
+from basinsift.llm import ann, packing, quality, simhash, sketch, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,7 +16,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": packing.op3_packing,
         "op4_nearest": ann.op4_nearest,
         "op5_warc": warc.op5_warc,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_simhash": simhash.op7_simhash,
+        "op9_quality": quality.op9_quality,
     }
 
 
