@@ -1,7 +1,7 @@
 """SimHash near-duplicate groups through a Gray-order hierarchical index.
 
-Fingerprints of distinct texts are dealt by a block of bits that two linked fingerprints must share
-(pigeonhole: ``threshold + 1`` blocks).  Inside a task the fingerprints lie in Gray-rank order; runs of
+Fingerprints of distinct texts are dealt by blocks of bits that two linked fingerprints must share
+(pigeonhole: of ``threshold + r`` blocks, ``r`` are equal).  Inside a task the fingerprints lie in Gray-rank order; runs of
 neighbours form nodes that keep only the bits on which all members agree (masked pattern), and nodes are
 grouped again up to a root.  A join of the tree with itself descends pair by pair: the differences of two
 masked patterns are a lower bound for all pairs beneath, so whole groups are pruned as soon as the
@@ -17,7 +17,7 @@ component has none; an empty table gives an empty result; other columns are igno
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ from basinsift.llm.common import lower_ascii, materialize, small_batches, table
 SEED = 42
 SHINGLE_WORDS = 3
 THRESHOLD = 3
+#: Bits for removing near copies from a corpus: one changed word moves up to six bits of a short text.
+NEAR_COPY_THRESHOLD = 6
 FANOUT = 8
 #: Fingerprints of one join group held in memory; larger groups are split into pairs of chunks.
 GROUP_CAP = 100_000
@@ -191,16 +193,20 @@ def local_stars(fps: np.ndarray, group: np.ndarray, threshold: int) -> tuple[np.
 def links(distinct: DataFrame, threshold: int = THRESHOLD, cap: int = GROUP_CAP) -> DataFrame:
     """``u, v``: links that span every component of fingerprints (column ``fp``) within ``threshold`` bits.
 
-    Every pair of linked fingerprints shares one of ``threshold + 1`` blocks of bits and so meets in that
-    block's group.  A group above ``cap`` is split into chunks; each pair of chunks is a group of its own.
+    Two linked fingerprints differ in at most ``threshold`` of ``threshold + r`` blocks, so they agree in
+    ``r`` of them and meet in the group of those blocks; ``r`` is chosen so that a group shares about 16
+    bits.  A group above ``cap`` is split into chunks; each pair of chunks is a group of its own.
     """
-    spark = distinct.sparkSession
-    blocks = threshold + 1
+    equal = 1 if threshold <= 3 else 2
+    blocks = threshold + equal
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
-    keys = [
-        F.struct(F.lit(k).alias("t"), F.shiftrightunsigned("fp", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)).alias("v"))
-        for k in range(blocks)
-    ]
+    parts = [F.shiftrightunsigned("fp", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)) for k in range(blocks)]
+    keys = []
+    for t, chosen in enumerate(combinations(range(blocks), equal)):
+        value = F.lit(0).cast("long")
+        for k in chosen:
+            value = F.shiftleft(value, edges[k + 1] - edges[k]).bitwiseOR(parts[k])
+        keys.append(F.struct(F.lit(t).alias("t"), value.alias("v")))
     dealt = distinct.select("fp", F.inline(F.array(*keys)))
     hot = dealt.groupBy("t", "v").count().filter(F.col("count") > cap).select("t", "v", F.ceil(F.col("count") / cap).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
@@ -273,7 +279,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = SH
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def deduplicate(docs: DataFrame, threshold: int = NEAR_COPY_THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose id stands for its group; of rows that repeat that id, one.  Rows without an id stay."""
     groups = near_duplicates(docs, threshold)
     keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
