@@ -36,7 +36,7 @@ SUBSTITUTED, KEPT, DROPPED, COLLAPSED, UNSPACED = 1.0, 6.0, 0.5, 0.5, 0.2
 TRAIN_DOCS = 8000
 PREFIXES = (4, 5, 6)
 #: Words and beginnings that the regression may use: those whose log-likelihood ratio is at least this.
-LEAST_RATIO = 15.0
+LEAST_RATIO = 11.0
 FEATURES = 5000
 PASSES = 60
 THRESHOLD = 0.5
