@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +70,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that is not taken (names compare without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_text_score(docs: DataFrame, name: str, scorer: Callable[[], Callable[[list[str | None]], Iterable[float]]]) -> DataFrame:
+    """Adds a score of each row's whole text.  ``scorer`` makes, once in each task, the function that scores a list of texts."""
+    small_batches(docs.sparkSession)
+    docs = docs.drop(name)
+    at = docs.columns.index("text")
+    schema = ", ".join("`{}` {}".format(f.name.replace("`", "``"), f.dataType.simpleString()) for f in docs.schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer()
+        for batch in batches:
+            found = pa.array(score(batch.column(at).to_pylist()), pa.float64())
+            yield pa.record_batch([*batch.columns, found], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, f"{schema}, `{name}` double")

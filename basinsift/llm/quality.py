@@ -12,14 +12,13 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinsift.llm.common import remainder, small_batches, table
+from basinsift.llm.common import remainder, small_batches, table, with_text_score
 from basinsift.llm.labelled import HELD_OUT_MODULUS, training_texts
 
 BUCKETS = 1 << 18
@@ -134,7 +133,8 @@ class SubwordClassifier:
                 self.output -= step * np.outer(p, hidden)
                 self.bias -= step * 0.1 * p
                 # The shares of a document sum to 1; their squares set how far one step moves its average.
-                self.vectors[bucket] = rows - (step / float(share @ share) * 0.5 * share)[:, None] * back
+                if len(bucket):
+                    self.vectors[bucket] = rows - (step / float(share @ share) * 0.5 * share)[:, None] * back
         return self
 
     def bucket_weights(self) -> tuple[np.ndarray, float]:
@@ -156,24 +156,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     return SubwordClassifier().fit(sample["text"].to_pylist(), sample["label"].to_pylist())
 
 
-def score(docs: DataFrame, model: SubwordClassifier) -> DataFrame:
-    """All columns of ``docs`` and ``score``, the probability of class 1."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def score(docs: DataFrame, model: SubwordClassifier, name: str = "score") -> DataFrame:
+    """``docs`` with ``name``, the probability of class 1; a column that has the name is replaced."""
     weight, intercept = (None, 0.0) if model.constant is not None else model.bucket_weights()
-    shared = spark.sparkContext.broadcast((weight, intercept, model.constant))
-    text_at = docs.columns.index("text")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            result = score_texts(batch.column(text_at).to_pylist(), *shared.value)
-            yield pa.record_batch([*batch.columns, pa.array(result)], [*batch.schema.names, "score"])
-
-    return docs.mapInArrow(run, f"{_ddl(docs)}, score double")
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    shared = docs.sparkSession.sparkContext.broadcast((weight, intercept, model.constant))
+    return with_text_score(docs, name, lambda: lambda texts: score_texts(texts, *shared.value))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,10 +22,10 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basinsift.llm.common import lower_ascii, materialize, small_batches, table
+from basinsift.llm.common import fresh, lower_ascii, materialize, small_batches, table
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -35,6 +35,8 @@ NEAR_COPY_THRESHOLD = 6
 FANOUT = 8
 #: Fingerprints of one join group held in memory; larger groups are split into pairs of chunks.
 GROUP_CAP = 100_000
+#: Ids that may be broadcast (8 bytes each).
+MAX_BROADCAST_IDS = 1_000_000
 #: Rows a task gathers before it joins them.
 BUFFER_ROWS = 400_000
 _PAIRS = 1 << 19
@@ -280,11 +282,21 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = SH
 
 
 def deduplicate(docs: DataFrame, threshold: int = NEAR_COPY_THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose id stands for its group; of rows that repeat that id, one.  Rows without an id stay."""
-    groups = near_duplicates(docs, threshold)
-    keep = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
-    return named.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """The rows of ``docs`` whose id stands for its group; of rows that repeat that id, the one with the least text.
+
+    Rows without an id stay.  The ids that go are broadcast while they are few, so that texts are not shuffled.
+    """
+    groups = near_duplicates(docs, threshold).filter("doc_id IS NOT NULL")
+    ids = materialize(groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")), "decided")
+    gone, repeated = ids.filter("NOT stays").select("doc_id"), ids.filter("stays AND n > 1").select("doc_id")
+    few = gone.count() <= MAX_BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    if repeated.isEmpty():
+        return kept
+    n = fresh(docs.columns, "n")
+    first = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*docs.columns))
+    ranked = kept.join(repeated, "doc_id", "left_semi").withColumn(n, F.row_number().over(first)).filter(F.col(n) == 1)
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(ranked.select(docs.columns))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

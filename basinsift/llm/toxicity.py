@@ -23,9 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinsift.llm.common import remainder, small_batches, table
+from basinsift.llm.common import remainder, small_batches, table, with_text_score
 from basinsift.llm.labelled import HELD_OUT_MODULUS, training_texts
-from basinsift.llm.quality import _ddl
 
 # The letters that a digit or symbol may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
@@ -269,26 +268,21 @@ def train(docs: DataFrame, labels: DataFrame, model: CharModel, label: str = "to
     return Lexicon().fit([np.frombuffer(b.as_buffer(), np.uint32) for b in got["bag"]], got["label"].to_pylist())
 
 
-def score(docs: DataFrame, model: CharModel, lexicon: Lexicon) -> DataFrame:
-    """All columns of ``docs`` and ``score``, the probability of class 1."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast((model, lexicon))
-    text_at = docs.columns.index("text")
+def score(docs: DataFrame, model: CharModel, lexicon: Lexicon, name: str = "score") -> DataFrame:
+    """``docs`` with ``name``, the probability of class 1; a column that has the name is replaced."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, lexicon))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*shared.value)
-        for batch in batches:
-            result = pa.array([scorer(t) for t in batch.column(text_at).to_pylist()], pa.float64())
-            yield pa.record_batch([*batch.columns, result], [*batch.schema.names, "score"])
+    def scorer():
+        one = Scorer(*shared.value)
+        return lambda texts: [one(t) for t in texts]
 
-    return docs.mapInArrow(run, f"{_ddl(docs)}, score double")
+    return with_text_score(docs, name, scorer)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
     """``docs`` with their toxicity score."""
     model = char_model(docs)
-    return score(docs, model, train(docs, labels, model))
+    return score(docs, model, train(docs, labels, model), name)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basinsift.llm import packing, quality, simhash, toxicity
-from basinsift.llm.common import materialize, table
+from basinsift.llm.common import fresh, materialize, table
 
 #: None: no stage can be expressed in SQL; the tests hold each against a plain version.
 ORACLE_SQL = None
@@ -19,14 +19,16 @@ ORACLE_SQL = None
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text scores as toxic go."""
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    return scored.filter(F.col("score") < toxicity.THRESHOLD).select(docs.columns)
+    name = fresh(docs.columns, "score")
+    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), name)
+    return scored.filter(F.col(name) < toxicity.THRESHOLD).select(docs.columns)
 
 
 def low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
-    return scored.filter(F.col("score") >= quality.THRESHOLD).select(docs.columns)
+    name = fresh(docs.columns, "score")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")), name)
+    return scored.filter(F.col(name) >= quality.THRESHOLD).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
