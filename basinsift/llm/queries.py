@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basinsift.llm import ann, lattice_lm, packing, quality, simhash, sketch, toxicity, url_filter, warc
+from basinsift.llm import ann, lattice_lm, packing, pieces, quality, simhash, sketch, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_warc": warc.op5_warc,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_simhash": simhash.op7_simhash,
+        "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_quality": quality.op9_quality,
         "op10_lattice_lm": lattice_lm.op10_lattice_lm,
     }
