@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basinsift.llm import ann, lattice_lm, packing, quality, simhash, sketch, toxicity, url_filter, warc
+from basinsift.llm import ann, lattice_lm, packing, pieces, quality, simhash, sketch, toxicity, url_filter, warc
 from basinsift.llm import queries as registered
 from basinsift.llm.common import fresh, remainder_py
 
@@ -42,7 +42,7 @@ def write(df, folder, name):
 
 
 def test_ten_queries_are_registered():
-    assert [int(k[2:].split("_")[0]) for k in registered.queries()] == [1, 2, 3, 4, 5, 6, 7, 9, 10] or len(registered.queries()) >= 9
+    assert sorted(int(k[2:].split("_")[0]) for k in registered.queries()) == list(range(1, 11))
 
 
 # -- 1 ---------------------------------------------------------------------------------------------------------------------------------
@@ -404,6 +404,42 @@ def test_simhash_of_odd_rows(spark, tmp_path):
     assert simhash.deduplicate(empty(spark)).count() == 0
 
 
+# -- 8 ---------------------------------------------------------------------------------------------------------------------------------
+
+
+def test_pieces_equal_the_library(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    vocabulary, library = pieces.Vocabulary(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    samples = texts(60, 8, 40) + ["  two  spaces ", "a\nb\tc", "漢字 ☃ naïve", "x" * 200, "don't stop", "1234 5,678.90", "", "▁mark", "ab " * 50]
+    words = sorted({w for t in samples for w in pieces.words_of(t)})
+    df = spark.createDataFrame([(w, 1) for w in words], "word string, n long")
+    got = {r["word"]: r["ids"] for r in pieces.encode_words(df, vocabulary).collect()}
+    for text in samples:
+        ids = [i for w in pieces.words_of(text) for i in got[w]]
+        assert ids == library.encode(text)
+    encoded = spark.createDataFrame([(k, library.encode(t)) for k, t in enumerate(samples)], "k int, ids array<int>")
+    assert {r["k"]: r["text"] for r in pieces.decode_ids(encoded, vocabulary, "k").collect()} == {k: library.decode(library.encode(t)) for k, t in enumerate(samples)}
+
+
+def test_piece_digests(spark, tmp_path):
+    import public_tokenizers
+
+    vocabulary = pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    for docs in (odd(spark), empty(spark)):
+        for frequent in (3, 1000):
+            rows = pieces.encode(docs, vocabulary, frequent).collect()
+            expected = []
+            for r in docs.collect():
+                words = pieces.words_of(r["text"])
+                ids = [[vocabulary.pieces[w][0]] if w == pieces.MARK else x for w, x in zip(words, vocabulary.encode_long(words), strict=True)]
+                checksum = sum(zlib.crc32(np.array(x, "<u4").tobytes()) * k for k, x in enumerate(ids, 1)) % ((1 << 61) - 1)
+                expected.append((r["doc_id"] or 0, len(ids), sum(map(len, ids)), checksum, True))
+            assert sorted((r["doc_id"] or 0, r["n_words"], r["n_pieces"], r["ids_checksum"], r["exact"]) for r in rows) == sorted(expected)
+
+
 # -- 10 --------------------------------------------------------------------------------------------------------------------------------
 
 
