@@ -414,11 +414,11 @@ def test_pieces_equal_the_library(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     vocabulary, library = pieces.Vocabulary(path), sentencepiece.SentencePieceProcessor(model_file=path)
     samples = texts(60, 8, 40) + ["  two  spaces ", "a\nb\tc", "漢字 ☃ naïve", "x" * 200, "don't stop", "1234 5,678.90", "", "▁mark", "ab " * 50]
-    words = sorted({w for t in samples for w in pieces.words_of(t)})
+    words = sorted({w for t in samples for w in vocabulary.words_of(t)})
     df = spark.createDataFrame([(w, 1) for w in words], "word string, n long")
     got = {r["word"]: r["ids"] for r in pieces.encode_words(df, vocabulary).collect()}
     for text in samples:
-        ids = [i for w in pieces.words_of(text) for i in got[w]]
+        ids = [i for w in vocabulary.words_of(text) for i in got[w]]
         assert ids == library.encode(text)
     encoded = spark.createDataFrame([(k, library.encode(t)) for k, t in enumerate(samples)], "k int, ids array<int>")
     assert {r["k"]: r["text"] for r in pieces.decode_ids(encoded, vocabulary, "k").collect()} == {k: library.decode(library.encode(t)) for k, t in enumerate(samples)}
@@ -433,7 +433,7 @@ def test_piece_digests(spark, tmp_path):
             rows = pieces.encode(docs, vocabulary, frequent).collect()
             expected = []
             for r in docs.collect():
-                words = pieces.words_of(r["text"])
+                words = vocabulary.words_of(r["text"])
                 ids = [[vocabulary.pieces[w][0]] if w == pieces.MARK else x for w, x in zip(words, vocabulary.encode_long(words), strict=True)]
                 checksum = sum(zlib.crc32(np.array(x, "<u4").tobytes()) * k for k, x in enumerate(ids, 1)) % ((1 << 61) - 1)
                 expected.append((r["doc_id"] or 0, len(ids), sum(map(len, ids)), checksum, True))
