@@ -286,7 +286,12 @@ def deduplicate(docs: DataFrame, threshold: int = NEAR_COPY_THRESHOLD) -> DataFr
 
     Rows without an id stay.  The ids that go are broadcast while they are few, so that texts are not shuffled.
     """
-    groups = near_duplicates(docs, threshold).filter("doc_id IS NOT NULL")
+    return keep_least(docs, near_duplicates(docs, threshold))
+
+
+def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``deduplicate`` keeps by ``doc_id, fp, component_id``."""
+    groups = groups.filter("doc_id IS NOT NULL")
     ids = materialize(groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")), "decided")
     gone, repeated = ids.filter("NOT stays").select("doc_id"), ids.filter("stays AND n > 1").select("doc_id")
     few = gone.count() <= MAX_BROADCAST_IDS

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinsift.llm import packing, quality, simhash, toxicity
+from basinsift.llm import near_copies, packing, quality, toxicity
 from basinsift.llm.common import fresh, materialize, table
 
 #: None: no stage can be expressed in SQL; the tests hold each against a plain version.
@@ -33,7 +33,7 @@ def low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
-    return simhash.deduplicate(docs)
+    return near_copies.deduplicate(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
