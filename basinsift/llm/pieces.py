@@ -12,7 +12,7 @@ library's, which the tests check.
 
 Explosion, join, grouping and fold run on columns of numpy inside Arrow batches of distinct words: as rows
 and higher-order functions of Spark they took nearly three times the CPU seconds that there are (README).
-Documents get the frequent words' codes by broadcast, others by a join.
+Documents get the frequent words' ids by broadcast; other words are encoded in the task that reads them.
 
 Words above ``LONG`` characters, whose borders do not fit the state, are encoded by the library in tasks.
 
@@ -29,7 +29,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +40,6 @@ _CHUNK = re.compile(" +[^ ]*")
 PIECE_CHARS, LONG = 16, 48
 FREQUENT = 150_000
 HELD_WORDS = 300_000
-#: Chunks whose figures a task keeps while it reads documents.
-HELD_CHUNKS = 100_000
 #: Words of one Arrow batch.
 WORD_BATCH_ROWS = 20_000
 
@@ -256,31 +253,6 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, "word string, n long, ids array<int>")
 
 
-def rate_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``word, n, size, single, crc, exact`` of distinct words: ids, ids of single bytes, checksum, whether they decode to the word."""
-    small_batches(words.sparkSession, WORD_BATCH_ROWS)
-    code, shared = _coder(words.sparkSession, vocabulary), words.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = shared.value.text
-        single = np.zeros(max(text) + 2, np.int64)
-        single[shared.value.bytes] = 1
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            words = batch.column(0).to_pylist()
-            ids, bounds = code(words)
-            singles = np.concatenate([[0], np.cumsum(single[ids])])
-            raw, each, edge = ids.astype("<u4").tobytes(), ids.tolist(), bounds.tolist()
-            spans = list(zip(edge, edge[1:], strict=False))
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in spans]
-            exact = [b"".join(map(text.__getitem__, each[a:b])) == w.encode("utf-8", "surrogatepass") for w, (a, b) in zip(words, spans, strict=True)]
-            columns = [pa.array(np.diff(bounds)), pa.array(np.diff(singles[bounds])), pa.array(crc, pa.int64()), pa.array(exact)]
-            yield pa.record_batch([batch.column(0), batch.column(1), *columns], ["word", "n", "size", "single", "crc", "exact"])
-
-    return words.select("word", "n").mapInArrow(run, "word string, n long, size long, single long, crc long, exact boolean")
-
-
 def decode_ids(encoded: DataFrame, vocabulary: Vocabulary, key: str) -> DataFrame:
     """``key, text``: ids joined with the piece table and put together in order."""
     spark = encoded.sparkSession
@@ -292,85 +264,84 @@ def decode_ids(encoded: DataFrame, vocabulary: Vocabulary, key: str) -> DataFram
     return parts.select(key, F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), "^ ", "").alias("text"))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, frequent: int = FREQUENT) -> DataFrame:
-    """A row for each row of ``docs``: ``doc_id, n_words, n_pieces, n_bytes, ids_checksum, exact``.
+def encode_documents(docs: DataFrame, vocabulary: Vocabulary, frequent: int = FREQUENT) -> DataFrame:
+    """A row for each row of ``docs``: ``doc_id, ids, word_ends, decoded, exact``.
 
-    ``n_bytes`` counts pieces that are single bytes, ``ids_checksum`` is the sum over words of the crc32 of
-    the word's ids (32-bit, little-endian) times the word's place from 1, modulo 2^61 - 1, and ``exact``
-    tells whether every word decodes to itself.
+    ``ids`` are the document's ids in order, ``word_ends`` says where each word's end, ``decoded`` is the
+    text that the ids give and ``exact`` whether that is the text, a mark read as a space.  A task holds at
+    most ``HELD_WORDS`` words beside those of a batch; the ``frequent`` ones are encoded once for all tasks.
     """
     spark = docs.sparkSession
-    rated = materialize(rate_words(distinct_words(docs, vocabulary), vocabulary), "rated")
-    shared, prime = spark.sparkContext.broadcast(vocabulary), (1 << 61) - 1
-    top = rated.orderBy(F.desc("n"), "word").limit(frequent).toArrow()  # bounded: ``frequent`` rows
-    known = spark.sparkContext.broadcast({w: x for w, *x in zip(*(top[c].to_pylist() for c in ("word", "size", "single", "crc", "exact")), strict=True)})
-    names = ["key", "word", "n", "places", "doc_id", "n_words", "n_pieces", "n_bytes", "checksum", "exact"]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.decimal128(38, 0), pa.bool_()]
-
-    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per document one row with the sums over its frequent words, under a key that is no word, and one for each other word."""
-        figures, task, row, cut = known.value, TaskContext.get().partitionId(), 0, shared.value.cut
-        seen: dict[str, tuple] = {}
-
-        def look(chunk: str) -> tuple:
-            """Words of a chunk; sums over its frequent words of pieces, bytes, crc, crc times place in the chunk; whether all are exact; rare words and their places in turn."""
-            n_words = n_pieces = n_bytes = checksum = inner = 0
-            exact, rare = True, None
-            for word in cut(chunk):
-                if word in figures:
-                    size, single, crc, fine = figures[word]
-                    n_pieces += size
-                    n_bytes += single
-                    checksum += crc
-                    inner += crc * n_words
-                    exact = exact and fine
-                else:
-                    rare = (*(rare or ()), word, n_words)
-                n_words += 1
-            if len(seen) > HELD_CHUNKS:
-                seen.clear()
-            seen[chunk] = found = (n_words, n_pieces, n_bytes, checksum, inner, exact, rare)
-            return found
+    code, shared = _coder(spark, vocabulary), spark.sparkContext.broadcast(vocabulary)
+    top = encode_words(distinct_words(docs, vocabulary).orderBy(F.desc("n"), "word").limit(frequent), vocabulary)
+    known = spark.sparkContext.broadcast(dict(zip(*(top.toArrow()[c].to_pylist() for c in ("word", "ids")), strict=True)))  # bounded: ``frequent`` rows
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, piece, often = shared.value.cut, shared.value.text, known.value
+        held: dict[str, list[int]] = {}
         for batch in batches:
-            docs, keys, rare_words, counts, sums = [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                key = task << 40 | row
-                row += 1
-                place, n_pieces, n_bytes, checksum = 1, 0, 0, 0
-                exact, count, places = True, {}, {}
-                for chunk in chunks_of(text.as_py()):
-                    n_words, size, single, crc, inner, fine, rare = seen.get(chunk) or look(chunk)
-                    n_pieces += size
-                    n_bytes += single
-                    checksum += crc * place + inner
-                    if not fine:
-                        exact = False
-                    if rare is not None:
-                        for word, k in zip(rare[::2], rare[1::2], strict=True):
-                            count[word] = count.get(word, 0) + 1
-                            places[word] = places.get(word, 0) + place + k
-                    place += n_words
-                docs.append((key, f" {key}", 0, 0, doc, place - 1, n_pieces, n_bytes, checksum % prime, exact))
-                keys += [key] * len(count)
-                rare_words += count
-                counts += count.values()
-                sums += places.values()
-            columns = list(zip(*docs, strict=True)) if docs else [[]] * len(types)
-            yield pa.record_batch([pa.array(c, pa.int64()).cast(t) if pa.types.is_decimal(t) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-            columns = [pa.array(c, t) for c, t in zip([keys, rare_words, counts, sums], types, strict=False)]
-            yield pa.record_batch([*columns, *(pa.nulls(len(keys), t) for t in types[4:])], names)
+            texts = batch.column(1).to_pylist()
+            words = [[w for chunk in chunks_of(t) for w in cut(chunk)] for t in texts]
+            if len(held) > HELD_WORDS:
+                held.clear()
+            new = list(dict.fromkeys(w for doc in words for w in doc if w not in often and w not in held))
+            if new:
+                ids, bounds = code(new)
+                flat, edge = ids.tolist(), bounds.tolist()
+                held.update((w, flat[a:b]) for w, a, b in zip(new, edge, edge[1:], strict=False))
+            rows, ends, decoded, exact = [], [], [], []
+            for text, doc in zip(texts, words, strict=True):
+                ids, at = [], []
+                for w in doc:
+                    ids += often[w] if w in often else held[w]
+                    at.append(len(ids))
+                back = decode_bytes(ids, piece)
+                rows.append(ids)
+                ends.append(at)
+                decoded.append(back.decode("utf-8", "replace"))
+                exact.append(back == (text or "").replace(MARK, " ").encode("utf-8", "surrogatepass"))
+            columns = [batch.column(0), pa.array(rows, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(decoded, pa.string()), pa.array(exact, pa.bool_())]
+            yield pa.record_batch(columns, ["doc_id", "ids", "word_ends", "decoded", "exact"])
 
     small_batches(spark)
-    schema = "key long, word string, n long, places long, doc_id long, n_words long, n_pieces long, n_bytes long, checksum decimal(38,0), exact boolean"
-    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(spread, schema)
-    rare = rated.select("word", "size", "single", "crc", F.col("exact").alias("fine"))
-    met = parts.join(rare, "word", "left").select(
-        "key", "doc_id", "n_words", F.coalesce("n_pieces", F.col("n") * F.col("size")).alias("n_pieces"), F.coalesce("n_bytes", F.col("n") * F.col("single")).alias("n_bytes"),
-        F.coalesce("checksum", F.col("places").cast("decimal(19,0)") * F.col("crc").cast("decimal(10,0)")).alias("checksum"), F.coalesce("exact", "fine").alias("exact"),
-    )
-    docs_out = met.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("n_pieces").alias("n_pieces"), F.sum("n_bytes").alias("n_bytes"), F.sum("checksum").alias("c"), F.min("exact").alias("exact"))
-    return docs_out.select("doc_id", "n_words", "n_pieces", "n_bytes", (F.col("c") % prime).cast("long").alias("ids_checksum"), "exact")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, "doc_id long, ids array<int>, word_ends array<int>, decoded string, exact boolean")
+
+
+def decode_bytes(ids: list[int], piece: dict[int, bytes]) -> bytes:
+    """The text of a document's ids in UTF-8, without the mark that encoding added before it; unknown ids give nothing."""
+    return b"".join([piece.get(i, b"") for i in ids]).replace(MARK.encode(), b" ")[1:]
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, frequent: int = FREQUENT) -> DataFrame:
+    """A row for each row of ``docs``: ``doc_id, n_words, n_pieces, n_bytes, ids_checksum, exact``, from the ids of the document.
+
+    ``n_bytes`` counts pieces that are single bytes, ``ids_checksum`` is the sum over words of the crc32 of
+    the word's ids (32-bit, little-endian) times the word's place from 1, modulo 2^61 - 1, and ``exact``
+    tells whether the ids decode to the document's text.
+    """
+    shared, prime = docs.sparkSession.sparkContext.broadcast(vocabulary), (1 << 61) - 1
+
+    def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single = np.zeros(max(shared.value.text) + 2, np.int64)
+        single[shared.value.bytes] = 1
+        for batch in batches:
+            n_words, n_pieces, n_bytes, checksum = [], [], [], []
+            for k in range(batch.num_rows):
+                ids = batch.column(1)[k].values.to_numpy(zero_copy_only=False).astype("<u4")
+                ends, raw, at, total = batch.column(2)[k].as_py(), ids.tobytes(), 0, 0
+                for place, end in enumerate(ends, 1):
+                    total += zlib.crc32(raw[4 * at : 4 * end]) * place
+                    at = end
+                n_words.append(len(ends))
+                n_pieces.append(len(ids))
+                n_bytes.append(int(single[ids].sum()))
+                checksum.append(total % prime)
+            columns = [pa.array(c, pa.int64()) for c in (n_words, n_pieces, n_bytes, checksum)]
+            yield pa.record_batch([batch.column(0), *columns, batch.column(3)], ["doc_id", "n_words", "n_pieces", "n_bytes", "ids_checksum", "exact"])
+
+    encoded = encode_documents(docs, vocabulary, frequent).select("doc_id", "ids", "word_ends", "exact")
+    return encoded.mapInArrow(digest, "doc_id long, n_words long, n_pieces long, n_bytes long, ids_checksum long, exact boolean")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
