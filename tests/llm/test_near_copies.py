@@ -6,6 +6,7 @@ import random
 from test_operators import DOC, shingles
 
 import corpus_pipeline
+from basinsift.llm import simhash
 
 
 def plain_kept(rows):
@@ -47,3 +48,10 @@ def test_no_edited_copy_stays(spark):
     rows = [*enumerate(texts), *((1000 + k, edited(rng, t, n)) for n in (1, 2, 4) for k, t in enumerate(texts))]
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOC), "").collect()
     assert sorted(r["doc_id"] for r in got) == list(range(40))
+
+
+def test_short_texts_are_no_copies_of_blank_ones(spark):
+    sparse = next(t for k in range(100_000) if simhash.fingerprint(t := f"one two three four{k}").bit_count() <= simhash.NEAR_COPY_THRESHOLD)
+    rows = [(1, ""), (2, sparse)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOC), "").collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 2]
