@@ -25,11 +25,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basinsift.llm import simhash
-from basinsift.llm.common import lower_ascii, materialize, small_batches
+from basinsift.llm.common import fresh, lower_ascii, materialize, small_batches
 
 SHINGLE_WORDS = 5
 #: Documents of the sample that tells common shingles, and how many of these are held.
@@ -181,7 +181,22 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each group of near copies, the one with the smallest id."""
-    least = materialize(groups(docs), "groups")
-    ids = least.filter("doc_id IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return simhash.keep_least(docs, least.join(ids, "root").select("doc_id", "fp", "component_id"))
+    """One row of each group of near copies: the one with the smallest id, and of rows that repeat that id in the group the one with the least key and text.
+
+    Rows without an id stay.  Texts are read again, and shuffled, only for ids that repeat.
+    """
+    found = materialize(groups(docs).filter("doc_id IS NOT NULL"), "groups")
+    best = found.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("best")).select("best.doc_id", "best.fp", F.lit(True).alias("stays"))
+    keys = found.groupBy("doc_id", "fp").agg(F.count("*").alias("c")).join(best, ["doc_id", "fp"], "left")
+    ids = materialize(keys.groupBy("doc_id").agg(F.sum("c").alias("c"), F.max(F.coalesce("stays", F.lit(False))).alias("stays")), "decided")
+    gone, repeated = ids.filter("NOT stays").select("doc_id"), ids.filter("stays AND c > 1").select("doc_id")
+    few = gone.count() <= simhash.MAX_BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    if repeated.isEmpty():
+        return kept
+    fp, n = fresh(docs.columns, "fp"), fresh(docs.columns, "n")
+    again = keyed(kept.join(repeated, "doc_id", "left_semi").select(docs.columns), fp)
+    again = again.join(best.select("doc_id", F.col("fp").alias(fp)), ["doc_id", fp], "left_semi")
+    first = Window.partitionBy("doc_id", fp).orderBy("text", F.xxhash64(*docs.columns))
+    ranked = again.withColumn(n, F.row_number().over(first)).filter(F.col(n) == 1).select(docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(ranked)

@@ -55,3 +55,9 @@ def test_short_texts_are_no_copies_of_blank_ones(spark):
     rows = [(1, ""), (2, sparse)]
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOC), "").collect()
     assert sorted(r["doc_id"] for r in got) == [1, 2]
+
+
+def test_unlike_texts_that_share_an_id_stay(spark):
+    rows = [(1, "one two three four five six"), (1, "seven eight nine ten eleven twelve"), (1, "one two three four five six"), (2, "Seven eight nine ten eleven twelve"), (3, "x y z")]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOC), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, rows[0][1]), (1, rows[1][1]), (3, "x y z")]
