@@ -1,25 +1,27 @@
-"""Near copies by exact set similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Removal of near copies: the Gray-order SimHash index finds families, five-word shingle sets decide.
 
-Candidates come from a prefix filter, which misses no pair: with the shingles of all texts in one order, two
-texts that are similar enough share one among the first fifth (and one) of their shingles.  The order puts
-shingles that a sample finds often last, so that passages which many texts hold bring few candidates; the
-sample bears on cost alone.  Candidates are verified on the whole sets, unless an upper
-bound of their common shingles rules them out before.
+Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+A fingerprint of 64 bits cannot tell such pairs (they differ in up to 18 bits), so the stage uses prints of
+256 bits: texts that are similar enough differ in at most ``THRESHOLD`` of them, unrelated ones in half.
+Prints are dealt by ``TABLES`` choices of ``KEY_BITS`` bits; those that agree in one of the choices meet in
+a task, whose Gray index links them.  The search by choices of bits is not exhaustive; the README gives the
+measured share of similar pairs whose documents end in one group.
 
-Large groups of near copies would bring pairs with the square of their size.  So each text is first verified
-against the least text of its min-hash groups (a number of pairs in proportion to the texts), and the prefix
-filter then looks only at pairs that these links do not yet join.
+The components of these links are families.  Only texts of families with several different sets are looked
+at again: the sets of a family meet in one task, or, if they are many, in one for each pair of chunks, and
+pairs within ``THRESHOLD`` bits are verified on the whole sets, nearest first.  Pairs that are joined
+already are passed over, so a family of light edits takes a number of verifications in proportion to its
+size, and no task emits more than links that span its groups.
 
 Defined results: words are cut at white space, A-Z count as a-z; a text of fewer words than a shingle is one
 shingle; null and empty texts are copies of each other and of nothing else; groups are the components of
-similar pairs.
+verified links; rows without an id take no part and stay.
 """
 
 from __future__ import annotations
 
 import gc
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,85 +33,85 @@ from pyspark.sql import functions as F
 from basinsift.llm import simhash
 from basinsift.llm.common import fresh, lower_ascii, materialize, small_batches
 
-SHINGLE_WORDS = 5
-#: Documents of the sample that tells common shingles, and how many of these are held.
-SAMPLE_DOCS, COMMON = 20_000, 500_000
-#: Odd factors of the min-hash groups.
-FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-#: Parts of the hash range whose shingles are counted; two sets share at most the sum of the lesser counts.
-PARTS = 256
-_PRINT = "place long, doc_id long, fp long, n int, counts array<int>, mins array<long>, prefix array<long>, shingles array<long>"
-
-
-def shingle_set(text: str | None) -> np.ndarray:
-    """Ascending distinct 64-bit hashes of the five-word shingles."""
-    words = lower_ascii((text or "").encode("utf-8", "surrogatepass")).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    span = min(SHINGLE_WORDS, len(words)) - 1
+#: Words of a shingle of the sets that decide, and of the prints that find candidates.
+SHINGLE_WORDS, PRINT_WORDS = 5, 3
+#: Words of 64 bits of a print, and bits in which near copies may differ.
+WORDS, THRESHOLD = 4, 56
+#: Choices of bits by which prints meet, and bits of each.
+TABLES, KEY_BITS = 32, 16
+#: Shingles and sets of one chunk of a family.
+CHUNK_SHINGLES, CHUNK_SETS = 1 << 20, 4096
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+_CODE = [f"c{k}" for k in range(WORDS)]
+_PRINT = "place long, doc_id long, fp long, n int, " + ", ".join(f"{c} long" for c in _CODE) + ", shingles array<int>"
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Every bit of the result depends on every bit of ``x``."""
+    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of the shingles of a text, in order, from the hashes of its words."""
+    span = min(width, len(words))
+    total = np.full(max(0, len(words) - span + 1) if span else 0, span, np.uint64)
+    for k in range(span):
+        total += words[k : len(words) - span + 1 + k] * _FACTORS[k]
+    return _mixed(total)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[s : e - 1]) for s, e in zip([0, *ends], ends[span:], strict=False)), np.uint64, len(words) - span))
-
-
-def set_key(shingles: np.ndarray) -> int:
-    """Equal for equal sets; signed 64-bit, zero for the empty set."""
-    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64)) if len(shingles) else 0
+    words = lower_ascii((text or "").encode("utf-8", "surrogatepass")).split()
+    return np.fromiter(map(digest, words), np.uint64, len(words))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def shingle_set(words: np.ndarray) -> np.ndarray:
+    """Ascending distinct hashes of the five-word shingles."""
+    return np.unique(shingle_hashes(words, SHINGLE_WORDS))
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several documents of a sample hold, ascending, and how many do."""
+def wide_print(words: np.ndarray) -> np.ndarray:
+    """SimHash of ``WORDS`` times 64 bits over the three-word shingles; zero without words."""
+    hashes = shingle_hashes(words, PRINT_WORDS)
+    counts = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(hashes), 255):
+        part = hashes[at : at + 255, None] + _FACTORS[:WORDS]
+        bits = np.unpackbits(_mixed(part).view(np.uint8), axis=1, bitorder="little")
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], ["s"])
 
-    share = max(1, docs.count() // SAMPLE_DOCS)
-    sample = _texts(docs).filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0)
-    counted = sample.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("c")).filter("c > 2")
-    found = counted.orderBy(F.desc("c"), "s").limit(COMMON).toArrow()  # bounded: ``COMMON`` rows
-    s, c = (found[k].to_numpy().astype(np.int64) for k in ("s", "c"))
-    s = s.view(np.uint64)
-    order = np.argsort(s)
-    return s[order], c[order]
+def set_key(shingles: np.ndarray) -> int:
+    """Equal for equal sets; signed 64-bit, zero for the empty set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64)) if len(shingles) else 0
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """Per row: a number of its own, id, key and size of the set, min-hashes, prefix in the common order, the set."""
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
-
-    def lists(parts: list[np.ndarray]) -> pa.Array:
-        bounds = np.cumsum([0, *map(len, parts)])
-        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64)))
+    """Per row with an id: a number of its own, id, key and size of the set, print, the set (the upper halves of its hashes)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (often, count), place = common.value, TaskContext.get().partitionId() << 40
+        place = TaskContext.get().partitionId() << 40
         for batch in batches:
-            sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-            mins, prefixes = [], []
-            for s in sets:
-                mins.append(np.array([(s * f).min() for f in FACTORS], np.uint64) if len(s) else np.empty(0, np.uint64))
-                weight = np.zeros(len(s), np.int64)
-                if len(often) and len(s):
-                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    weight = np.where(often[at] == s, count[at], 0)
-                first = len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) else 0
-                prefixes.append(s[np.argsort(weight, kind="stable")[:first]])
-            columns = [pa.array(np.arange(place, place + len(sets))), batch.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
+            if not batch.num_rows:
+                continue
+            words = [word_hashes(t) for t in batch.column(1).to_pylist()]
+            sets, codes = [shingle_set(w) for w in words], np.stack([wide_print(w) for w in words]).view(np.int64)
+            bounds = np.cumsum([0, *map(len, sets)])
+            flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            columns = [
+                pa.array(np.arange(place, place + len(sets))), batch.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array(np.diff(bounds), pa.int32()),
+                *(pa.array(codes[:, k]) for k in range(WORDS)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat)),
+            ]
             place += len(sets)
-            counts = [np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PARTS) for s in sets]
-            counts = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * PARTS, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *counts]), pa.int32()))
-            names = ["place", "doc_id", "fp", "n", "counts", "mins", "prefix", "shingles"]
-            yield pa.record_batch([*columns, counts, lists(mins), lists(prefixes), lists(sets)], names)
+            yield pa.record_batch(columns, ["place", "doc_id", "fp", "n", *_CODE, "shingles"])
 
-    return materialize(_texts(docs).mapInArrow(run, _PRINT), "shingles")
+    small_batches(docs.sparkSession)
+    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return materialize(texts.mapInArrow(run, _PRINT), "prints")
 
 
 def keyed(docs: DataFrame, name: str) -> DataFrame:
@@ -117,7 +119,7 @@ def keyed(docs: DataFrame, name: str) -> DataFrame:
 
     @F.pandas_udf("long")
     def key(texts):
-        return texts.map(lambda t: set_key(shingle_set(t)))
+        return texts.map(lambda t: set_key(shingle_set(word_hashes(t))))
 
     small_batches(docs.sparkSession)
     return docs.withColumn(name, key(F.col("text").cast("string")))
@@ -134,46 +136,123 @@ def release(*frames: DataFrame) -> None:
     frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
-def similar(pairs: DataFrame, distinct: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs ``u, v`` of keys whose sets are at least 0.8 similar."""
-    bound = distinct.join(sets.select("place", "counts"), "place").select("fp", "n", "counts")
-    both = pairs.join(bound.toDF("u", "nu", "a"), "u").join(bound.toDF("v", "nv", "b"), "v")
-    most = F.aggregate(F.zip_with("a", "b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    pairs = materialize(both.filter(9 * most >= 4 * (F.col("nu") + F.col("nv"))).select("u", "v"), "pairs")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    few = materialize(sets.select("place", "shingles").join(distinct.join(ends, "fp", "left_semi").select("fp", "place"), "place").select("fp", "shingles"), "sets")
-    both = pairs.join(few.toDF("u", "a"), "u").join(few.toDF("v", "b"), "v")
-    found = materialize(both.filter(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v"), "similar")
-    release(few)
-    return found
+def families(distinct: DataFrame) -> DataFrame:
+    """``fp, family``: sets whose prints are linked, directly or over others, to that of another set.
+
+    The first half of the tables takes neighbouring bits of a word, the other half a quarter from each word.
+    """
+    keys, quarter = [], KEY_BITS // WORDS
+    for t in range(TABLES):
+        at, value = t % (64 * WORDS // KEY_BITS), F.lit(0).cast("long")
+        if t < 64 * WORDS // KEY_BITS:
+            value = F.shiftrightunsigned(_CODE[at % WORDS], at // WORDS * KEY_BITS).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+        else:
+            for c in _CODE:
+                value = F.shiftleft(value, quarter).bitwiseOR(F.shiftrightunsigned(c, at * quarter).bitwiseAND(F.lit((1 << quarter) - 1)))
+        keys.append(F.struct(F.lit(t).alias("t"), value.alias("v")))
+    dealt = distinct.filter("n > 0").select("fp", *_CODE, F.inline(F.array(*keys)))
+    found = simhash.components(simhash.grouped_links(dealt, "fp", _CODE, THRESHOLD)).toDF("fp", "family")
+    return found.unionByName(found.select(F.col("family").alias("fp"), "family").distinct())
+
+
+def bitmaps(sizes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each set: those that its hashes fall on.  A bit that another set lacks stands for one hash, or more, that it lacks.
+
+    The rows hold about four bits for each hash of a set of mean size, and 32 MB at most in all.
+    """
+    bits = 1 << max(6, min(int(4 * sizes.mean()), (1 << 28) // len(sets)).bit_length())
+    marks = np.zeros((len(sets), bits // 64), np.uint64)
+    at = np.concatenate(sets).view(np.uint32) & np.uint32(bits - 1)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    np.bitwise_or.at(marks, (row, at >> np.uint32(6)), np.uint64(1) << (at & np.uint32(63)).astype(np.uint64))
+    return marks
+
+
+def similar_groups(codes: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], chunk: np.ndarray | None = None) -> np.ndarray:
+    """Per set the least position of its component of verified pairs; of two chunks, only pairs across count."""
+    label, held = np.arange(len(sets)), {}
+
+    def hashes(k: int) -> set[int]:
+        if k not in held:
+            held[k] = set(sets[k].tolist())
+        return held[k]
+
+    near = []
+    for at in range(0, len(sets), 256):
+        apart = np.zeros((len(codes[at : at + 256]), len(sets) - at), np.uint16)
+        for word in range(WORDS):
+            apart += np.bitwise_count(codes[at : at + 256, word, None] ^ codes[None, at:, word])
+        a, b = np.nonzero(apart <= THRESHOLD)
+        fits = (a < b) & (5 * sizes[a + at] >= 4 * sizes[b + at]) & (5 * sizes[b + at] >= 4 * sizes[a + at])
+        if chunk is not None:
+            fits &= chunk[a + at] != chunk[b + at]
+        a, b = a[fits], b[fits]
+        near.append(np.stack([apart[a, b], a + at, b + at]).astype(np.int32))
+    pairs = np.concatenate(near, axis=1)
+    pairs = pairs[1:, np.argsort(pairs[0], kind="stable")]
+    marks = bitmaps(sizes, sets)
+    step = 512
+    while pairs.shape[1]:
+        pairs = pairs[:, label[pairs[0]] != label[pairs[1]]]
+        a, b = some = pairs[:, :step]
+        most = np.minimum(sizes[a] - np.bitwise_count(marks[a] & ~marks[b]).sum(axis=1), sizes[b] - np.bitwise_count(marks[b] & ~marks[a]).sum(axis=1))
+        for a, b in some[:, 9 * most >= 4 * (sizes[a] + sizes[b])].T.tolist():
+            if label[a] != label[b] and 9 * len(hashes(a) & hashes(b)) >= 4 * (len(hashes(a)) + len(hashes(b))):
+                label[label == max(label[a], label[b])] = min(label[a], label[b])
+        pairs, step = pairs[:, step:], min(2 * step, 1 << 15)
+    return label
 
 
 def links(distinct: DataFrame, sets: DataFrame) -> DataFrame:
-    """``u, v``: similar pairs that span every component.  ``distinct`` has ``fp, place, n``, one row for each set."""
-    own = materialize(distinct.filter("n > 0").join(sets.select("place", "mins", "prefix"), "place"), "own")
-    dealt = own.select("fp", "n", F.posexplode("mins").alias("k", "m"))
-    hubs = dealt.groupBy("k", "m").agg(F.min(F.struct("fp", "n")).alias("hub"), F.count("*").alias("c")).filter("c > 1")
-    stars = dealt.join(hubs, ["k", "m"]).filter("fp <> hub.fp AND 5 * n >= 4 * hub.n AND 5 * hub.n >= 4 * n")
-    stars = materialize(stars.select(F.col("fp").alias("u"), F.col("hub.fp").alias("v")).distinct(), "stars")
-    first = similar(stars, distinct, sets)
-    joined = simhash.components(first).toDF("fp", "label")
-    named = own.join(joined, "fp", "left").select("fp", "n", F.coalesce("label", "fp").alias("label"), F.posexplode("prefix").alias("i", "s"))
-    named = materialize(named, "prefixes")
-    release(own)
-    live = materialize(named.groupBy("s").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("s"), "live")
-    met = materialize(named.join(live, "s"), "met")
-    release(named, live)
-    a, b = met.toDF("s", "u", "nu", "lu", "iu"), met.toDF("s", "v", "nv", "lv", "iv")
-    fits = "lu < lv AND 5 * nu >= 4 * nv AND 5 * nv >= 4 * nu AND 9 * least(nu - iu, nv - iv) >= 4 * (nu + nv)"
-    rest = materialize(a.join(b, "s").filter(fits).select("u", "v").distinct().join(stars, ["u", "v"], "left_anti").join(stars.toDF("v", "u"), ["u", "v"], "left_anti"), "rest")
-    release(met)
-    return first.unionByName(similar(rest, distinct, sets))
+    """``u, v``: verified links that span every group of near copies.  ``distinct`` has ``fp, place, n`` and the print, one row for each set."""
+    members = materialize(distinct.join(families(distinct), "fp").select("fp", "family", "place", "n", *_CODE), "members")
+    total = members.groupBy("family").agg(F.sum(F.col("n").cast("long")).alias("total"), F.count("*").alias("c"))
+    many = total.select("family", F.ceil(F.greatest(F.col("total") / CHUNK_SHINGLES, F.col("c") / CHUNK_SETS)).cast("int").alias("chunks")).filter("chunks > 1")
+    chunk = F.expr("pmod(xxhash64(fp), chunks)").cast("int")
+    pairs = F.expr("transform(sequence(0, chunks - 1), x -> struct(least(x, chunk) AS i, greatest(x, chunk) AS j))")
+    dealt = (
+        members.join(many, "family", "left")
+        .withColumn("chunk", F.coalesce(chunk, F.lit(0)))
+        .withColumn("p", F.when(F.col("chunks").isNull(), F.expr("array(struct(0 AS i, 0 AS j))")).otherwise(pairs))
+        .join(sets.select("place", "shingles"), "place")
+        .select("fp", *_CODE, "shingles", "chunk", "family", F.inline("p"))
+        .repartition("family", "i", "j")
+        .sortWithinPartitions("family", "i", "j")
+    )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(held: list[tuple]) -> pa.RecordBatch:
+            rows, group = np.concatenate([h[0] for h in held]), [s for h in held for s in h[1]]
+            sizes = np.fromiter(map(len, group), np.int64, len(group))
+            across = rows[0, -2] != rows[0, -1]
+            label = similar_groups(np.ascontiguousarray(rows[:, 1 : 1 + WORDS]).view(np.uint64), sizes, group, rows[:, 1 + WORDS] if across else None)
+            member = np.flatnonzero(label != np.arange(len(label)))
+            return pa.record_batch([pa.array(rows[member, 0]), pa.array(rows[label[member], 0])], ["u", "v"])
+
+        held: list[tuple] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            numbers = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("fp", *_CODE, "chunk", "family", "i", "j")], axis=1)
+            lists = batch.column("shingles")
+            flat, edge = lists.flatten().to_numpy(), np.cumsum([0, *lists.value_lengths().to_pylist()])
+            cuts = [0, *(np.flatnonzero((numbers[1:, -3:] != numbers[:-1, -3:]).any(axis=1)) + 1).tolist(), len(numbers)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and (held[-1][0][0, -3:] != numbers[a, -3:]).any():
+                    yield flush(held)
+                    held = []
+                held.append((numbers[a:b], [flat[edge[k] : edge[k + 1]] for k in range(a, b)]))
+        if held:
+            yield flush(held)
+
+    small_batches(distinct.sparkSession)
+    return materialize(dealt.mapInArrow(run, "u long, v long"), "similar")
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp, root`` of every row: the key of its set and that of its component."""
+    """``doc_id, fp, root`` of every row with an id: the key of its set and that of its component."""
     sets = prints(docs)
-    distinct = materialize(sets.groupBy("fp").agg(F.min("place").alias("place"), F.max("n").alias("n")), "distinct")
+    distinct = materialize(sets.groupBy("fp").agg(F.min_by(F.struct("place", "n", *_CODE), "place").alias("least")).select("fp", "least.*"), "distinct")
     rows, found = materialize(sets.select("doc_id", "fp"), "rows"), links(distinct, sets)
     release(sets)
     roots = simhash.components(found).toDF("fp", "root")
@@ -185,7 +264,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Rows without an id stay.  Texts are read again, and shuffled, only for ids that repeat.
     """
-    found = materialize(groups(docs).filter("doc_id IS NOT NULL"), "groups")
+    found = materialize(groups(docs), "groups")
     best = found.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("best")).select("best.doc_id", "best.fp", F.lit(True).alias("stays"))
     keys = found.groupBy("doc_id", "fp").agg(F.count("*").alias("c")).join(best, ["doc_id", "fp"], "left")
     ids = materialize(keys.groupBy("doc_id").agg(F.sum("c").alias("c"), F.max(F.coalesce("stays", F.lit(False))).alias("stays")), "decided")

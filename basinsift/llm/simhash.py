@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basinsift.llm.common import fresh, lower_ascii, materialize, small_batches, table
+from basinsift.llm.common import fresh, lower_ascii, materialize, partitions, small_batches, table
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -73,22 +73,28 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS, seed: int = SEED)
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
-    """Position of each 64-bit code in the reflected Gray sequence."""
+    """Position of each 64-bit code in the reflected Gray sequence; of wider codes, one word in each column, the words of the position."""
     rank = codes.copy()
     for shift in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(shift)
+    if codes.ndim > 1:
+        odd = (np.bitwise_count(codes) & 1).astype(bool)
+        before = np.logical_xor.accumulate(odd, axis=1)[:, :-1]
+        rank[:, 1:] ^= np.where(before, ~np.uint64(0), np.uint64(0))
     return rank
 
 
 class GrayIndex:
     """Hierarchy of masked bit patterns over codes in Gray order, within groups.
 
-    ``group`` separates codes that must not be compared; it is part of the sort order, so a node covers
-    an interval of groups and two nodes with disjoint intervals are pruned at once.
+    ``codes`` holds 64-bit words, in several columns for wider codes.  ``group`` separates codes that must
+    not be compared; it is part of the sort order, so a node covers an interval of groups and two nodes with
+    disjoint intervals are pruned at once.
     """
 
     def __init__(self, codes: np.ndarray, group: np.ndarray, fanout: int = FANOUT):
-        order = np.lexsort((gray_rank(codes), group))
+        codes = codes.reshape(len(codes), -1)
+        order = np.lexsort((*gray_rank(codes).T[::-1], group))
         self.order, self.fanout = order, fanout
         ones, zeros = codes[order], ~codes[order]
         low = high = group[order]
@@ -100,10 +106,19 @@ class GrayIndex:
             self.levels.append((ones, zeros, low, high))
 
     def near(self, level: int, a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
-        """Which node pairs may hold codes at most ``threshold`` bits apart: bits surely 1 on one side and 0 on the other count."""
+        """Which node pairs may hold codes at most ``threshold`` bits apart: bits surely 1 on one side and 0 on the other add up, word by word."""
         ones, zeros, low, high = self.levels[level]
-        sure = (ones[a] & zeros[b]) | (zeros[a] & ones[b])
-        return (np.bitwise_count(sure) <= threshold) & (low[a] <= high[b]) & (low[b] <= high[a])
+        keep = (low[a] <= high[b]) & (low[b] <= high[a])
+        left = np.flatnonzero(keep)
+        total = np.zeros(len(left), np.int64)
+        for word in range(ones.shape[1]):
+            x, y = a[left], b[left]
+            total += np.bitwise_count((ones[x, word] & zeros[y, word]) | (zeros[x, word] & ones[y, word]))
+            fits = total <= threshold
+            left, total = left[fits], total[fits]
+        keep[:] = False
+        keep[left] = True
+        return keep
 
     def components(self, threshold: int) -> np.ndarray:
         """Label of each code (in input order): the least sorted position of its component."""
@@ -180,16 +195,15 @@ class GrayIndex:
         return True
 
 
-def local_stars(fps: np.ndarray, group: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning stars (member, representative) of the components within each group."""
-    label = GrayIndex(fps, group).components(threshold)
+def local_stars(nodes: np.ndarray, codes: np.ndarray, group: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning stars (member, representative) of the components within each group; ``nodes`` are the signed names of the codes."""
+    label = GrayIndex(codes, group).components(threshold)
     uniq, inverse = np.unique(label, return_inverse=True)
     rep = np.full(len(uniq), np.iinfo(np.int64).max)
-    signed = fps.view(np.int64)
-    np.minimum.at(rep, inverse, signed)
+    np.minimum.at(rep, inverse, nodes)
     rep = rep[inverse]
-    keep = rep != signed
-    return signed[keep], rep[keep]
+    keep = rep != nodes
+    return nodes[keep], rep[keep]
 
 
 def links(distinct: DataFrame, threshold: int = THRESHOLD, cap: int = GROUP_CAP) -> DataFrame:
@@ -197,7 +211,7 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD, cap: int = GROUP_CAP)
 
     Two linked fingerprints differ in at most ``threshold`` of ``threshold + r`` blocks, so they agree in
     ``r`` of them and meet in the group of those blocks; ``r`` is chosen so that a group shares about 16
-    bits.  A group above ``cap`` is split into chunks; each pair of chunks is a group of its own.
+    bits.
     """
     equal = 1 if threshold <= 3 else 2
     blocks = threshold + equal
@@ -209,24 +223,34 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD, cap: int = GROUP_CAP)
         for k in chosen:
             value = F.shiftleft(value, edges[k + 1] - edges[k]).bitwiseOR(parts[k])
         keys.append(F.struct(F.lit(t).alias("t"), value.alias("v")))
-    dealt = distinct.select("fp", F.inline(F.array(*keys)))
+    return grouped_links(distinct.select("fp", F.inline(F.array(*keys))), "fp", [], threshold, cap)
+
+
+def grouped_links(dealt: DataFrame, node: str, words: list[str], threshold: int, cap: int = GROUP_CAP) -> DataFrame:
+    """``u, v``: links of nodes within ``threshold`` bits that meet in a group ``t, v``, by a Gray index in each task.
+
+    The code of a node is in the columns ``words``, or is the node itself where there are none.  A group
+    above ``cap`` is split into chunks; each pair of chunks is a group of its own.
+    """
     hot = dealt.groupBy("t", "v").count().filter(F.col("count") > cap).select("t", "v", F.ceil(F.col("count") / cap).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    chunk = F.pmod(F.xxhash64(node), F.col("chunks")).cast("int")
     pairs = F.expr("transform(sequence(0, chunks - 1), c -> struct(least(c, chunk) AS i, greatest(c, chunk) AS j))")
     dealt = (
         dealt.join(hot, ["t", "v"], "left")
         .withColumn("chunk", chunk)
         .withColumn("p", F.when(F.col("chunks").isNull(), F.expr("array(struct(0 AS i, 0 AS j))")).otherwise(pairs))
-        .select("fp", "t", "v", F.inline("p"))
+        .select(node, *words, "t", "v", F.inline("p"))
         .repartition(F.col("t"), F.col("v"), F.col("i"), F.col("j"))
         .sortWithinPartitions("t", "v", "i", "j")
     )
+    first = 1 + len(words)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list[np.ndarray]) -> pa.RecordBatch:
             rows = np.concatenate(held, axis=1)
-            new = np.r_[False, (rows[1:, 1:] != rows[1:, :-1]).any(axis=0)]
-            u, v = local_stars(rows[0].copy().view(np.uint64), np.cumsum(new), threshold)
+            new = np.r_[False, (rows[first:, 1:] != rows[first:, :-1]).any(axis=0)]
+            codes = np.ascontiguousarray(rows[1:first].T if words else rows[:1].T).view(np.uint64)
+            u, v = local_stars(rows[0], codes, np.cumsum(new), threshold)
             return pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
 
         held: list[np.ndarray] = []
@@ -237,8 +261,8 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD, cap: int = GROUP_CAP)
             if sum(x.shape[1] for x in held) >= BUFFER_ROWS:
                 rows = np.concatenate(held, axis=1)
                 cut = rows.shape[1]
-                while cut and (rows[1:, cut - 1] == rows[1:, -1]).all():
-                    step = (rows[1:, :cut] != rows[1:, -1:]).any(axis=0)
+                while cut and (rows[first:, cut - 1] == rows[first:, -1]).all():
+                    step = (rows[first:, :cut] != rows[first:, -1:]).any(axis=0)
                     cut = int(np.nonzero(step)[0][-1]) + 1 if step.any() else 0
                 if cut:
                     yield flush([rows[:, :cut]])
@@ -249,19 +273,38 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD, cap: int = GROUP_CAP)
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def spread_join(rows: DataFrame, keys: DataFrame, on: str, weight: str, total: int) -> DataFrame:
+    """``rows`` joined with ``keys`` (one row for each key, ``weight`` being its number of rows) so that no key holds up a task.
+
+    Keys with more than a fourth of a partition's share of the ``total`` rows, of which there are at most
+    four times as many as partitions, are broadcast; the others are dealt by the key.
+    """
+    share = total // (4 * partitions(rows.sparkSession)) + 1
+    hot, cold = keys.filter(F.col(weight) > share).drop(weight), keys.filter(F.col(weight) <= share).drop(weight)
+    hot = F.broadcast(hot)
+    return rows.join(hot, on).unionByName(rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on))
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """``node, root``: connected components of ``u, v`` by alternating large-star and small-star rounds."""
+    """``node, root``: connected components of ``u, v`` by alternating large-star and small-star rounds.
+
+    Each round's state is written to the shared folder; centres of large stars are joined by broadcast.
+    """
+    def state() -> tuple:
+        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     edges = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    mark = None
+    mark = state()
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
+        large = spread_join(both, least, "u", "c", 2 * mark[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.filter("u <> v").distinct(), "large")
+        # The greater end of a link has few links after a large star: one for each centre it met.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.inline(F.expr("array(struct(v AS u, m AS v), struct(u AS u, m AS v))")))
         edges = materialize(small.filter("u <> v").distinct(), "small")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = state()
         if now == mark:
             break
         mark = now
@@ -273,12 +316,12 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
     """``doc_id, fp, component_id`` of every row: the smallest id reachable over links of ``threshold`` bits or fewer."""
     prints = materialize(fingerprints(docs, width, seed), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")), "distinct")
     roots = components(links(distinct.select("fp"), threshold))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = materialize(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "members")
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    named = materialize(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
+    least = materialize(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "least")
+    of = materialize(spread_join(named, least, "root", "n", named.count()).select("fp", "component_id", "c"), "members")
+    return spread_join(prints, of, "fp", "c", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, threshold: int = NEAR_COPY_THRESHOLD) -> DataFrame:
