@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basinsift.llm.common import materialize, table
+from basinsift.llm.common import least_within, materialize, table
 
 NEIGHBOURS = 10
 TREES = 12
@@ -167,7 +167,7 @@ def search(
     # The k + 1 smallest ids of each distinct vector: one more than needed, for the query's own.
     ranked = rows.distinct().withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("n") <= k + 1)
     groups = materialize(ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("gid"), "ids", "v"), "vectors")
-    drawn = groups.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).toArrow()["v"].combine_chunks()
+    drawn = least_within(groups.select("v"), F.xxhash64("v"), (F.lit(1), sample)).toArrow()["v"].combine_chunks()  # bounded by ``sample``
     if not len(drawn):
         return empty
     lengths = np.diff(drawn.offsets.to_numpy())

@@ -7,12 +7,14 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch that carries texts; keeps a Python worker's memory small with long documents.
-TEXT_BATCH_ROWS = 256
+#: Bytes of one Arrow batch, and of the texts of one portion of it; they keep a Python worker's memory small with long documents.
+BATCH_BYTES, PORTION_BYTES = 8 << 20, 4 << 20
 
 _LOWER = bytes(range(256)).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
 
@@ -23,11 +25,13 @@ def lower_ascii(data: bytes) -> bytes:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one where unset, as in tests."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); where unset, on a local master, a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
         where = tempfile.mkdtemp(prefix="basinsift-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -50,9 +54,56 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Bounds the Arrow batches that carry whole texts to Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the session's Arrow batches, unless a smaller bound is set; results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if not (now and now.isdigit() and int(now) <= BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def portions(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with some ``PORTION_BYTES`` of texts each; the last text of a slice may exceed that."""
+    column = batch.column(text)
+    sizes = np.cumsum([0, *pc.fill_null(pc.binary_length(column), 0).to_pylist()])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + PORTION_BYTES, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def least_within(df: DataFrame, hashed: Column, *bounds: tuple[Column, int]) -> DataFrame:
+    """All rows, or those with the least of a 64-bit hash, so that the sum of each column stays within its bound.
+
+    The sums of 4096 equal parts of the range that should hold twice as much come to the driver; no task
+    sees more than its share of rows.
+    """
+    totals = df.agg(*(F.sum(c) for c, _ in bounds)).first()
+    share = min((most / (t or 1) for t, (_, most) in zip(totals, bounds, strict=True)), default=1)
+    if share >= 1:
+        return df
+    part = F.floor(F.shiftrightunsigned(hashed, 11) / F.lit(2.0**53 * min(1, 2 * share)) * 4096)
+    sums = df.filter(part < 4096).groupBy(part.alias("part")).agg(*(F.sum(c).alias(f"s{k}") for k, (c, _) in enumerate(bounds)))
+    held, cut = [0] * len(bounds), 4096
+    for p, *more in sorted(sums.collect()):
+        held = [a + (b or 0) for a, b in zip(held, more, strict=True)]
+        if any(h > most for h, (_, most) in zip(held, bounds, strict=True)):
+            cut = p
+            break
+    return df.filter(part < cut)
+
+
+def greatest_within(df: DataFrame, count: str, rows: int) -> DataFrame:
+    """Rows with the greatest counts, ``rows`` at most; the bounds tried are an eighth of a power of two apart."""
+    step = F.floor(F.log2(F.col(count)) * 8).cast("int")
+    total, cut = 0, None
+    for part, n in sorted(df.groupBy(step.alias("part")).agg(F.count("*")).collect(), reverse=True):  # some 500 rows at most
+        total += n
+        if total > rows:
+            break
+        cut = part
+    return df.filter(step >= cut) if cut is not None else df.limit(0)
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:
@@ -89,7 +140,7 @@ def with_text_score(docs: DataFrame, name: str, scorer: Callable[[], Callable[[l
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
-        for batch in batches:
+        for batch in (p for b in batches for p in portions(b, at)):
             found = pa.array(score(batch.column(at).to_pylist()), pa.float64())
             yield pa.record_batch([*batch.columns, found], [*batch.schema.names, name])
 

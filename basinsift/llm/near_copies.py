@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basinsift.llm import simhash
-from basinsift.llm.common import fresh, lower_ascii, materialize, small_batches
+from basinsift.llm.common import fresh, lower_ascii, materialize, portions, small_batches
 
 #: Words of a shingle of the sets that decide, and of the prints that find candidates.
 SHINGLE_WORDS, PRINT_WORDS = 5, 3
@@ -95,9 +95,7 @@ def prints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (p for b in batches for p in portions(b)):
             words = [word_hashes(t) for t in batch.column(1).to_pylist()]
             sets, codes = [shingle_set(w) for w in words], np.stack([wide_print(w) for w in words]).view(np.int64)
             bounds = np.cumsum([0, *map(len, sets)])

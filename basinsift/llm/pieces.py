@@ -12,9 +12,11 @@ library's, which the tests check.
 
 Explosion, join, grouping and fold run on columns of numpy inside Arrow batches of distinct words: as rows
 and higher-order functions of Spark they took nearly three times the CPU seconds that there are (README).
-Documents get the frequent words' ids by broadcast; other words are encoded in the task that reads them.
+The task that reads a document encodes the words that it has not met before, so texts are read once and
+nothing is shuffled.
 
-Words above ``LONG`` characters, whose borders do not fit the state, are encoded by the library in tasks.
+Words above ``LONG`` characters, whose borders do not fit the state, go through the same merges one at a
+time, the next of them from a heap.
 
 Defined results: null or empty text has no piece; repeated rows are encoded each; an empty table gives an
 empty result; other columns are ignored; unknown ids decode to nothing.
@@ -22,26 +24,24 @@ empty result; other columns are ignored; unknown ids decode to nothing.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinsift.llm.common import materialize, small_batches, table
+from basinsift.llm.common import portions, small_batches, table
 
 MARK = "▁"
 _CHUNK = re.compile(" +[^ ]*")
 #: Longest piece in characters that is looked up, and the longest word that is folded over the lattice.
 PIECE_CHARS, LONG = 16, 48
-FREQUENT = 150_000
-HELD_WORDS = 300_000
-#: Words of one Arrow batch.
-WORD_BATCH_ROWS = 20_000
+#: Distinct chunks that a task holds.
+HELD_CHUNKS = 500_000
 
 
 class Vocabulary:
@@ -71,11 +71,32 @@ class Vocabulary:
         return sentencepiece.SentencePieceProcessor(model_file=path)
 
     def encode_long(self, words: list[str]) -> list[list[int]]:
-        """By the library.  A part without begin mark goes behind a line break, which is in no piece, and the two ids before it are left out."""
-        if not words:
-            return []
-        found = self._library(self.path).encode([(w[1:] if w[0] == MARK else "\n" + w).replace(MARK, " ") for w in words], num_threads=1)
-        return [ids if w[0] == MARK else ids[2:] for w, ids in zip(words, found, strict=True)]
+        """Words of any length, one at a time: the same merges, the next of them from a heap."""
+        return [self._merged(w) for w in words]
+
+    def _merged(self, word: str) -> list[int]:
+        ends, starts = list(range(1, len(word) + 1)), list(range(len(word)))  # of the piece that begins, or ends, at a place
+        heap: list[tuple[float, int, int, int]] = []
+
+        def meet(start: int, middle: int) -> None:
+            if 0 <= start and middle < len(word) and (found := self.pieces.get(word[start : ends[middle]])):
+                heapq.heappush(heap, (-found[1], start, middle, ends[middle]))
+
+        for k in range(len(word) - 1):
+            meet(k, k + 1)
+        while heap:
+            _, start, middle, end = heapq.heappop(heap)
+            if ends[start] == middle and ends[middle] == end and starts[end - 1] == middle:
+                ends[start], starts[end - 1], ends[middle] = end, start, -1
+                meet(start, end)
+                if start:
+                    meet(starts[start - 1], start)
+        ids, at = [], 0
+        while at < len(word):
+            found = self.pieces.get(word[at : ends[at]])
+            ids += [found[0]] if found else [self.bytes[b] for b in word[at].encode("utf-8", "surrogatepass")]
+            at = ends[at]
+        return ids
 
     def _pattern(self) -> re.Pattern:
         """A word: begin marks and what follows up to a cut.  Signs that touch letters in some piece are no cuts."""
@@ -192,61 +213,113 @@ class Lattice:
         return ids, bounds
 
 
-def distinct_words(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``word, n`` of every distinct word, counted in tasks first."""
-    small_batches(docs.sparkSession)
-    cutter = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of runs that begin at ``begin`` and are ``size`` long, one after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = cutter.value.cut
-        chunks: Counter[str] = Counter()
 
-        def flush() -> pa.RecordBatch:
-            count: dict[str, int] = defaultdict(int)
-            for chunk, n in chunks.items():
-                for word in cut(chunk):
-                    count[word] += n
-            chunks.clear()
-            return pa.record_batch([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
+def sums_by(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sum of the values between neighbouring bounds."""
+    return np.diff(np.concatenate([[0], np.cumsum(values)])[bounds])
 
-        for batch in batches:
-            for text in batch.column(0):
-                chunks.update(chunks_of(text.as_py()))
-                if len(chunks) > HELD_WORDS:
-                    yield flush()
-        yield flush()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+class Portion:
+    """Some encoded texts: ids and words in a row, and where each text's begin (and the last one's end)."""
+
+    def __init__(self, ids: np.ndarray, bounds: np.ndarray, word_sizes: np.ndarray, word_sums: np.ndarray, word_bounds: np.ndarray):
+        self.ids, self.bounds = ids, bounds
+        #: Number of ids of each word and crc32 of these, as little-endian 32-bit numbers.
+        self.word_sizes, self.word_sums, self.word_bounds = word_sizes, word_sums, word_bounds
+
 
+class Coder:
+    """Encodes words, and whole texts, in a task.
 
-def _coder(spark: SparkSession, vocabulary: Vocabulary):
-    """A function that encodes a list of words in a task: ids in a row and the bounds of each word's."""
-    shared = spark.sparkContext.broadcast((vocabulary, Lattice(vocabulary)))
+    Chunks that were met are numbered; their words, and the words' ids, lie in a row.  At most ``held``
+    chunks, of at most sixteen characters on average, are kept from one portion of texts to the next.
+    """
 
-    def code(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        library, lattice = shared.value
-        long = [k for k, w in enumerate(words) if len(w) > LONG]
+    def __init__(self, vocabulary: Vocabulary, held: int = HELD_CHUNKS):
+        self.vocabulary, self.lattice, self.held = vocabulary, Lattice(vocabulary), held
+        self.bytes = np.zeros(max(vocabulary.text) + 2, np.int64)
+        self.bytes[vocabulary.bytes] = 1
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.chars = 0
+        self.ids, self.word_begin, self.word_size, self.word_sum = np.empty(0, np.int32), *(np.empty(0, np.int64) for _ in range(3))
+        self.first, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row and the bounds of each word's; those above ``LONG`` characters one at a time."""
+        long = {k for k, w in enumerate(words) if len(w) > LONG}
         if not long:
-            return lattice.encode(words)
-        skip = set(long)
-        ids, bounds = lattice.encode([w for k, w in enumerate(words) if k not in skip])
+            return self.lattice.encode(words)
+        ids, bounds = self.lattice.encode([w for k, w in enumerate(words) if k not in long])
         short = iter(np.split(ids, bounds[1:-1]))
-        slow = iter(library.encode_long([words[k] for k in long]))
-        parts = [np.array(next(slow), np.int32) if k in skip else next(short) for k in range(len(words))]
+        parts = [np.array(self.vocabulary.encode_long([w])[0], np.int32) if k in long else next(short) for k, w in enumerate(words)]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
-    return code
+    def _learn(self, chunks: list[str]) -> None:
+        """Numbers new chunks and encodes their words: most are a mark and letters, which is one word."""
+        whole = [c[0] == " " and c[1:].isalpha() for c in chunks]
+        words = [MARK + c[1:] for c, one in zip(chunks, whole, strict=True) if one]
+        place = {w: k for k, w in enumerate(words)}
+        cut = [[] if one else self.vocabulary.cut(c) for c, one in zip(chunks, whole, strict=True)]
+        for w in (w for own in cut for w in own):
+            if w not in place:
+                place[w] = len(words)
+                words.append(w)
+        ids, bounds = self.words(words)
+        raw, edge, crc = ids.astype("<u4").tobytes(), (4 * bounds).tolist(), zlib.crc32
+        sums = np.fromiter((crc(raw[a:b]) for a, b in zip(edge, edge[1:], strict=False)), np.int64, len(words))
+        ones = iter(range(len(words)))
+        of = np.array([w for one, own in zip(whole, cut, strict=True) for w in ([next(ones)] if one else map(place.__getitem__, own))], np.int64)
+        count = np.fromiter((1 if one else len(own) for one, own in zip(whole, cut, strict=True)), np.int64, len(chunks))
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks)), strict=True))
+        self.first = np.concatenate([self.first, len(self.word_begin) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.word_begin = np.concatenate([self.word_begin, len(self.ids) + bounds[of]])
+        self.word_size = np.concatenate([self.word_size, np.diff(bounds)[of]])
+        self.word_sum = np.concatenate([self.word_sum, sums[of]])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def texts(self, texts: list[str | None]) -> Portion:
+        cut = [chunks_of(t) for t in texts]
+        every = [c for doc in cut for c in doc]
+        if len(self.known) > self.held or self.chars > 16 * self.held:
+            self._forget()
+        known = self.known
+        if new := list(dict.fromkeys([c for c in every if c not in known])):
+            self._learn(new)
+            self.chars += sum(map(len, new))
+        at = np.fromiter(map(known.__getitem__, every), np.int64, len(every))
+        count = self.count[at]
+        words = spans(self.first[at], count)
+        sizes = self.word_size[words]
+        ids = self.ids[spans(self.word_begin[words], sizes)]
+        chunk_bounds = np.cumsum([0, *map(len, cut)])
+        word_bounds = np.concatenate([[0], np.cumsum(count)])[chunk_bounds]
+        found = Portion(ids, np.concatenate([[0], np.cumsum(sizes)])[word_bounds], sizes, self.word_sum[words], word_bounds)
+        return found
+
+
+def _shared_coder(spark: SparkSession, vocabulary: Vocabulary, held: int = HELD_CHUNKS) -> Callable[[], Coder]:
+    shared = spark.sparkContext.broadcast(vocabulary)
+    return lambda: Coder(shared.value, held)
 
 
 def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``word, n, ids`` of distinct words."""
-    small_batches(words.sparkSession, WORD_BATCH_ROWS)
-    code = _coder(words.sparkSession, vocabulary)
+    small_batches(words.sparkSession)
+    coder = _shared_coder(words.sparkSession, vocabulary)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder()
         for batch in batches:
             if batch.num_rows:
-                ids, bounds = code(batch.column(0).to_pylist())
+                ids, bounds = own.words(batch.column(0).to_pylist())
                 found = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.record_batch([batch.column(0), batch.column(1), found], ["word", "n", "ids"])
 
@@ -264,84 +337,89 @@ def decode_ids(encoded: DataFrame, vocabulary: Vocabulary, key: str) -> DataFram
     return parts.select(key, F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), "^ ", "").alias("text"))
 
 
-def encode_documents(docs: DataFrame, vocabulary: Vocabulary, frequent: int = FREQUENT) -> DataFrame:
+def _texts(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def encode_documents(docs: DataFrame, vocabulary: Vocabulary, held: int = HELD_CHUNKS) -> DataFrame:
     """A row for each row of ``docs``: ``doc_id, ids, word_ends, decoded, exact``.
 
     ``ids`` are the document's ids in order, ``word_ends`` says where each word's end, ``decoded`` is the
-    text that the ids give and ``exact`` whether that is the text, a mark read as a space.  A task holds at
-    most ``HELD_WORDS`` words beside those of a batch; the ``frequent`` ones are encoded once for all tasks.
+    text that the ids give and ``exact`` whether that is the text, a mark read as a space.  Texts are read
+    once and never shuffled; a task encodes each distinct chunk that it meets once while it holds it.
     """
-    spark = docs.sparkSession
-    code, shared = _coder(spark, vocabulary), spark.sparkContext.broadcast(vocabulary)
-    top = encode_words(distinct_words(docs, vocabulary).orderBy(F.desc("n"), "word").limit(frequent), vocabulary)
-    known = spark.sparkContext.broadcast(dict(zip(*(top.toArrow()[c].to_pylist() for c in ("word", "ids")), strict=True)))  # bounded: ``frequent`` rows
+    coder = _shared_coder(docs.sparkSession, vocabulary, held)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, piece, often = shared.value.cut, shared.value.text, known.value
-        held: dict[str, list[int]] = {}
-        for batch in batches:
+        own = coder()
+        back = Decoder(own.vocabulary.text)
+        for batch in (p for b in batches for p in portions(b)):
             texts = batch.column(1).to_pylist()
-            words = [[w for chunk in chunks_of(t) for w in cut(chunk)] for t in texts]
-            if len(held) > HELD_WORDS:
-                held.clear()
-            new = list(dict.fromkeys(w for doc in words for w in doc if w not in often and w not in held))
-            if new:
-                ids, bounds = code(new)
-                flat, edge = ids.tolist(), bounds.tolist()
-                held.update((w, flat[a:b]) for w, a, b in zip(new, edge, edge[1:], strict=False))
-            rows, ends, decoded, exact = [], [], [], []
-            for text, doc in zip(texts, words, strict=True):
-                ids, at = [], []
-                for w in doc:
-                    ids += often[w] if w in often else held[w]
-                    at.append(len(ids))
-                back = decode_bytes(ids, piece)
-                rows.append(ids)
-                ends.append(at)
-                decoded.append(back.decode("utf-8", "replace"))
-                exact.append(back == (text or "").replace(MARK, " ").encode("utf-8", "surrogatepass"))
-            columns = [batch.column(0), pa.array(rows, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(decoded, pa.string()), pa.array(exact, pa.bool_())]
+            found = own.texts(texts)
+            data = back(found.ids, found.bounds)
+            ends = np.cumsum(found.word_sizes) - np.repeat(found.bounds[:-1], np.diff(found.word_bounds))
+            columns = [
+                batch.column(0), *(pa.ListArray.from_arrays(pa.array(b, pa.int32()), pa.array(x, pa.int32())) for b, x in ((found.bounds, found.ids), (found.word_bounds, ends))),
+                pa.array([d.decode("utf-8", "replace") for d in data], pa.string()), pa.array([d == plain_bytes(t) for d, t in zip(data, texts, strict=True)], pa.bool_()),
+            ]
             yield pa.record_batch(columns, ["doc_id", "ids", "word_ends", "decoded", "exact"])
 
-    small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, ids array<int>, word_ends array<int>, decoded string, exact boolean")
+    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>, word_ends array<int>, decoded string, exact boolean")
+
+
+class Decoder:
+    """Texts of ids in UTF-8, without the mark that encoding added before them; unknown ids give nothing."""
+
+    def __init__(self, text: dict[int, bytes]):
+        parts = [text.get(i, b"").replace(MARK.encode(), b" ") for i in range(max(text, default=0) + 2)]
+        self.flat = np.frombuffer(b"".join(parts), np.uint8)
+        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.begin = np.cumsum(self.sizes) - self.sizes
+
+    def __call__(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        ids = np.minimum(ids.astype(np.int64), len(self.sizes) - 1)
+        sizes = self.sizes[ids]
+        data = self.flat[spans(self.begin[ids], sizes)].tobytes()
+        edge = np.concatenate([[0], np.cumsum(sizes)])[bounds].tolist()
+        return [data[a + 1 : b] for a, b in zip(edge, edge[1:], strict=False)]
 
 
 def decode_bytes(ids: list[int], piece: dict[int, bytes]) -> bytes:
-    """The text of a document's ids in UTF-8, without the mark that encoding added before it; unknown ids give nothing."""
-    return b"".join([piece.get(i, b"") for i in ids]).replace(MARK.encode(), b" ")[1:]
+    """The text of a document's ids in UTF-8."""
+    return Decoder(piece)(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
+
 
+def plain_bytes(text: str | None) -> bytes:
+    """What the ids of a text should decode to: a mark counts as a space."""
+    return (text or "").replace(MARK, " ").encode("utf-8", "surrogatepass")
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, frequent: int = FREQUENT) -> DataFrame:
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, held: int = HELD_CHUNKS) -> DataFrame:
     """A row for each row of ``docs``: ``doc_id, n_words, n_pieces, n_bytes, ids_checksum, exact``, from the ids of the document.
 
     ``n_bytes`` counts pieces that are single bytes, ``ids_checksum`` is the sum over words of the crc32 of
     the word's ids (32-bit, little-endian) times the word's place from 1, modulo 2^61 - 1, and ``exact``
     tells whether the ids decode to the document's text.
     """
-    shared, prime = docs.sparkSession.sparkContext.broadcast(vocabulary), (1 << 61) - 1
+    coder, prime = _shared_coder(docs.sparkSession, vocabulary, held), (1 << 61) - 1
 
-    def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single = np.zeros(max(shared.value.text) + 2, np.int64)
-        single[shared.value.bytes] = 1
-        for batch in batches:
-            n_words, n_pieces, n_bytes, checksum = [], [], [], []
-            for k in range(batch.num_rows):
-                ids = batch.column(1)[k].values.to_numpy(zero_copy_only=False).astype("<u4")
-                ends, raw, at, total = batch.column(2)[k].as_py(), ids.tobytes(), 0, 0
-                for place, end in enumerate(ends, 1):
-                    total += zlib.crc32(raw[4 * at : 4 * end]) * place
-                    at = end
-                n_words.append(len(ends))
-                n_pieces.append(len(ids))
-                n_bytes.append(int(single[ids].sum()))
-                checksum.append(total % prime)
-            columns = [pa.array(c, pa.int64()) for c in (n_words, n_pieces, n_bytes, checksum)]
-            yield pa.record_batch([batch.column(0), *columns, batch.column(3)], ["doc_id", "n_words", "n_pieces", "n_bytes", "ids_checksum", "exact"])
-
-    encoded = encode_documents(docs, vocabulary, frequent).select("doc_id", "ids", "word_ends", "exact")
-    return encoded.mapInArrow(digest, "doc_id long, n_words long, n_pieces long, n_bytes long, ids_checksum long, exact boolean")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder()
+        back = Decoder(own.vocabulary.text)
+        for batch in (p for b in batches for p in portions(b)):
+            texts = batch.column(1).to_pylist()
+            found = own.texts(texts)
+            n_words, n_pieces = np.diff(found.word_bounds), np.diff(found.bounds)
+            place = np.arange(1, len(found.word_sums) + 1) - np.repeat(found.word_bounds[:-1], n_words)
+            weighed = found.word_sums * place  # below 2^63: a portion has fewer than 2^31 words
+            high, low = (sums_by(found.word_bounds, x).tolist() for x in (weighed >> 32, weighed & 0xFFFFFFFF))
+            checksum = [((h << 32) + x) % prime for h, x in zip(high, low, strict=True)]
+            exact = [d == plain_bytes(t) for d, t in zip(back(found.ids, found.bounds), texts, strict=True)]
+            columns = [pa.array(c, pa.int64()) for c in (n_words, n_pieces, sums_by(found.bounds, own.bytes[found.ids]), checksum)]
+            yield pa.record_batch([batch.column(0), *columns, pa.array(exact, pa.bool_())], ["doc_id", "n_words", "n_pieces", "n_bytes", "ids_checksum", "exact"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, n_words long, n_pieces long, n_bytes long, ids_checksum long, exact boolean")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,7 +152,7 @@ def score_texts(texts: list[str | None], weight: np.ndarray, intercept: float, c
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_DOCS) -> SubwordClassifier:
     """Classifier from a bounded sample of labelled rows that are not held out."""
     small_batches(docs.sparkSession)
-    sample = training_texts(docs, labels, label, rows).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    sample = training_texts(docs, labels, label, rows).toArrow().sort_by("doc_id")  # bounded rows and bytes
     return SubwordClassifier().fit(sample["text"].to_pylist(), sample["label"].to_pylist())
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basinsift.llm.common import fresh, lower_ascii, materialize, partitions, small_batches, table
+from basinsift.llm.common import fresh, lower_ascii, materialize, partitions, portions, small_batches, table
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS, seed: int = SEED)
     small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in portions(b)):
             fps = np.array([fingerprint(t, width, seed) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 

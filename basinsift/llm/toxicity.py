@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinsift.llm.common import remainder, small_batches, table, with_text_score
+from basinsift.llm.common import portions, remainder, small_batches, table, with_text_score
 from basinsift.llm.labelled import HELD_OUT_MODULUS, training_texts
 
 # The letters that a digit or symbol may stand for.
@@ -94,7 +94,7 @@ def char_model(docs: DataFrame) -> CharModel:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_LETTERS**3, np.int64)
-        for batch in batches:
+        for batch in (p for b in batches for p in portions(b, 0)):
             total += CharModel.count([" ".join(t or "" for t in batch.column(0).to_pylist())])
         at = np.nonzero(total)[0]
         yield pa.record_batch([pa.array(at), pa.array(total[at])], ["g", "n"])
