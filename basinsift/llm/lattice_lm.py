@@ -7,8 +7,10 @@ the marginal over segmentations (a forward recursion in log space over a word's
 over words.  A word's probability is its discounted training count plus the lattice's share of the
 discounted mass, so seen words keep their frequency and unseen ones get their spelling's likelihood.
 
-Words are counted in tasks and summed by one shuffle.  The ``FREQUENT`` most frequent words are broadcast;
-the rest of each document's words meet their counts in a join that no hot word can skew.
+Equally long words share the steps of the recursion; long and rare lengths go word by word, in a time in
+proportion to the bytes and with the sums of the last piece's length held.  Words are counted in tasks and
+summed by one shuffle.  The most frequent words, ``FREQUENT`` at most, are broadcast; the rest of each
+document's words meet their counts in a join that no hot word can skew.
 
 Defined results: null or empty text is the end token alone; repeated rows are scored each; a null id counts
 as held out; without training rows the lattice alone scores; an empty table gives an empty result; other
@@ -26,17 +28,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinsift.llm.common import lower_ascii, materialize, remainder_py, small_batches, table
+from basinsift.llm.common import greatest_within, lower_ascii, materialize, portions, remainder_py, small_batches, table
 
 HELD_OUT_MODULUS = 10
 SMOOTHING = 0.1
 #: Most frequent words whose figures are broadcast to the scoring tasks.
 FREQUENT = 150_000
-PIECE_BYTES = 16
 ROUNDS = 3
-#: Distinct words a counting task holds before it passes them on.
-HELD_WORDS = 300_000
-WORD_BATCH = 20_000
+#: Words of one length are taken together if there are so many, and none is longer; others go one at a time.
+TOGETHER, SHORT_BYTES = 16, 64
+#: Bytes of a word whose spans are looked up at a time, and the scale at which its sums are set back to 1.
+BLOCK, TINY = 1 << 14, 1e-100
+#: Distinct words that a counting task holds before it passes them on, and their bytes.
+HELD_WORDS, HELD_BYTES = 300_000, 16 << 20
 _MIX = np.random.default_rng(10).integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP, _SPREAD = np.uint64(0x100000001B3), (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _SLOTS = 20
@@ -58,7 +62,7 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
             continue
         piece = model.id_to_piece(i)
         data = piece.replace("▁", " ").encode("utf-8")
-        if len(data) <= PIECE_BYTES and " " not in piece[1:].replace("▁", " ") and not any(65 <= c <= 90 for c in data):
+        if " " not in piece[1:].replace("▁", " ") and not any(65 <= c <= 90 for c in data):
             weight[data] = 1 / (1 + max(0.0, -model.get_score(i))) if model.get_score(i) > -1e8 else 1e-6
     for c in range(256):
         weight.setdefault(bytes([c]), 1 / (1 + model.get_piece_size()))
@@ -126,25 +130,96 @@ class Lattice:
         total[0] = 0
         return total[1:]
 
-    def groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Words of one length at a time: their positions, and a byte matrix with the word begin in front."""
+    def spans(self, word: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Piece number of the span of each length (row, from 1) that begins at each byte from ``first`` to before ``last``."""
+        part = np.zeros(last - first + self.longest, np.uint64)
+        known = word[first : last + self.longest]
+        part[: len(known)] = _MIX[known]
+        found, h = np.zeros((self.longest, last - first), np.int32), np.zeros(last - first, np.uint64)
+        for k in range(self.longest):
+            h = h * _STEP + part[k : k + last - first]
+            piece = self._find(h)
+            piece[max(0, len(word) - k - first) :] = 0
+            found[k] = piece
+        return found
+
+    def _one(self, word: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the sum over all segmentations of each beginning of a word.
+
+        The sums of the last bytes are kept as numbers, and set back to 1 as they shrink.
+        """
+        n, probability, longest = len(word), np.exp(self.log), self.longest
+        out = np.full(n + 1, -np.inf)
+        out[0], scale = 0.0, 0.0
+        sums = np.zeros(BLOCK + 2 * longest)  # of the beginnings from ``first``
+        sums[0] = 1
+        for first in range(0, n, BLOCK):
+            last = min(n, first + BLOCK)
+            edge = probability[self.spans(word, first, last)].T.copy()
+            for a in range(last - first):
+                now = sums[a]
+                if now:
+                    out[first + a] = np.log(now) + scale
+                    sums[a + 1 : a + 1 + longest] += now * edge[a]
+                    if now < TINY:
+                        sums[a + 1 : a + 1 + longest] /= now
+                        scale += np.log(now)
+            sums[:longest] = sums[last - first : last - first + longest]
+            sums[longest:] = 0
+        if sums[0]:
+            out[n] = np.log(sums[0]) + scale
+        return out
+
+    def _one_expected(self, word: np.ndarray, count: float) -> np.ndarray:
+        """Expected number of each piece in a word that occurs ``count`` times: backwards, the sums of its ends."""
+        n, alpha, total = len(word), self._one(word), np.zeros(len(self.log))
+        probability, longest = np.exp(self.log), self.longest
+        beta = np.full(n + 1 + longest, -np.inf)
+        beta[n], scale = 0.0, 0.0
+        window = np.zeros(longest)  # of the ends after the byte at hand
+        window[0] = 1
+        for first in reversed(range(0, n, BLOCK)):
+            last = min(n, first + BLOCK)
+            spans = self.spans(word, first, last)
+            edge = probability[spans].T.copy()
+            for a in range(last - first - 1, -1, -1):
+                now = float(edge[a] @ window)
+                window[1:] = window[:-1]
+                window[0] = now
+                if now:
+                    beta[first + a] = np.log(now) + scale
+                    if now < TINY:
+                        window /= now
+                        scale += np.log(now)
+            for k in range(longest):
+                share = np.exp(alpha[first:last] + self.log[spans[k]] + beta[first + k + 1 : last + k + 1] - alpha[n])
+                total += np.bincount(spans[k], share * count, len(total))
+        total[0] = 0
+        return total[1:]
+
+    def groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """Words of one length at a time: their positions, a byte matrix with the word begin in front, and whether to take them together."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         for length in np.unique(lengths):
             at = np.nonzero(lengths == length)[0]
             data = b"".join(b" " + words[k] for k in at)
-            yield at, np.frombuffer(data, np.uint8).reshape(len(at), length + 1)
+            yield at, np.frombuffer(data, np.uint8).reshape(len(at), length + 1), len(at) >= TOGETHER and length < SHORT_BYTES
 
     def log_probability(self, words: list[bytes]) -> np.ndarray:
         """Natural logarithm of each word's marginal probability."""
         out = np.empty(len(words))
-        for at, matrix in self.groups(words):
-            out[at] = self.forward(self.edges(matrix), *matrix.shape)[-1]
+        for at, matrix, together in self.groups(words):
+            out[at] = self.forward(self.edges(matrix), *matrix.shape)[-1] if together else [self._one(row)[-1] for row in matrix]
         return out
 
     def expectation(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         total = np.zeros(len(self.log) - 1)
-        for at, matrix in self.groups(words):
-            total += self.expected(self.edges(matrix), *matrix.shape, counts[at])
+        for at, matrix, together in self.groups(words):
+            if together:
+                total += self.expected(self.edges(matrix), *matrix.shape, counts[at])
+            else:
+                for row, count in zip(matrix, counts[at], strict=True):
+                    total += self._one_expected(row, count)
         return total
 
 
@@ -163,11 +238,15 @@ def word_counts(docs: DataFrame, modulus: int = HELD_OUT_MODULUS) -> DataFrame:
             held.clear()
             return pa.record_batch([pa.array(words, pa.binary()), pa.array(c), pa.array(n)], ["word", "c", "n"])
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                (train if remainder_py(doc, modulus) else held).update(words_of(text.as_py()))
-            if len(train) + len(held) > HELD_WORDS:
+        read = 0
+        for batch in (p for b in batches for p in portions(b)):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                read += sum(len(w) for w in words if len(w) > SHORT_BYTES)
+                (train if remainder_py(doc, modulus) else held).update(words)
+            if len(train) + len(held) > HELD_WORDS or read > HELD_BYTES:
                 yield flush()
+                read = 0
         yield flush()
 
     part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, c long, n long")
@@ -177,7 +256,7 @@ def word_counts(docs: DataFrame, modulus: int = HELD_OUT_MODULUS) -> DataFrame:
 def fit_lattice(counts: DataFrame, pieces: list[bytes], weight: np.ndarray, rounds: int = ROUNDS) -> tuple[Lattice, float]:
     """Lattice with piece probabilities learnt from the distinct training words, and the logarithm of the end's probability."""
     spark = counts.sparkSession
-    small_batches(spark, WORD_BATCH)
+    small_batches(spark)
     probability = weight / weight.sum() * 0.99
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((pieces, probability))
@@ -227,8 +306,8 @@ def score(docs: DataFrame, vocabulary_path: str, modulus: int = HELD_OUT_MODULUS
             yield pa.record_batch([*batch.columns, pa.array(figures(c, own.log_probability(batch.column(0).to_pylist())))], ["word", "c", "n", "lp"])
 
     rated = materialize(counts.mapInArrow(rate, "word binary, c long, n long, lp double"), "rated")
-    # Bounded: ``frequent`` rows.
-    top = rated.orderBy(F.desc("n"), "word").limit(frequent).select("word", "c", "lp").toArrow()
+    # Bounded: ``frequent`` rows, of words that are short.
+    top = greatest_within(rated.filter(F.octet_length("word") <= SHORT_BYTES), "n", frequent).select("word", "c", "lp").toArrow()
     known = {w: (c > 0, float(np.log10(c + SMOOTHING)), lp) for w, c, lp in zip(*(top[k].to_pylist() for k in ("word", "c", "lp")), strict=True)}
     ending = (documents > 0, float(np.log10(documents + SMOOTHING)), float(figures(np.array([documents]), np.array([end]))[0]))
     frequent_words = spark.sparkContext.broadcast(known)
@@ -238,12 +317,12 @@ def score(docs: DataFrame, vocabulary_path: str, modulus: int = HELD_OUT_MODULUS
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per document one row with the sums over its frequent words, under a key that is no word, and one for each other word."""
         figure, task, row = frequent_words.value, TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (p for b in batches for p in portions(b)):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 key = task << 40 | row
                 row += 1
-                words = words_of(text.as_py())
+                words = words_of(text)
                 n_known, base, lp = int(ending[0]), ending[1], ending[2]
                 for word, n in Counter(words).items():
                     if word in figure:
