@@ -83,6 +83,64 @@ def project_lcc(lon: Column, lat: Column, p: dict[str, float] = LCC) -> Column:
     return F.struct((p["x0"] + r * F.sin(theta)).alias("x"), (p["y0"] + scale * t(a0) ** n - r * F.cos(theta)).alias("y"))
 
 
+def unproject_lcc(x: Column, y: Column, p: dict[str, float] = LCC) -> Column:
+    """``lon, lat`` in degrees of metres: the inverse of ``project_lcc``; the latitude settles in six rounds."""
+    e = math.sqrt(2 * p["f"] - p["f"] ** 2)
+    m = lambda a: math.cos(a) / math.sqrt(1 - e * e * math.sin(a) ** 2)
+    t = lambda a: math.tan(math.pi / 4 - a / 2) / ((1 - e * math.sin(a)) / (1 + e * math.sin(a))) ** (e / 2)
+    a1, a2, a0 = (math.radians(p[k]) for k in ("lat1", "lat2", "lat0"))
+    n = (math.log(m(a1)) - math.log(m(a2))) / (math.log(t(a1)) - math.log(t(a2)))
+    scale = m(a1) / (n * t(a1) ** n) * p["a"]
+    dx, dy = x - p["x0"], F.lit(p["y0"] + scale * t(a0) ** n) - y
+    tt = F.pow(F.sqrt(dx * dx + dy * dy) / scale, F.lit(1 / n))
+    # Each round needs the one before twice, so the rounds are a fold instead of one ever larger expression.
+    step = lambda phi, _: F.lit(math.pi / 2) - 2 * F.atan(tt * F.pow((1 - e * F.sin(phi)) / (1 + e * F.sin(phi)), F.lit(e / 2)))
+    phi = F.aggregate(F.sequence(F.lit(1), F.lit(6)), F.lit(math.pi / 2) - 2 * F.atan(tt), step)
+    return F.struct((F.degrees(F.atan2(dx, dy) / n) + p["lon0"]).alias("lon"), F.degrees(phi).alias("lat"))
+
+
+def repaired(geometry: Column) -> Column:
+    """A geometry without missing or repeated vertices, with closed rings; null if nothing of it is left.
+
+    A line needs two vertices, a ring four with its last, which is its first.
+    """
+    area, line = geometry["type"].contains("Polygon"), geometry["type"].contains("Line")
+    whole = lambda part: F.filter(part, lambda v: v.isNotNull() & v.x.isNotNull() & v.y.isNotNull() & ~F.isnan(v.x) & ~F.isnan(v.y))
+    once = lambda part: F.filter(part, lambda v, k: (k == 0) | (v != F.get(part, k - 1)))
+    closed = lambda part: F.when(area & (F.size(part) > 0) & (F.get(part, F.lit(0)) != F.element_at(part, -1)), F.concat(part, F.slice(part, 1, 1))).otherwise(part)
+    parts = F.transform(F.transform(F.transform(F.filter(geometry["parts"], lambda p: p.isNotNull()), whole), once), closed)
+    parts = F.filter(parts, lambda part: F.size(part) >= F.when(area, 4).when(line, 2).otherwise(1))
+    return F.when(F.size(parts) > 0, F.struct(geometry["type"].alias("type"), parts.alias("parts")))
+
+
+def edges(geometry: Column) -> Column:
+    """``x1, y1, x2, y2`` of the edges of all parts."""
+    pairs = lambda part: F.transform(F.slice(part, F.lit(2), F.greatest(F.size(part) - 1, F.lit(0))), lambda v, k: F.struct(F.get(part, k).x.alias("x1"), F.get(part, k).y.alias("y1"), v.x.alias("x2"), v.y.alias("y2")))
+    return F.flatten(F.transform(geometry["parts"], pairs))
+
+
+def box(geometry: Column) -> Column:
+    """``minx, miny, maxx, maxy``; null without vertices."""
+    vertices = F.flatten(geometry["parts"])
+    xs, ys = F.transform(vertices, lambda v: v.x), F.transform(vertices, lambda v: v.y)
+    return F.struct(F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"), F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
+
+
+def geojson(geometry: Column, *properties: Column) -> Column:
+    """A feature of any geometry; each part of several polygons is one polygon."""
+    parts = F.transform(geometry["parts"], lambda part: F.transform(part, lambda v: F.array(v.x, v.y)))
+    shape = (
+        F.when(geometry["type"] == "Point", F.to_json(F.get(F.get(parts, F.lit(0)), F.lit(0))))
+        .when(geometry["type"].isin("LineString", "MultiPoint"), F.to_json(F.get(parts, F.lit(0))))
+        .when(geometry["type"] == "MultiPolygon", F.to_json(F.transform(parts, lambda part: F.array(part))))
+        .otherwise(F.to_json(parts))
+    )
+    return F.concat(
+        F.lit('{"type":"Feature","properties":'), F.to_json(F.struct(*properties), {"ignoreNullFields": "false"}),
+        F.lit(',"geometry":{"type":"'), geometry["type"], F.lit('","coordinates":'), shape, F.lit("}}"),
+    )
+
+
 def geojson_point(lon: Column, lat: Column, *properties: Column) -> Column:
     return F.to_json(
         F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates")).alias("geometry")),

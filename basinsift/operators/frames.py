@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basinsift.functions.text import clean_name, fold_py
+from basinsift.operators.shared import materialize
 
 
 def project(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -49,8 +50,8 @@ def detect_roles(columns: list[str], roles: dict[str, list[str]]) -> dict[str, s
 
 def with_row_number(df: DataFrame, order: list, name: str = "row_id") -> DataFrame:
     """Numbers rows from 1 in a total order without gathering them: ranges are sorted, counted and offset."""
-    ranged = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()).persist()
-    ranged = ranged.withColumn("__p", F.shiftright("__m", 33))
+    ranged = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    ranged = materialize(ranged.withColumn("__m", F.monotonically_increasing_id()), "ranged").withColumn("__p", F.shiftright("__m", 33))
     counts = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
@@ -104,3 +105,33 @@ def join_column(left: DataFrame, right: DataFrame, key: str) -> str | None:
         if not left.select(F.col(c).cast("string").alias("k")).join(right.select(F.col(key).cast("string").alias("k")), "k", "left_semi").isEmpty():
             return c
     return None
+
+
+def column_catalogue(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
+    """``name, place, column, dtype`` of every column of each frame, from the schemas alone."""
+    rows = [(name, k, column, kind) for name, df in frames.items() for k, (column, kind) in enumerate(df.dtypes, 1)]
+    return spark.createDataFrame(rows, "name string, place int, column string, dtype string")
+
+
+def missing_columns(df: DataFrame, expected: list[str]) -> list[str]:
+    """Expected columns that the frame lacks, in their order."""
+    return [c for c in expected if c not in df.columns]
+
+
+def tabular(df: DataFrame) -> DataFrame:
+    """The frame without geometries."""
+    return df.select(*(f.name for f in df.schema if not f.dataType.simpleString().startswith("struct<type:string,parts:")))
+
+
+def stacked(first: DataFrame, second: DataFrame) -> DataFrame:
+    """One frame above the other with an empty row between; ``__part`` (0, 1, 2) says which a row comes from.  For small tables of a report."""
+    blank = first.sparkSession.createDataFrame([(1,)], "__part int")
+    parts = (first.withColumn("__part", F.lit(0)), blank, second.withColumn("__part", F.lit(2)))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def legend(df: DataFrame, column: str, groups: int = 16, blank: str = "sin dato") -> DataFrame:
+    """``value, label, n`` of the first groups in the order of their values; nulls come last."""
+    counts = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n")).orderBy(F.col("value").asc_nulls_last()).limit(groups)
+    name = F.when(F.coalesce("value", F.lit("")) == "", blank).otherwise(F.col("value"))
+    return counts.select("value", F.concat(name, F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("label"), "n")

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basinsift.functions import geo
+from basinsift.operators.shared import materialize
+
+
+#: Cells of one level that meet in a cell of the next, along each axis, and cells of the top level.
+FANOUT, TOP_CELLS = 4, 64
+#: Half a diagonal of a unit square, rounded up.
+HALF = 0.7072
 
 
 def _cells(low_x: Column, low_y: Column, high_x: Column, high_y: Column, size: float) -> Column:
@@ -13,33 +26,69 @@ def _cells(low_x: Column, low_y: Column, high_x: Column, high_y: Column, size: f
     return F.flatten(F.transform(along(low_x, high_x), lambda i: F.transform(along(low_y, high_y), lambda j: F.struct(i.alias("i"), j.alias("j")))))
 
 
+def _cells_along(x1: Column, y1: Column, x2: Column, y2: Column, size: float) -> Column:
+    """Cells that a segment runs through: column by column, those between its ends in the column."""
+    low, high, slope = F.least(x1, x2), F.greatest(x1, x2), (y2 - y1) / F.nullif(x2 - x1, F.lit(0.0))
+
+    def rows(i: Column) -> Column:
+        at = lambda x: F.coalesce(y1 + (x - x1) * slope, y1)
+        a, b = at(F.greatest(low, i * size)), at(F.least(high, (i + 1) * size))
+        upright = slope.isNull()
+        bottom, top = F.when(upright, F.least(y1, y2)).otherwise(F.least(a, b)), F.when(upright, F.greatest(y1, y2)).otherwise(F.greatest(a, b))
+        return F.transform(F.sequence(F.floor(bottom / size), F.floor(top / size)), lambda j: F.struct(i.alias("i"), j.alias("j")))
+
+    return F.flatten(F.transform(F.sequence(F.floor(low / size), F.floor(high / size)), rows))
+
+
 def nearest_distance(points: DataFrame, segments: DataFrame, id_col: str, cell: float, extent: float) -> DataFrame:
-    """``id, distance`` of each point (``x, y``) to the nearest segment (``x1, y1, x2, y2``), exact; null without segments.
+    """``id, distance`` of each point (``x, y``) to the nearest segment (``x1, y1, x2, y2``), exact.
 
-    Points meet the segments of their cell and its neighbours; a distance up to the cell's size is final.
-    The others are tried again with cells four times as large, until a cell covers the extent.
+    A row for each point; the distance is null for points without coordinates, and without segments.
+    Places meet the segments of their cell and its neighbours; a distance up to the cell's size is final.
+    The others descend through levels of occupied cells, keeping those that may hold the nearest segment.
     """
-    sizes = [cell]
-    while sizes[-1] < extent:
-        sizes.append(min(extent, sizes[-1] * 4))
-    left, found = points.select(id_col, "x", "y"), []
-    for k, size in enumerate(sizes):
-        boxes = [F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2")]
-        laid = segments.select("x1", "y1", "x2", "y2", F.inline(_cells(*boxes, size)))
-        middle = [(F.col(c) + 0.5) * size for c in ("i", "j")]
-        laid = laid.filter(geo.segment_distance(*middle, *map(F.col, ("x1", "y1", "x2", "y2"))) <= size * 0.7072)
-        around = left.select(id_col, "x", "y", F.inline(_cells(F.col("x") - size, F.col("y") - size, F.col("x") + size, F.col("y") + size, size)))
-        met = around.join(laid, ["i", "j"], "left")
-        best = met.groupBy(id_col, "x", "y").agg(F.min(geo.segment_distance(*map(F.col, ("x", "y", "x1", "y1", "x2", "y2")))).alias("distance"))
-        if k == len(sizes) - 1:
-            found.append(best.select(id_col, "distance"))
-        else:
-            found.append(best.filter(F.col("distance") <= size).select(id_col, "distance"))
-            left = best.filter(F.col("distance").isNull() | (F.col("distance") > size)).select(id_col, "x", "y")
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
+    ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    known = lambda *columns: reduce(and_, (c.isNotNull() & ~F.isnan(c) for c in columns))
+    laid = materialize(segments.filter(known(*ends)).select("x1", "y1", "x2", "y2", F.inline(_cells_along(*ends, cell))), "laid")
+    places = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter(known(F.col("x"), F.col("y"))).distinct()
+    distance = F.min(geo.segment_distance(F.col("x"), F.col("y"), *ends)).alias("distance")
+    around = places.select("x", "y", F.inline(_cells(F.col("x") - cell, F.col("y") - cell, F.col("x") + cell, F.col("y") + cell, cell)))
+    best = materialize(around.join(laid, ["i", "j"], "left").groupBy("x", "y").agg(distance), "near")
+    far = best.filter(F.col("distance").isNull() | (F.col("distance") > cell)).select("x", "y")
+    found = best.filter(F.col("distance") <= cell).unionByName(_descend(far, laid, distance, cell, extent))
+    return points.select(id_col, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).join(found, ["x", "y"], "left").select(id_col, "distance")
+
+
+def _reach(size: float) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """How far from ``x, y`` a cell's contents are at most, seen from its centre, and at least."""
+
+    def off(c: Column) -> list[Column]:
+        return [F.abs(F.col("x") - (c.i + 0.5) * size), F.abs(F.col("y") - (c.j + 0.5) * size)]
+
+    return lambda c: F.hypot(*off(c)) + HALF * size, lambda c: F.hypot(*(F.greatest(x - size / 2, F.lit(0.0)) for x in off(c)))
+
+
+def _descend(places: DataFrame, laid: DataFrame, distance: Column, cell: float, extent: float) -> DataFrame:
+    """``x, y, distance``: each level keeps the cells that are no farther than the farthest corner of the best one."""
+    grids, sizes = [laid.select("i", "j").distinct()], [cell]
+    top = grids[0].limit(1).collect()
+    while top and (sizes[-1] < extent or len(top := grids[-1].limit(TOP_CELLS + 1).collect()) > TOP_CELLS):
+        grids.append(grids[-1].select(*(F.floor(F.col(c) / FANOUT).alias(c) for c in ("i", "j"))).distinct())
+        sizes.append(sizes[-1] * FANOUT)
+    if not top:
+        return places.withColumn("distance", F.lit(None).cast("double"))
+    slack = HALF * cell  # for rounding at the borders of cells
+    rest = places.withColumn("cells", F.array(*(F.struct(F.lit(r["i"]).cast("long").alias("i"), F.lit(r["j"]).cast("long").alias("j")) for r in top)))
+    for level in range(len(grids) - 1, -1, -1):
+        size = sizes[level]
+        inside, outside = _reach(size)
+        rest = rest.withColumn("most", F.array_min(F.transform("cells", lambda c: inside(c))) + slack)
+        rest = rest.select("x", "y", F.inline(F.filter("cells", lambda c: outside(c) - slack <= F.col("most"))))
+        if level:
+            up = [F.floor(F.col(c) / FANOUT).alias(n) for c, n in (("i", "pi"), ("j", "pj"))]
+            below = grids[level - 1].select(*up, F.struct("i", "j").alias("cell")).groupBy(F.col("pi").alias("i"), F.col("pj").alias("j")).agg(F.collect_list("cell").alias("below"))
+            rest = rest.join(below, ["i", "j"]).groupBy("x", "y").agg(F.flatten(F.collect_list("below")).alias("cells"))
+    return rest.join(laid, ["i", "j"]).groupBy("x", "y").agg(distance)
 
 
 def point_in_polygon(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, cell: float) -> DataFrame:
@@ -56,3 +105,68 @@ def crop(df: DataFrame, x: str, y: str, bounds: tuple[float, float, float, float
     low_x, low_y, high_x, high_y = bounds
     kept = df.filter(F.col(x).between(low_x - pad, high_x + pad) & F.col(y).between(low_y - pad, high_y + pad))
     return df if kept.isEmpty() else kept
+
+
+def repair(df: DataFrame, column: str = "geometry") -> DataFrame:
+    """Rows whose geometry holds something, with repeated vertices gone and rings closed."""
+    return df.withColumn(column, geo.repaired(F.col(column))).filter(F.col(column).isNotNull())
+
+
+def boundary_segments(df: DataFrame, column: str = "geometry") -> DataFrame:
+    """The other columns with ``x1, y1, x2, y2`` of each edge of lines and polygon borders."""
+    others = [c for c in df.columns if c != column]
+    return df.select(*others, F.inline(geo.edges(F.col(column))))
+
+
+def crop_geometries(df: DataFrame, column: str, bounds: tuple[float, float, float, float], pad: float = 0.0) -> DataFrame:
+    """Whole geometries whose box meets the padded bounds; all of them if none does."""
+    low_x, low_y, high_x, high_y = bounds
+    box = geo.box(F.col(column))
+    kept = df.filter((box["maxx"] >= low_x - pad) & (box["minx"] <= high_x + pad) & (box["maxy"] >= low_y - pad) & (box["miny"] <= high_y + pad))
+    return df if kept.isEmpty() else kept
+
+
+def simplified(part: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which vertices of a line stay so that none of the others is farther than the tolerance from what is left; a ring keeps four."""
+    keep = np.zeros(len(part), bool)
+    keep[[0, -1]] = True
+    ring = len(part) > 3 and (part[0] == part[-1]).all()
+    if ring:
+        keep[int(np.argmax(((part - part[0]) ** 2).sum(axis=1)))] = True
+    ends = np.flatnonzero(keep).tolist()
+    stack = list(zip(ends, ends[1:], strict=False))
+    while stack:
+        a, b = stack.pop()
+        if b - a < 2:
+            continue
+        along, off = part[b] - part[a], part[a + 1 : b] - part[a]
+        square = float(along @ along)
+        share = np.clip(off @ along / square, 0, 1) if square else np.zeros(len(off))
+        apart = np.sqrt(((off - share[:, None] * along) ** 2).sum(axis=1))
+        at = int(np.argmax(apart))
+        if apart[at] > tolerance:
+            keep[a + 1 + at] = True
+            stack += [(a, a + 1 + at), (a + 1 + at, b)]
+    if ring and keep.sum() < 4:
+        inner = np.flatnonzero(~keep)
+        keep[inner[np.linspace(0, len(inner) - 1, 4 - int(keep.sum())).astype(int)]] = True
+    return keep
+
+
+def simplify(df: DataFrame, column: str, tolerance: float) -> DataFrame:
+    """Lines and borders with the vertices that a tolerance (in metres) does not need left out, for display; points stay."""
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            shapes = []
+            for shape in frame[column]:
+                if shape is not None:
+                    parts = []
+                    for part in shape["parts"]:
+                        xy = np.array([(p["x"], p["y"]) for p in part], float).reshape(-1, 2)
+                        parts.append([{"x": x, "y": y} for x, y in (xy[simplified(xy, tolerance)] if len(xy) > 2 else xy).tolist()])
+                    shape = {"type": shape["type"], "parts": parts}
+                shapes.append(shape)
+            yield frame.assign(**{column: shapes})
+
+    return df.mapInPandas(run, df.schema)

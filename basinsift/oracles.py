@@ -6,8 +6,8 @@ from basinsift.functions import codes
 from basinsift.functions.text import tokens_py
 from basinsift.operators import frames
 from basinsift.plans import cascade
-from basinsift.plans.catalogue import LOCALITIES, PROSE, REGIONS, REVIEW_QUERIES, STAGE_QUERIES, STAGE_QUERY_DEFAULT
-from basinsift.queries import DIMENSIONS, HIGH, KEYWORDS, MAKING, MEDIUM, OTHER, PREFIXES, SELECTED, TRADE, TRADE_PREFIXES, WORDS
+from basinsift.plans.catalogue import COLORS, FAMILIES, FAMILY_NOTES, INSTRUCTIONS, LOCALITIES, OTHER_COLUMN, OTHER_VALUE, REGIONS, REVIEW_QUERIES, STAGE_QUERIES, STAGE_QUERY_DEFAULT
+from basinsift.queries import DIMENSIONS, HIGH, KEYWORDS, MAKING, MEDIUM, OTHER, PREFIXES, PROSE, SELECTED, TRADE, TRADE_PREFIXES, WORDS
 
 
 def q(value: str) -> str:
@@ -201,6 +201,14 @@ _names = [c for t in ("customer", "supplier", "part") for c in [*_inventory[t].s
 _split0 = f"cand AS (SELECT *, {starts('code', PREFIXES)} OR {anysub('t', SELECTED)} AS candidate, {starts('code', TRADE_PREFIXES)} OR ({anysub('t', TRADE)} AND NOT {anysub('t', MAKING)}) AS ex_trade, {anysub('t', OTHER)} AND NOT {starts('code', PREFIXES)} AS ex_other FROM sea0)"
 _hex_rows = int(34 / 3**0.5)
 
+BORDER = """ring AS (SELECT n_nationkey AS id, (n_nationkey % 5) * 4000.0::DOUBLE + 2000 AS cx, (n_nationkey // 5) * 4000.0::DOUBLE + 2000 AS cy FROM nation),
+ border AS (SELECT id, cx + a * 2200 AS x1, cy + b * 2200 AS y1, cx - b * 2200 AS x2, cy + a * 2200 AS y2 FROM ring, (VALUES (1, 0), (0, 1), (-1, 0), (0, -1)) v(a, b))"""
+
+
+def _color(column: str, x: str) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in COLORS[column].items()) + f" ELSE {q(OTHER_VALUE)} END"
+
+
 ORACLES: dict[str, str] = {
     "scan_project": "SELECT 'lineitem' AS layer, l_orderkey, CAST(l_linenumber AS VARCHAR) AS line_text, l_quantity AS quantity, CASE l_returnflag WHEN 'N' THEN 'none' ELSE l_returnflag END AS flag FROM lineitem",
     "numeric_row_filter": "SELECT CAST(y AS DOUBLE) AS year, count(*) AS n FROM (SELECT CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN doc_id % 30 + 2000 WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id % 30 + 1990 END AS y FROM documents) WHERE y IS NOT NULL GROUP BY y",
@@ -301,4 +309,31 @@ ORACLES: dict[str, str] = {
     "scope_universe": f"WITH {CLS} SELECT id, scope AS flag_universo_alcance_proyecto, if(scope, 'dentro_alcance_proyecto', 'fuera_alcance_contexto_textil') AS decision_alcance_proyecto, CASE WHEN scope THEN concat_ws('; ', CASE WHEN wet THEN 'senal de proceso humedo o tratamiento' END, CASE WHEN lav THEN 'senal especifica de lavado/deslavado/lavanderia' END, CASE WHEN mez THEN 'senal de mezclilla/jeans' END) ELSE 'textil fuera del alcance operativo definido para este proyecto' END AS motivo_universo_alcance_proyecto FROM cls",
     "sheet_counts": f"WITH {CLS}, sh AS (SELECT *, count(*) OVER (PARTITION BY nombre, localidad) AS same FROM cls) " + tall("sheet", _sheets, "sh"),
     "audit_prepare": f"WITH {REV} SELECT id, keywords_detectadas, categoria_sugerida, criterio_auditoria_sugerido, prioridad_revision, {once(_rev_parts, "'Google Maps'")} AS query_maps, {once(_rev_parts, _review_query)} AS query_web, region_auditoria, localidad_auditoria, municipio_auditoria, md5(m) AS text_md5 FROM rev",
+    "repair_geometry": """WITH s AS (SELECT s_suppkey AS id, s_suppkey * 3571 % 20000 AS x, s_suppkey * 9173 % 20000 AS y FROM supplier)
+      SELECT id, ['Polygon', 'LineString', 'Point', 'MultiLineString'][CAST(id % 6 AS INTEGER) + 1] AS type,
+        CASE id % 6 WHEN 0 THEN concat(x, ' ', y, ',', x + 100, ' ', y, ',', x + 100, ' ', y + 50, ',', x, ' ', y) WHEN 1 THEN concat(x, ' ', y, ',', x + 30, ' ', y + 40)
+          WHEN 2 THEN concat(x, ' ', y) ELSE concat(x, ' ', y, ',', x + 60, ' ', y + 80) END AS vertices FROM s WHERE id % 6 < 4""",
+    "polygon_segments": f"WITH {BORDER} SELECT id, CAST(x1 AS BIGINT) AS x1, CAST(y1 AS BIGINT) AS y1, CAST(x2 AS BIGINT) AS x2, CAST(y2 AS BIGINT) AS y2 FROM border",
+    "nearest_border": f"""WITH {PTS}, {BORDER}, pair AS (SELECT p.id, x, y, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy FROM pts p, border),
+      tt AS (SELECT *, greatest(0.0, least(1.0, ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy))) AS t FROM pair)
+      SELECT id, {rnd('min(sqrt((x - x1 - t * dx) * (x - x1 - t * dx) + (y - y1 - t * dy) * (y - y1 - t * dy)))')} AS distance FROM tt GROUP BY id""",
+    "crop_lines": """WITH s AS (SELECT s_suppkey AS id, s_suppkey * 3571 % 20000 AS x, s_suppkey * 9173 % 20000 AS y, s_suppkey % 24 AS up FROM supplier), box AS (SELECT id FROM s WHERE x + 400 >= 3500 AND x <= 9500 AND y + up >= 3500 AND y <= 8500)
+      SELECT 'near' AS crop, id FROM s WHERE id IN (SELECT id FROM box) OR NOT EXISTS (SELECT 1 FROM box) UNION ALL SELECT 'none', id FROM s""",
+    "geojson_shapes": """WITH s AS (SELECT s_suppkey AS id, CAST(s_suppkey * 3571 % 20000 AS DOUBLE) AS x, CAST(s_suppkey * 9173 % 20000 AS DOUBLE) AS y FROM supplier),
+      f AS (SELECT id, ['Polygon', 'LineString', 'Point'][CAST(id % 6 AS INTEGER) + 1] AS kind, CASE id % 6 WHEN 0 THEN concat('[[[', x, ',', y, '],[', x + 100, ',', y, '],[', x + 100, ',', y + 50, '],[', x, ',', y, ']]]')
+        WHEN 1 THEN concat('[[', x, ',', y, '],[', x + 30, ',', y + 40, ']]') ELSE concat('[', x, ',', y, ']') END AS place FROM s WHERE id % 6 < 3)
+      SELECT id, concat('{"type":"Feature","properties":{"id":', id, ',"tipo":null},"geometry":{"type":"', kind, '","coordinates":', place, '}}') AS feature FROM f""",
+    "simplify_lines": "SELECT s_suppkey AS id, CAST(if(s_suppkey % 24 > 12, if(s_suppkey % 24 / 2 * cos(atan2(s_suppkey % 24, 200)) > 12, 5, 3), 2) AS BIGINT) AS n_vertices FROM supplier",
+    "display_projection": f"SELECT c_custkey, {rnd('-110.0::DOUBLE + c_custkey % 200 / 10')} AS lon, {rnd('15.0::DOUBLE + c_custkey % 170 / 10')} AS lat FROM customer",
+    "column_catalogue": "SELECT * FROM (VALUES ('documents', 1::BIGINT, 'doc_id', 'bigint'), ('documents', 2, 'text', 'string'), ('documents', 3, 'lang', 'string'), ('documents', 4, 'source', 'string'), ('documents', 5, 'n_chars', 'bigint'), ('labels', 1, 'doc_id', 'bigint'), ('labels', 2, 'quality', 'int'), ('labels', 3, 'toxic', 'int'), ('nation', 1, 'n_nationkey', 'int'), ('nation', 2, 'n_name', 'string'), ('nation', 3, 'n_regionkey', 'int')) v(name, place, \"column\", dtype)",
+    "missing_columns": "SELECT * FROM (VALUES ('documents', FALSE, 'quality, n_name'), ('labels', FALSE, 'text, n_name'), ('nation', FALSE, 'doc_id, text, quality')) v(name, ok, detalle)",
+    "rule_catalogue": " UNION ALL ".join(f"SELECT {q(f)} AS familia_regla, {q(FAMILY_NOTES.get(f, ''))} AS descripcion, {q('; '.join(t))} AS terminos" for f, t in FAMILIES.items()),
+    "fill_instructions": " UNION ALL ".join(f"SELECT {q(k)} AS campo, {q(v)} AS como_llenar" for k, v in INSTRUCTIONS.items()),
+    "review_summary": f"""WITH {REV} SELECT 'por_localidad' AS seccion, localidad_auditoria AS clave, count(*) AS valor FROM rev GROUP BY 2 UNION ALL SELECT 'por_categoria_sugerida', categoria_sugerida, count(*) FROM rev GROUP BY 2
+      UNION ALL SELECT 'por_prioridad_revision', prioridad_revision, count(*) FROM rev GROUP BY 2 UNION ALL SELECT 'indicadores', k, n FROM (SELECT count(*) AS total_registros, count_if(categoria_sugerida = 'alta') AS posible_alta_relevancia,
+      count_if(distancia <= 250) AS cercanos_hidrografia, count_if(categoria_sugerida = 'revisar') AS requieren_revision_manual, count_if(categoria_sugerida = 'excluir') AS probablemente_excluibles FROM rev) UNPIVOT (n FOR k IN (total_registros, posible_alta_relevancia, cercanos_hidrografia, requieren_revision_manual, probablemente_excluibles))""",
+    "map_colors": f"WITH {CLS} SELECT id, " + ", ".join(f"{_color(c, x)} AS {c}" for c, x in (("etapa_productiva_sugerida", "st"), ("presion_ambiental_potencial", "pr"), ("confianza_clasificacion", "cf"), ("prioridad_auditoria", "pa"))) + f", {q(OTHER_COLUMN)} AS municipio FROM cls",
+    "legend_groups": """SELECT value, if(value = '', 'sin dato', value) || ' (' || n || ')' AS label, n FROM (SELECT CASE WHEN doc_id % 11 = 0 THEN '' ELSE source END AS value, count(*) AS n FROM documents GROUP BY 1) ORDER BY value LIMIT 16""",
 }
+_one, _two = (f"SELECT {p}::BIGINT AS part, {columns} FROM ({ORACLES[k]})" for p, columns, k in ((0, "validacion, ok, NULL AS universe, NULL::BIGINT AS n", "quality_checks"), (2, "NULL, NULL, universe, n", "universe_counts")))
+ORACLES["control_sheet"] = f"{_one} UNION ALL SELECT 1, NULL, NULL, NULL, NULL UNION ALL {_two}"

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basinsift.functions import codes, geo, text
-from basinsift.operators import checks, frames, overlay, review, spatial
+from basinsift.operators import checks, frames, overlay, review, spatial, workbook
 from basinsift.plans import cascade
-from basinsift.plans.catalogue import LOCALITIES, PROSE
+from basinsift.plans.catalogue import LOCALITIES, Catalogue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 HIGH, MEDIUM, TRADE, MAKING, OTHER = ["idiot", "stupid", "tation", "scum"], ["with the", "nicht", "para", "pour"], ["venta", "que", "les"], ["idiot", "with", "this"], ["loser", "von"]
@@ -19,6 +19,25 @@ PREFIXES, TRADE_PREFIXES = ["313", "314", "315", "8122"], ["46"]
 KEYWORDS = {"alta": ["idiot", "stupid", "scum"], "media": ["with the", "nicht", "para", "pour"], "baja": ["that", "les", "und", "que"]}
 ROLES = {"name": ["name", "title"], "price": ["price", "amount"], "key": ["key", "id"], "type": ["type", "class"], "place": ["region", "nation"], "date": ["date", "ts"]}
 POINTS_CELL, EXTENT = 1000.0, 40000.0
+#: The same thirteen families over frequent words of mixed prose, so that each branch has rows in a text corpus.
+PROSE = Catalogue(
+    families={
+        "lavado_deslavado": ["idiot", "moron"],
+        "lavanderia_industrial": ["clown"],
+        "tenido_tintoreria": ["stupid", "scum"],
+        "acabado_tratamiento": ["trash", "loser"],
+        "mezclilla_jeans": ["with the", "avec"],
+        "industrial": ["this", "nicht"],
+        "maquila": ["worthless", "is for", "sur la"],
+        "confeccion": ["para", "und"],
+        "confeccion_especializada": ["mit", "una", "with"],
+        "bordado_estampado": ["auch", "pour la", "was the"],
+        "comercio": ["que", "les", "was"],
+        "renta": ["esta", "durch", "est"],
+        "no_textil": ["disgusting", "von", "elle la"],
+    },
+    print_terms=["pour la"],
+)
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]):
@@ -662,19 +681,140 @@ def scope_universe(spark, d):
 
 @query
 def sheet_counts(spark, d):
-    c = F.col
-    scope = c("flag_universo_alcance_proyecto")
-    df = classified(spark, d).withColumn("same", F.count("*").over(Window.partitionBy("nombre", "localidad")))
-    sheets = {
-        "todos_clasificados": F.lit(True), "universo_alcance_proyecto": scope, "alcance_huejotzingo": scope & (c("localidad") == LOCALITIES[0]), "alcance_xalmimilulco": scope & (c("localidad") == LOCALITIES[1]),
-        "alcance_san_martin": scope & (c("localidad") == LOCALITIES[2]), "universo_prioritario": c("flag_estudio_prioritario"), "procesos_humedos": c("presion_ambiental_potencial") == "alta",
-        "mezclilla_jeans": c("palabras_clave_etapa").rlike("(?i)with the|avec"), "auditoria_obligatoria": c("prioridad_auditoria").isin("alta", "media"),
-        "pendientes": c("decision_estudio_sugerida").isin("mantener_pendiente", "validar_documentalmente"), "excluidos_comercio": c("etapa_productiva_sugerida") == "comercio_simple",
-        "excluidos_confeccion_especializada": c("etapa_productiva_sugerida") == "confeccion_especializada_baja_relevancia", "cercanos_hidrografia_250m": c("distancia") <= 250, "posibles_duplicados": c("same") > 1,
-    }
-    return frames.conditional_counts(df, sheets, "sheet")
+    df = classified(spark, d)
+    kept = workbook.filters("nombre", "distancia", "with the|avec")
+    same = kept.pop("posibles_duplicados")
+    return frames.conditional_counts(df.withColumn("same", same), kept | {"posibles_duplicados": F.col("same")}, "sheet")
 
 
 @query
 def audit_prepare(spark, d):
     return reviewed(spark, d).select("id", "keywords_detectadas", "categoria_sugerida", "criterio_auditoria_sugerido", "prioridad_revision", "query_maps", "query_web", "region_auditoria", "localidad_auditoria", "municipio_auditoria", F.md5("texto_auditoria_normalizado").alias("text_md5"))
+
+
+# -- geometries ----------------------------------------------------------------------------------------------------------------------------
+
+
+def shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as geometries that need repair: open rings and lines with repeated vertices, points, and nothing."""
+    k = F.col("s_suppkey")
+    x, y = (k * 3571 % 20000).cast("double"), (k * 9173 % 20000).cast("double")
+    at = lambda a, b: F.struct((x + a).alias("x"), (y + b).alias("y"))
+    nowhere = F.struct(F.lit(None).cast("double").alias("x"), y.alias("y"))
+    kinds = {
+        "Polygon": F.array(F.array(at(0, 0), at(0, 0), at(100, 0), at(100, 50), nowhere, at(100, 50))),
+        "LineString": F.array(F.array(at(0, 0), at(0, 0), at(30, 40))),
+        "Point": F.array(F.array(at(0, 0))),
+        "MultiLineString": F.array(F.array(at(0, 0), at(60, 80)), F.array(at(5, 5), at(5, 5))),
+    }
+    whole = [(k % 6 == n, F.struct(F.lit(kind).alias("type"), parts.alias("parts"))) for n, (kind, parts) in enumerate(kinds.items())]
+    empty = F.struct(F.lit("LineString").alias("type"), F.array().cast("array<array<struct<x:double,y:double>>>").alias("parts"))
+    return load(spark, d, "supplier").select(k.alias("id"), codes.first_match([*whole, (k % 6 == 4, empty)], None).alias("geometry"))
+
+
+def bends(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as lines of five vertices: the second and fourth are on the way, the third is off it by some metres."""
+    k = F.col("s_suppkey")
+    x, y = (k * 3571 % 20000).cast("double"), (k * 9173 % 20000).cast("double")
+    vertices = [(0.0, F.lit(0.0)), (100.0, F.lit(0.0)), (200.0, (k % 24).cast("double")), (300.0, F.lit(0.0)), (400.0, F.lit(0.0))]
+    line = F.array(*(F.struct((x + a).alias("x"), (y + b).alias("y")) for a, b in vertices))
+    return load(spark, d, "supplier").select(k.alias("id"), F.struct(F.lit("LineString").alias("type"), F.array(line).alias("parts")).alias("geometry"))
+
+
+@query
+def repair_geometry(spark, d):
+    fixed = spatial.repair(shapes(spark, d))
+    vertex = lambda v: F.concat_ws(" ", v.x.cast("long").cast("string"), v.y.cast("long").cast("string"))
+    parts = F.transform("geometry.parts", lambda part: F.array_join(F.transform(part, vertex), ","))
+    return fixed.select("id", F.col("geometry.type").alias("type"), F.array_join(parts, ";").alias("vertices"))
+
+
+@query
+def polygon_segments(spark, d):
+    return spatial.boundary_segments(borders(spark, d)).select("id", *(F.col(c).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+def borders(spark: SparkSession, d: str) -> DataFrame:
+    return polygons(spark, d).select(F.col("poly_id").alias("id"), F.struct(F.lit("Polygon").alias("type"), F.array("ring").alias("parts")).alias("geometry"))
+
+
+@query
+def nearest_border(spark, d):
+    """Without lines, borders of polygons stand for them."""
+    edges = spatial.boundary_segments(borders(spark, d))
+    return spatial.nearest_distance(points(spark, d), edges, "id", POINTS_CELL, EXTENT).select("id", r6(F.col("distance")).alias("distance"))
+
+
+@query
+def crop_lines(spark, d):
+    box = (4000.0, 4000.0, 9000.0, 8000.0)
+    near = spatial.crop_geometries(bends(spark, d), "geometry", box, 500.0).select(F.lit("near").alias("crop"), "id")
+    return near.unionByName(spatial.crop_geometries(bends(spark, d), "geometry", (-9e6, -9e6, -8e6, -8e6)).select(F.lit("none").alias("crop"), "id"))
+
+
+@query
+def geojson_shapes(spark, d):
+    fixed = spatial.repair(shapes(spark, d)).filter(F.col("id") % 6 != 3)
+    return fixed.select("id", geo.geojson(F.col("geometry"), F.col("id").alias("id"), F.lit(None).cast("string").alias("tipo")).alias("feature"))
+
+
+@query
+def simplify_lines(spark, d):
+    lines = spatial.simplify(bends(spark, d), "geometry", 12.0)
+    return lines.select("id", F.size(F.col("geometry.parts")[0]).cast("long").alias("n_vertices"))
+
+
+@query
+def display_projection(spark, d):
+    k = F.col("c_custkey")
+    there = geo.project_lcc(F.lit(-110.0) + k % 200 / 10, F.lit(15.0) + k % 170 / 10)
+    back = load(spark, d, "customer").select("c_custkey", there.alias("p")).select("c_custkey", geo.unproject_lcc(F.col("p.x"), F.col("p.y")).alias("q"))
+    return back.select("c_custkey", r6(F.col("q.lon")).alias("lon"), r6(F.col("q.lat")).alias("lat"))
+
+
+# -- workbook, catalogue, legend -------------------------------------------------------------------------------------------------------------
+
+
+@query
+def column_catalogue(spark, d):
+    return frames.column_catalogue(spark, {t: load(spark, d, t) for t in ("documents", "labels", "nation")}).select("name", F.col("place").cast("long").alias("place"), "column", "dtype")
+
+
+@query
+def missing_columns(spark, d):
+    gone = {t: frames.missing_columns(load(spark, d, t), ["doc_id", "text", "quality", "n_name"]) for t in ("documents", "labels", "nation")}
+    return spark.createDataFrame([(t, not c, ", ".join(c)) for t, c in gone.items()], "name string, ok boolean, detalle string")
+
+
+@query
+def rule_catalogue(spark, d):
+    return workbook.rule_catalogue(spark)
+
+
+@query
+def fill_instructions(spark, d):
+    return workbook.instructions(spark)
+
+
+@query
+def control_sheet(spark, d):
+    df = classified(spark, d)
+    out = frames.stacked(checks.quality_checks(df, load(spark, d, "documents").count()), frames.conditional_counts(df, cascade.universes(), "universe"))
+    return out.select(F.col("__part").cast("long").alias("part"), "validacion", "ok", "universe", "n")
+
+
+@query
+def review_summary(spark, d):
+    return workbook.review_summary(reviewed(spark, d), "distancia")
+
+
+@query
+def map_colors(spark, d):
+    columns = ["etapa_productiva_sugerida", "presion_ambiental_potencial", "confianza_clasificacion", "prioridad_auditoria", "municipio"]
+    return classified(spark, d).select("id", *(workbook.color(c, F.col(c)).alias(c) for c in columns))
+
+
+@query
+def legend_groups(spark, d):
+    df = load(spark, d, "documents").select(F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.col("source")).alias("source"))
+    return frames.legend(df, "source")

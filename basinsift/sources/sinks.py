@@ -5,6 +5,8 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+from collections.abc import Iterable
+from functools import reduce
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
@@ -34,6 +36,10 @@ def write_partitioned(df: DataFrame, path: str, place: str, flags: list[str]) ->
     df.select("*", F.explode(labels).alias("label"), slug(F.col(place)).alias("slug")).write.mode("overwrite").partitionBy("slug", "label").csv(path, header=True)
 
 
+def union_frames(frames: Iterable[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def write_errors(df: DataFrame, path: str) -> bool:
     """Side table of errors, only if there are any."""
     if df.isEmpty():
@@ -57,7 +63,7 @@ def _column(k: int) -> str:
 
 
 def workbook(sheets: dict[str, DataFrame]) -> bytes:
-    """A workbook with a frozen, filtered header in each sheet; names are cut to 31 characters."""
+    """A workbook with a frozen, filtered header and fitted columns in each sheet; names are cut to 31 characters."""
     out = io.BytesIO()
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -72,7 +78,9 @@ def workbook(sheets: dict[str, DataFrame]) -> bytes:
             rows = [df.columns, *document_rows(df)]
             cells = "".join(f'<row r="{r}">' + "".join(f'<c r="{_column(c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' for c, v in enumerate(row) if v is not None) + "</row>" for r, row in enumerate(rows, 1))
             view = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews>'
-            book.writestr(f"xl/worksheets/sheet{k}.xml", f'<worksheet xmlns="{main}">{view}<sheetData>{cells}</sheetData><autoFilter ref="A1:{_column(len(df.columns) - 1)}{len(rows)}"/></worksheet>')
+            wide = [min(max(max((len(str(row[c])) for row in rows if row[c] is not None), default=0) + 2, 12), 55) for c in range(len(df.columns))]
+            columns = "<cols>" + "".join(f'<col min="{c}" max="{c}" width="{w}" customWidth="1"/>' for c, w in enumerate(wide, 1)) + "</cols>" if wide else ""
+            book.writestr(f"xl/worksheets/sheet{k}.xml", f'<worksheet xmlns="{main}">{view}{columns}<sheetData>{cells}</sheetData><autoFilter ref="A1:{_column(len(df.columns) - 1)}{len(rows)}"/></worksheet>')
     return out.getvalue()
 
 

@@ -4,7 +4,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from basinsift.plans.catalogue import PROSE
+from basinsift.queries import PROSE
 from basinsift.sources import readers, sinks
 from basinsift.streaming import rules
 
