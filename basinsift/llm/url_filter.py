@@ -6,8 +6,9 @@ path that starts with its own; of several that fit, the longest counts.  For eac
 nearly all candidates that are not listed; the rest are joined with the list, which removes false positives.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and fits no entry; a URL
-that fits none gets the default verdict ``allow``; repeated pages keep a row each; an empty list or table
-works; other columns are ignored.
+that fits none gets the default verdict ``allow``; of entries with one key the last action in the order of
+their names counts, so ``block`` wins over ``allow``; an entry without an action gives the default; repeated
+pages keep a row each; an empty list or table works; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -110,7 +111,7 @@ def build_filter(listed: DataFrame, entries: int) -> BlockedBloom:
 def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", default: str = "allow") -> DataFrame:
     """``id, host, path, rule, verdict`` of each row of ``pages`` against ``listed`` (``key``, ``action``)."""
     spark = pages.sparkSession
-    listed = listed.filter("key IS NOT NULL").dropDuplicates(["key"]).select("key", "action")
+    listed = listed.filter("key IS NOT NULL").groupBy("key").agg(F.max("action").alias("action"))
     sizes = listed.agg(F.count("*"), F.collect_set(F.length("key") - F.position(F.lit("/"), F.col("key")) + 1)).first()
     bloom = spark.sparkContext.broadcast(build_filter(listed, sizes[0]))
 
