@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, WriterCommitMessage
 
@@ -116,11 +116,13 @@ class _Source:
                 self.plain += self.inflate.decompress(data, max(1, count - len(self.plain)))
         return True
 
-    def find(self, mark: bytes, start: int = 0) -> int:
-        """Offset behind the next ``mark``, or -1."""
-        while (found := self.plain.find(mark, start)) < 0:
+    def find(self, mark: bytes, start: int = 0, end: int | None = None) -> int:
+        """Offset behind the next ``mark`` that lies before ``end``, or -1."""
+        while (found := self.plain.find(mark, start, end)) < 0:
+            if end is not None and len(self.plain) >= end:
+                return -1
             start = max(start, len(self.plain) - len(mark))
-            if not self.need(len(self.plain) + 1024) and self.plain.find(mark, start) < 0:
+            if not self.need(len(self.plain) + 1024) and self.plain.find(mark, start, end) < 0:
                 return -1
         return found + len(mark)
 
@@ -136,6 +138,27 @@ class _Source:
             self.at = self.read_to - len(self.inflate.unused_data)
 
 
+def text_of(head: bytes | bytearray) -> str:
+    """Header lines as UTF-8, or, where they are not, as Latin-1."""
+    try:
+        return head.decode("utf-8")
+    except UnicodeDecodeError:
+        return head.decode("latin-1")
+
+
+def headers_of(lines: list[str]) -> dict[str, str]:
+    """Values by lower-cased name; a line that begins with white space goes on with the one before; of repeated names the last counts."""
+    found, name = {}, None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name is not None:
+            found[name] = f"{found[name]} {line.strip()}".strip()
+        else:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            found[name] = value.strip()
+    return found
+
+
 def parse(file: pa.NativeFile, wanted: dict[str, set[str]], with_payload: bool) -> Iterator[tuple]:
     """Rows of ``SCHEMA`` for the records whose headers have one of the wanted values."""
     source = _Source(file)
@@ -145,10 +168,10 @@ def parse(file: pa.NativeFile, wanted: dict[str, set[str]], with_payload: bool)
             if bytes(source.plain).strip():
                 raise ValueError(f"broken WARC record at byte {source.at}")
             return
-        lines = source.plain[: head_end - 4].decode("utf-8", "surrogatepass").split("\r\n")
+        lines = text_of(source.plain[: head_end - 4]).split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {source.at}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        headers = headers_of(lines[1:])
         block = int(headers.get("content-length", 0))
         values = {c: headers.get(h) for c, h in HEADERS.items()}
         values = {c: v if v is None else v.strip("<>") if c == "record_id" else v.removeprefix("sha1:") if c == "payload_digest" else v for c, v in values.items()}
@@ -156,11 +179,12 @@ def parse(file: pa.NativeFile, wanted: dict[str, set[str]], with_payload: bool)
             size, payload = block, None
             body = head_end
             if headers.get("content-type", "").startswith("application/http"):
-                body = source.find(b"\r\n\r\n", head_end)
-                http = bytes(source.plain[head_end:body]).lower()
+                found = source.find(b"\r\n\r\n", head_end, head_end + block)
+                body = found if found >= 0 else head_end + block  # an HTTP header without an end has no payload
                 size = head_end + block - body
                 if values["record_type"] == "revisit":
-                    size = next((int(x[15:]) for x in http.split(b"\r\n") if x.startswith(b"content-length:")), 0)
+                    length = headers_of(text_of(source.plain[head_end:body]).split("\r\n")).get("content-length", "")
+                    size = int(length) if length.isdigit() else 0
             if with_payload and values["record_type"] != "revisit":
                 source.need(head_end + block)
                 payload = bytes(source.plain[body : head_end + block])
@@ -233,7 +257,7 @@ class WarcWriter(DataSourceArrowWriter):
     """Takes rows of ``page_id, url, html, digest (hex), refers_to``."""
 
     def __init__(self, options: dict[str, str]):
-        self.path, self.date = options["path"], options.get("date", "1970-01-01T00:00:00Z")
+        self.path, self.date, self.job = options["path"], options.get("date", "1970-01-01T00:00:00Z"), uuid.uuid4().hex
         self.max_file_bytes = int(options.get("max_file_bytes", MAX_FILE_BYTES))
 
     def write(self, iterator: Iterable[pa.RecordBatch]) -> Written:
@@ -246,7 +270,7 @@ class WarcWriter(DataSourceArrowWriter):
                 if out is None or size >= self.max_file_bytes:
                     if out is not None:
                         out.close()
-                    paths.append(f"{root}/part-{uuid.uuid4().hex}.warc.gz.writing")
+                    paths.append(f"{root}/part-{self.job}-{uuid.uuid4().hex}.warc.gz.writing")
                     out, size = files.open_output_stream(paths[-1]), 0
                 payload = html.as_buffer().to_pybytes() if html.is_valid else b""
                 data = member(record(page_id.as_py(), url.as_py(), payload, base32(digest.as_py()), refers_to.as_py(), self.date))
@@ -260,11 +284,14 @@ class WarcWriter(DataSourceArrowWriter):
         files, _ = filesystem(self.path)
         for path in (p for m in messages if m for p in m.paths):
             files.move(path, path.removesuffix(".writing"))
+        self.abort([])
 
     def abort(self, messages):
-        files, _ = filesystem(self.path)
-        for path in (p for m in messages if m for p in m.paths):
-            files.delete_file(path)
+        """Removes what tasks of this job, failed and repeated ones too, left unfinished."""
+        files, root = filesystem(self.path)
+        for info in files.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+            if info.base_name.startswith(f"part-{self.job}-") and info.base_name.endswith(".writing"):
+                files.delete_file(info.path)
 
 
 class WarcSource(DataSource):
@@ -283,6 +310,7 @@ class WarcSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the format known; the session passes filters to Python data sources from here on."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
@@ -315,8 +343,30 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
+def base32_of(data: Column) -> Column:
+    """Upper-case base32 of the SHA-1 of bytes: forty bits of it give eight digits."""
+    digest = F.sha1(data)
+    parts = [F.lpad(F.conv(F.substring(digest, 10 * k + 1, 10), 16, 32), 8, "0") for k in range(4)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written to WARC archives and read back by its headers."""
+    """Every page written to WARC archives and read back: responses by their payloads, revisits by their headers."""
     path = scratch(spark, "warc")
     write(table(spark, sf_dir, "pages"), path)
-    return read(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    whole = read(spark, path).filter("record_type = 'response'").withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_of(F.col("payload"))})
+    heads = read(spark, path, payload=False).filter("record_type = 'revisit'")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return whole.select(columns).unionByName(heads.select(columns))
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS response FROM p)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+  translate(concat(to_base(CAST('0x' || substr(h, 1, 10) AS BIGINT), 32, 8), to_base(CAST('0x' || substr(h, 11, 10) AS BIGINT), 32, 8),
+    to_base(CAST('0x' || substr(h, 21, 10) AS BIGINT), 32, 8), to_base(CAST('0x' || substr(h, 31, 10) AS BIGINT), 32, 8)),
+    '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+  if(page_id = response, 'response', 'revisit') AS record_type, CASE WHEN page_id <> response THEN response END AS refers_to
+FROM r
+"""
