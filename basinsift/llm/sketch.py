@@ -13,6 +13,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,16 +98,27 @@ def _slot(key: Column, bounds: list[int]) -> Column:
 def with_next(df: DataFrame, key: str, columns: list[str], slots: int) -> DataFrame:
     """Adds ``slot``, ``ghost`` and the next row's ``columns`` (as ``next_<column>``; after the last row: the first).
 
-    The rows are cut into slots at values of the key; the first row of each slot is added as a ghost to
-    the slot before, so that no row needs another slot.  ``df`` holds the sort key and a tie breaker ``tie``.
+    The rows are cut into slots at values of the key, and where a key has so many rows that several cuts
+    fall on it, at even steps of the tie breaker ``tie`` (a hash); the first row of each slot is added as a
+    ghost to the slot before, so that no row needs another slot.
     """
     probs = [k / slots for k in range(1, slots)] or [0.5]
     first = df.agg(F.min(key), F.percentile_approx(key, probs, 20 * slots)).first()
-    bounds = sorted({first[0], *(first[1] or [])} - {None}) or [0]
-    ghosts = df.sparkSession.createDataFrame([(b, (k - 1) % len(bounds), k == 0) for k, b in enumerate(bounds)], f"{key} long, slot int, wraps boolean")
-    # Broadcast is bounded: one row for each slot.
-    added = df.join(F.broadcast(ghosts), key).select(*df.columns, "slot", F.lit(True).alias("ghost"), "wraps")
-    own = df.select(*df.columns, _slot(F.col(key), bounds).cast("int").alias("slot"), F.lit(False).alias("ghost"), F.lit(False).alias("wraps"))
+    cuts = Counter(first[1] or [])
+    bounds = sorted({first[0], *cuts} - {None}) or [0]
+    parts = [max(1, cuts[b]) for b in bounds]
+    at, begin = _slot(F.col(key), bounds), [sum(parts[:k]) for k in range(len(parts))]
+    if max(parts) == 1:
+        slot = at
+    else:
+        share = F.get(F.array(*map(F.lit, parts)), at)
+        step = F.least(share - 1, F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * share))
+        slot = F.get(F.array(*map(F.lit, begin)), at) + F.when(F.get(F.array(*map(F.lit, bounds)), at) == F.col(key), step).otherwise(share - 1)
+    own = df.select(*df.columns, slot.cast("int").alias("slot"), F.lit(False).alias("ghost"), F.lit(False).alias("wraps"))
+    # One row for each slot, here and in the broadcast.
+    begins = sorted((r["slot"], r["f"][0], r["f"][1]) for r in own.groupBy("slot").agg(F.min(F.struct(key, "tie")).alias("f")).collect())
+    ghosts = df.sparkSession.createDataFrame([(b, t, begins[k - 1][0], k == 0) for k, (_, b, t) in enumerate(begins)], f"{key} long, tie long, slot int, wraps boolean")
+    added = df.join(F.broadcast(ghosts), [key, "tie"]).dropDuplicates([key, "tie"]).select(*df.columns, "slot", F.lit(True).alias("ghost"), "wraps")
     rows = own.unionByName(added)
     return rows.select("*", *(F.lead(c).over(ordered(key)).alias(f"next_{c}") for c in columns))
 
