@@ -13,6 +13,7 @@ kept; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import logging
 import re
 import zlib
 from collections import defaultdict
@@ -187,13 +188,20 @@ def _best_step(fuller: Pattern, emptier: Pattern, left: int) -> tuple[int, tuple
     return best
 
 
-def local_search(packed: dict[Pattern, int], capacity: int = CAPACITY, steps: int = SEARCH_STEPS) -> dict[Pattern, int]:
-    """Improves underfull bins, all equal pairs of bins at once, until no step helps, the count is the least possible or the effort ends."""
+def local_search(packed: dict[Pattern, int], capacity: int = CAPACITY, steps: int = SEARCH_STEPS, report: dict | None = None) -> dict[Pattern, int]:
+    """Improves underfull bins, all equal pairs of bins at once, until no step helps, the count is the least possible or the effort ends.
+
+    A pair of patterns is looked at once; the effort is a number of such looks, ``steps`` or a hundred for
+    each pattern that best fit leaves, whichever is more.  ``report`` gets the bins before and after, the
+    least possible number, the looks and what ended the search.
+    """
     packed = defaultdict(int, packed)
     least = -(-sum(_size(p) * n for p, n in packed.items()) // capacity)
     fill = {p: _size(p) for p in packed}
     given_up: set[Pattern] = set()
-    while sum(packed.values()) > least and steps > 0:
+    seen: dict[tuple[Pattern, Pattern], tuple[int, tuple[int, ...], tuple[int, ...]] | None] = {}
+    effort, before = max(steps, 100 * len(packed)), sum(packed.values())
+    while sum(packed.values()) > least and len(seen) < effort:
         open_bins = sorted((p for p, n in packed.items() if n and fill[p] < capacity), key=lambda p: (fill[p], p))
         source = next((p for p in open_bins if p not in given_up), None)
         if source is None:
@@ -202,8 +210,9 @@ def local_search(packed: dict[Pattern, int], capacity: int = CAPACITY, steps: in
         for target in reversed(open_bins):
             if fill[target] < fill[source] or target == source and packed[source] < 2:
                 continue
-            steps -= 1
-            step = _best_step(target, source, capacity - fill[target])
+            if (target, source) not in seen:
+                seen[target, source] = _best_step(target, source, capacity - fill[target])
+            step = seen[target, source]
             # Increase of the two bins' squared fills, for equal bins counted once.
             if step and (best is None or step[0] * (fill[target] - fill[source] + step[0]) > best[0]):
                 best = (step[0] * (fill[target] - fill[source] + step[0]), target, step[1], step[2])
@@ -221,6 +230,9 @@ def local_search(packed: dict[Pattern, int], capacity: int = CAPACITY, steps: in
                 packed[changed] += times
                 fill[changed] = _size(changed)
         given_up.clear()
+    after = sum(packed.values())
+    if report is not None:
+        report |= {"best_fit": before, "bins": after, "least": least, "looks": len(seen), "ended": "least reached" if after <= least else "effort" if len(seen) >= effort else "no step helps"}
     return {p: n for p, n in packed.items() if n}
 
 
@@ -233,7 +245,9 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, capacity: int = CAPAC
     bases = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     # At most ``capacity`` rows reach the driver.
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    packed = local_search(best_fit(histogram, capacity), capacity)
+    report: dict = {}
+    packed = local_search(best_fit(histogram, capacity), capacity, report=report)
+    logging.getLogger(__name__).info("packing: %s", report)
     slots, sequence, used = [], 0, defaultdict(int)
     for pattern, bins in sorted(packed.items(), reverse=True):
         offset = 0
