@@ -81,8 +81,8 @@ def least_within(df: DataFrame, hashed: Column, *bounds: tuple[Column, int]) ->
     """
     totals = df.agg(*(F.sum(c) for c, _ in bounds)).first()
     share = min((most / (t or 1) for t, (_, most) in zip(totals, bounds, strict=True)), default=1)
-    if share >= 1:
-        return df
+    if share >= 1 or share <= 0:
+        return df if share >= 1 else df.filter("false")
     part = F.floor(F.shiftrightunsigned(hashed, 11) / F.lit(2.0**53 * min(1, 2 * share)) * 4096)
     sums = df.filter(part < 4096).groupBy(part.alias("part")).agg(*(F.sum(c).alias(f"s{k}") for k, (c, _) in enumerate(bounds)))
     held, cut = [0] * len(bounds), 4096

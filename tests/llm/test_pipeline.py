@@ -56,7 +56,7 @@ def test_copies_and_near_copies_go_and_others_stay(spark, tmp_path):
         rows += [(1000 + k, " ".join(t[:100] + shared + t[100:])), (2000 + k, " ".join(near[:100] + shared + near[100:]))]
     kept = collections.Counter(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect())
     assert set(range(40)) <= set(kept) and max(kept.values()) == 1
-    assert not any(d in kept for d in range(1000, 1020)) and sum(d in kept for d in range(2000, 2020)) <= 3
+    assert not any(d in kept for d in (*range(1000, 1020), *range(2000, 2020)))
 
 
 def test_odd_and_empty_input(spark, tmp_path):
