@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,8 @@ TOGETHER, SHORT_BYTES = 16, 64
 BLOCK, TINY = 1 << 14, 1e-100
 #: Distinct words that a counting task holds before it passes them on, and their bytes.
 HELD_WORDS, HELD_BYTES = 300_000, 16 << 20
-_MIX = np.random.default_rng(10).integers(1, 1 << 63, 256, dtype=np.uint64)
-_STEP, _SPREAD = np.uint64(0x100000001B3), (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-_SLOTS = 20
+#: About what a byte of text takes from a probability, the other way round.
+BYTE_SCALE = 12.0
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -71,76 +71,82 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
 
 
 class Lattice:
-    """All segmentations of words into weighted pieces, for many words at a time."""
+    """All segmentations of words into weighted pieces, for many words at a time.
+
+    Pieces are found by their beginnings: ``step`` gives the beginning that is one byte longer, 0 if there is
+    none, and ``piece`` the number (from 1) of the piece that a beginning is, or 0.
+    """
 
     def __init__(self, pieces: list[bytes], probability: np.ndarray):
         self.log = np.r_[-np.inf, np.log(probability)]
-        self.longest = max(map(len, pieces))
-        hashes = np.zeros(len(pieces) + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            for k, piece in enumerate(pieces):
-                h = np.zeros(1, np.uint64)
-                for c in piece:
-                    h = h * _STEP + _MIX[c : c + 1]
-                hashes[k + 1] = h[0]
-            self.hashes, self.tables = hashes, []
-            left = np.arange(1, len(hashes))
-            for spread in _SPREAD:
-                slots = (hashes[left] * spread) >> np.uint64(64 - _SLOTS)
-                _, first = np.unique(slots, return_index=True)
-                found = np.zeros(1 << _SLOTS, np.int32)
-                found[slots[first]] = left[first]
-                self.tables.append(found)
-                left = np.delete(left, first)
-        if len(left) or len(np.unique(hashes)) < len(hashes):
-            raise ValueError("pieces collide")
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        one, two = (t[(h * s) >> np.uint64(64 - _SLOTS)] for t, s in zip(self.tables, _SPREAD, strict=True))
-        return np.where(self.hashes[one] == h, one, np.where(self.hashes[two] == h, two, 0))
-
-    def edges(self, words: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """Piece number of every span (from, to) of equally long words (a byte matrix); spans without any piece are left out."""
-        mixed, found = _MIX[words], {}
-        for a in range(words.shape[1]):
-            h = np.zeros(len(words), np.uint64)
-            for b in range(a + 1, min(a + self.longest, words.shape[1]) + 1):
-                h = h * _STEP + mixed[:, b - 1]
-                piece = self._find(h)
-                if piece.any():
-                    found[a, b] = piece
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.longest = int(sizes.max())
+        #: Weights for sums that need no logarithm: every byte counts ``BYTE_SCALE`` times as much.
+        self.weight = np.exp(self.log + np.log(BYTE_SCALE) * np.r_[0, sizes])
+        known: dict[bytes, int] = {b"": 1}
+        for piece in pieces:
+            for k in range(1, len(piece) + 1):
+                known.setdefault(piece[:k], len(known) + 1)
+        self.step = np.zeros((len(known) + 1) * 256, np.int32)
+        self.piece = np.zeros(len(known) + 1, np.int32)
+        for begun, node in known.items():
+            if begun:
+                self.step[known[begun[:-1]] * 256 + begun[-1]] = node
+        self.piece[[known[p] for p in pieces]] = np.arange(1, len(pieces) + 1)
+
+    def edges(self, words: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """``from, to, rows, pieces``: the spans of equally long words (a byte matrix) that are pieces, by where they begin."""
+        columns, found = np.ascontiguousarray(words.T).astype(np.int32), []
+        for a in range(len(columns)):
+            rows, node = np.arange(words.shape[0]), np.ones(words.shape[0], np.int32)
+            for b in range(a, min(a + self.longest, len(columns))):
+                node = self.step[node * 256 + (columns[b] if len(rows) == len(columns[b]) else columns[b][rows])]
+                lives = np.flatnonzero(node)
+                if len(lives) < len(rows):
+                    rows, node = rows[lives], node[lives]
+                if not len(rows):
+                    break
+                piece = self.piece[node]
+                whole = np.flatnonzero(piece)
+                if len(whole):
+                    found.append((a, b + 1, rows[whole], piece[whole]))
         return found
 
-    def forward(self, edges: dict[tuple[int, int], np.ndarray], rows: int, length: int) -> np.ndarray:
+    def forward(self, edges: list[tuple[int, int, np.ndarray, np.ndarray]], rows: int, length: int) -> np.ndarray:
+        """Logarithms of the sums over all segmentations of each beginning."""
         alpha = np.full((length + 1, rows), -np.inf)
         alpha[0] = 0
-        for (a, b), piece in sorted(edges.items(), key=lambda e: e[0][1]):
-            alpha[b] = np.logaddexp(alpha[b], alpha[a] + self.log[piece])
+        for a, b, at, piece in edges:
+            alpha[b, at] = np.logaddexp(alpha[b, at], alpha[a, at] + self.log[piece])
         return alpha
 
-    def expected(self, edges: dict[tuple[int, int], np.ndarray], rows: int, length: int, counts: np.ndarray) -> np.ndarray:
-        """Expected number of each piece in words that occur ``counts`` times."""
-        alpha, beta = self.forward(edges, rows, length), np.full((length + 1, rows), -np.inf)
-        beta[length] = 0
+    def expected(self, edges: list[tuple[int, int, np.ndarray, np.ndarray]], rows: int, length: int, counts: np.ndarray) -> np.ndarray:
+        """Expected number of each piece in words that occur ``counts`` times; words of ``SHORT_BYTES`` don't leave the range of numbers."""
+        alpha, beta = np.zeros((length + 1, rows)), np.zeros((length + 1, rows))
+        alpha[0], beta[length] = 1, 1
+        weights = [self.weight[piece] for *_, piece in edges]
+        for (a, b, at, _), w in zip(edges, weights, strict=True):
+            alpha[b, at] += alpha[a, at] * w
+        share = counts / alpha[length]
         total = np.zeros(len(self.log))
-        for (a, b), piece in sorted(edges.items(), key=lambda e: -e[0][0]):
-            beta[a] = np.logaddexp(beta[a], beta[b] + self.log[piece])
-        for (a, b), piece in edges.items():
-            total += np.bincount(piece, np.exp(alpha[a] + self.log[piece] + beta[b] - alpha[length]) * counts, len(total))
-        total[0] = 0
+        for (a, b, at, piece), w in zip(reversed(edges), reversed(weights), strict=True):
+            past = beta[b, at] * w
+            beta[a, at] += past
+            total += np.bincount(piece, alpha[a, at] * past * share[at], len(total))
         return total[1:]
 
     def spans(self, word: np.ndarray, first: int, last: int) -> np.ndarray:
         """Piece number of the span of each length (row, from 1) that begins at each byte from ``first`` to before ``last``."""
-        part = np.zeros(last - first + self.longest, np.uint64)
+        part = np.zeros(last - first + self.longest, np.int32)
         known = word[first : last + self.longest]
-        part[: len(known)] = _MIX[known]
-        found, h = np.zeros((self.longest, last - first), np.int32), np.zeros(last - first, np.uint64)
+        part[: len(known)] = known
+        found = np.zeros((self.longest, last - first), np.int32)
+        at, node = np.arange(last - first), np.ones(last - first, np.int32)
         for k in range(self.longest):
-            h = h * _STEP + part[k : k + last - first]
-            piece = self._find(h)
-            piece[max(0, len(word) - k - first) :] = 0
-            found[k] = piece
+            node = self.step[node * 256 + part[at + k]]
+            lives = np.flatnonzero((node > 0) & (at + first + k < len(word)))
+            at, node = at[lives], node[lives]
+            found[k, at] = self.piece[node]
         return found
 
     def _one(self, word: np.ndarray) -> np.ndarray:
@@ -197,22 +203,27 @@ class Lattice:
         total[0] = 0
         return total[1:]
 
-    def groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    def groups(self, words: pa.Array | list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         """Words of one length at a time: their positions, a byte matrix with the word begin in front, and whether to take them together."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        for length in np.unique(lengths):
-            at = np.nonzero(lengths == length)[0]
-            data = b"".join(b" " + words[k] for k in at)
-            yield at, np.frombuffer(data, np.uint8).reshape(len(at), length + 1), len(at) >= TOGETHER and length < SHORT_BYTES
-
-    def log_probability(self, words: list[bytes]) -> np.ndarray:
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+        begin = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data, lengths = np.frombuffer(words.buffers()[2] or b"", np.uint8), np.diff(begin)
+        order = np.argsort(lengths, kind="stable")
+        cuts = np.flatnonzero(np.diff(lengths[order], prepend=-1))
+        for at in np.split(order, cuts[1:]) if len(order) else []:
+            length = int(lengths[at[0]])
+            matrix = np.full((len(at), length + 1), 32, np.uint8)
+            matrix[:, 1:] = data[begin[at, None] + np.arange(length)]
+            yield at, matrix, len(at) >= TOGETHER and length < SHORT_BYTES
+
+    def log_probability(self, words: pa.Array | list[bytes]) -> np.ndarray:
         """Natural logarithm of each word's marginal probability."""
         out = np.empty(len(words))
         for at, matrix, together in self.groups(words):
             out[at] = self.forward(self.edges(matrix), *matrix.shape)[-1] if together else [self._one(row)[-1] for row in matrix]
         return out
 
-    def expectation(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+    def expectation(self, words: pa.Array | list[bytes], counts: np.ndarray) -> np.ndarray:
         total = np.zeros(len(self.log) - 1)
         for at, matrix, together in self.groups(words):
             if together:
@@ -242,7 +253,8 @@ def word_counts(docs: DataFrame, modulus: int = HELD_OUT_MODULUS) -> DataFrame:
         for batch in (p for b in batches for p in portions(b)):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text)
-                read += sum(len(w) for w in words if len(w) > SHORT_BYTES)
+                if max(map(len, words), default=0) > SHORT_BYTES:
+                    read += sum(len(w) for w in words if len(w) > SHORT_BYTES)
                 (train if remainder_py(doc, modulus) else held).update(words)
             if len(train) + len(held) > HELD_WORDS or read > HELD_BYTES:
                 yield flush()
@@ -264,7 +276,7 @@ def fit_lattice(counts: DataFrame, pieces: list[bytes], weight: np.ndarray, roun
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lattice, sums = Lattice(*shared.value), np.zeros(len(shared.value[0]))
             for batch in batches:
-                sums += lattice.expectation(batch.column(0).to_pylist(), np.ones(batch.num_rows))
+                sums += lattice.expectation(batch.column(0), np.ones(batch.num_rows))
             at = np.nonzero(sums)[0]
             yield pa.record_batch([pa.array(at), pa.array(sums[at])], ["piece", "n"])
 
@@ -303,48 +315,45 @@ def score(docs: DataFrame, vocabulary_path: str, modulus: int = HELD_OUT_MODULUS
         own = Lattice(*shared.value)
         for batch in batches:
             c = batch.column(1).to_numpy()
-            yield pa.record_batch([*batch.columns, pa.array(figures(c, own.log_probability(batch.column(0).to_pylist())))], ["word", "c", "n", "lp"])
+            yield pa.record_batch([*batch.columns, pa.array(figures(c, own.log_probability(batch.column(0))))], ["word", "c", "n", "lp"])
 
     rated = materialize(counts.mapInArrow(rate, "word binary, c long, n long, lp double"), "rated")
     # Bounded: ``frequent`` rows, of words that are short.
     top = greatest_within(rated.filter(F.octet_length("word") <= SHORT_BYTES), "n", frequent).select("word", "c", "lp").toArrow()
-    known = {w: (c > 0, float(np.log10(c + SMOOTHING)), lp) for w, c, lp in zip(*(top[k].to_pylist() for k in ("word", "c", "lp")), strict=True)}
+    c = top["c"].to_numpy().astype(np.int64)
+    known = {w: k for k, w in enumerate(top["word"].to_pylist())}, (c > 0).astype(np.float64), np.log10(c + SMOOTHING), top["lp"].to_numpy().astype(np.float64)
     ending = (documents > 0, float(np.log10(documents + SMOOTHING)), float(figures(np.array([documents]), np.array([end]))[0]))
     frequent_words = spark.sparkContext.broadcast(known)
-    names = ["key", "word", "n", "doc_id", "held_out", "n_tokens", "n_known", "base", "lp"]
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    schema = pa.schema([("key", pa.int64()), ("word", pa.binary()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("lp", pa.float64())])
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per document one row with the sums over its frequent words, under a key that is no word, and one for each other word."""
-        figure, task, row = frequent_words.value, TaskContext.get().partitionId(), 0
+        """Per document one row with the sums over its frequent words, under a key that is no word, and one for each other word of it."""
+        (number, *figure), task, row = frequent_words.value, TaskContext.get().partitionId(), 0
         for batch in (p for b in batches for p in portions(b)):
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                key = task << 40 | row
-                row += 1
-                words = words_of(text)
-                n_known, base, lp = int(ending[0]), ending[1], ending[2]
-                for word, n in Counter(words).items():
-                    if word in figure:
-                        seen, b, p = figure[word]
-                        n_known += n * seen
-                        base += n * b
-                        lp += n * p
-                    else:
-                        rows.append((key, word, n, None, None, None, None, None, None))
-                rows.append((key, b" %d" % key, 0, doc, remainder_py(doc, modulus) == 0, len(words) + 1, n_known, base, lp))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names)
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            every = list(chain.from_iterable(words))
+            at = np.fromiter(map(number.get, every, repeat(-1)), np.int64, len(every))
+            doc, keys = np.repeat(np.arange(len(words)), sizes), (task << 40) + row + np.arange(len(words))
+            row += len(words)
+            often, rare = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+            sums = [e + np.bincount(doc[often], f[at[often]], len(words)) for e, f in zip(ending, figure, strict=True)]
+            held_out = [remainder_py(d, modulus) == 0 for d in batch.column(0).to_pylist()]
+            own = [pa.array(keys), pa.array([b" %d" % k for k in keys.tolist()], pa.binary()), batch.column(0), pa.array(held_out), pa.array(sizes + 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+            yield pa.record_batch(own, schema=schema)
+            others = [pa.array(keys[doc[rare]]), pa.array([every[k] for k in rare.tolist()], pa.binary()), *(pa.nulls(len(rare), f.type) for f in list(schema)[2:])]
+            yield pa.record_batch(others, schema=schema)
 
     small_batches(spark)
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        spread, "key long, word binary, n long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lp double"
+        spread, "key long, word binary, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lp double"
     )
     rare = rated.select("word", F.col("c").alias("wc"), F.col("lp").alias("wlp"))
     met = parts.join(rare, "word", "left").select(
         "key", "doc_id", "held_out", "n_tokens",
-        F.coalesce("n_known", F.when(F.col("wc") > 0, F.col("n"))).alias("n_known"),
-        F.coalesce("base", F.col("n") * F.log10(F.col("wc") + SMOOTHING)).alias("base"),
-        F.coalesce("lp", F.col("n") * F.col("wlp")).alias("lp"),
+        F.coalesce("n_known", (F.col("wc") > 0).cast("long")).alias("n_known"),
+        F.coalesce("base", F.log10(F.col("wc") + SMOOTHING)).alias("base"),
+        F.coalesce("lp", "wlp").alias("lp"),
     )
     per_doc = met.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("lp").alias("score"))
     norm = float(np.log10(tokens + SMOOTHING * (distinct + 1)))
