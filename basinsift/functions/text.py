@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,14 +38,23 @@ def clean_name(name: object) -> str:
     return re.sub(r"[^a-z0-9]+", "_", fold_py(str(name))).strip("_") or "columna"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def is_ascii(col: Column) -> Column:
+    return F.octet_length(col) == F.length(col)
+
+
 def fold(col: Column) -> Column:
-    """Lower case without accents; null as empty."""
-    return F.translate(F.lower(F.coalesce(col, F.lit(""))), *_FOLD)
+    """Lower case without accents; null as empty.  Only texts with other than ASCII characters are looked up letter by letter."""
+    return let(F.lower(F.coalesce(col, F.lit(""))), lambda low: F.when(is_ascii(low), low).otherwise(F.translate(low, *_FOLD)))
 
 
 def normalize(col: Column) -> Column:
     """Folded, runs of (Unicode) white space as one space, trimmed; punctuation stays."""
-    return F.trim(F.regexp_replace(fold(col), r"(?U)\s+", " "))
+    return let(fold(col), lambda x: F.trim(F.when(is_ascii(x), F.regexp_replace(x, r"\s+", " ")).otherwise(F.regexp_replace(x, r"(?U)\s+", " "))))
 
 
 def tokens(col: Column) -> Column:
@@ -58,9 +67,18 @@ def slug(col: Column, default: str = "") -> Column:
     return F.when(found == "", F.lit(default)).otherwise(found) if default else found
 
 
+def padded(text: Column) -> Column:
+    """A token text with a border on both sides.  Tests of many terms want it stored, not as an expression."""
+    return F.concat(F.lit(" "), text, F.lit(" "))
+
+
+def holds(padded_text: Column, term: str) -> Column:
+    return padded_text.contains(f" {tokens_py(term)} ")
+
+
 def has_term(text: Column, term: str) -> Column:
     """Whether a token text holds a term between token borders."""
-    return F.concat(F.lit(" "), text, F.lit(" ")).contains(f" {tokens_py(term)} ")
+    return holds(padded(text), term)
 
 
 def has_any(text: Column, terms: Iterable[str]) -> Column:
@@ -78,16 +96,27 @@ def contains_any(text: Column, terms: Iterable[str]) -> Column:
     return out
 
 
-def terms_found(text: Column, terms: Iterable[str], ordered: bool = True) -> Column:
-    """Terms that a token text holds: by length, then text, or in the catalogue's order."""
+def terms_found(text: Column, terms: Iterable[str], words: Column | None = None, ordered: bool = True) -> Column:
+    """Terms that a token text holds: by length, then text, or in the catalogue's order.
+
+    With ``words``, those of one word are looked up in that array, and ``text`` is a padded one.
+    """
     terms = sorted(set(terms), key=lambda t: (len(t), t)) if ordered else list(terms)
-    return F.array_compact(F.array(*(F.when(has_term(text, t), F.lit(t)) for t in terms)))
+
+    def found(term: str) -> Column:
+        if words is None:
+            return has_term(text, term)
+        return holds(text, term) if " " in tokens_py(term) else F.array_contains(words, tokens_py(term))
+
+    return F.array_compact(F.array(*(F.when(found(t), F.lit(t)) for t in terms)))
 
 
 def substring_list(text: Column, terms: Iterable[str]) -> Column:
     """Distinct leftmost non-overlapping substring matches, longest term first, sorted and joined by ``; ``."""
-    pattern = "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True))
-    return F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)))), "; ")
+    terms = sorted(terms, key=len, reverse=True)
+    # The class of first letters lets the engine pass over most places with one test.
+    first, any_term = re.escape("".join(sorted({t[0] for t in terms}))), "|".join(map(re.escape, terms))
+    return F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=[{first}])({any_term})"), F.lit(1)))), "; ")
 
 
 def search_text(*cols: Column) -> Column:

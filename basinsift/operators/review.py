@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from basinsift.functions import codes, text
 from basinsift.plans.catalogue import REGIONS, REVIEW_QUERIES
 
+# Labels and ranks; the reasons below are fixed too.
 LABELS = {"alta": "alta", "media": "media", "baja": "baja_comercio"}
 RANKS = {"priority": {"alta": 0, "manual": 1, "media": 2, "baja": 3}, "category": {"alta": 0, "revisar": 1, "media": 2, "excluir": 3}}
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from basinsift.functions import codes, text
 from basinsift.plans.catalogue import STAGE_QUERIES, STAGE_QUERY_DEFAULT, Catalogue
 
-#: Outputs of the cascade that are flags.
+# Outputs of the cascade that are flags, and columns that a reviewer fills in.  The stages, decisions and reasons below are fixed too.
 FLAGS = [
     "flag_universo_alcance_proyecto", "flag_fuera_alcance_productivo_textil", "flag_estudio_prioritario", "flag_proceso_humedo_relevante",
     "flag_mezclilla_jeans", "flag_lavado_deslavado", "flag_tenido_tintoreria", "flag_acabado_tratamiento", "flag_maquila_productiva",
@@ -36,9 +36,12 @@ def with_signals(df: DataFrame, catalogue: Catalogue) -> DataFrame:
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     stage, rule = codes.code_stage(blank("codigo"), catalogue.stages)
     df = df.withColumns({"m": text.tokens(F.concat_ws(" ", *map(blank, ("nombre", "texto_busqueda", "codigo", "palabras_clave")))), "s_code": stage, "r_code": rule})
-    # A struct in a one-row array is a barrier: the folded text is computed once, not once for each term.
-    df = df.select("*", F.inline(F.array(F.struct(F.col("m").alias("texto_busqueda_normalizado"))))).drop("m")
-    return df.withColumns({f"t_{f}": text.terms_found(F.col("texto_busqueda_normalizado"), terms) for f, terms in catalogue.families.items()})
+    # A struct in a one-row array is a barrier: the folded text is computed once, not once for each term; so are
+    # the terms of one word that it holds, which one intersection finds.
+    df = df.select("*", F.inline(F.array(F.struct(F.col("m").alias("texto_busqueda_normalizado"), text.padded(F.col("m")).alias("_m"))))).drop("m")
+    single = sorted({w for terms in catalogue.families.values() for t in terms if " " not in (w := text.tokens_py(t))})
+    df = df.select("*", F.inline(F.array(F.struct(F.array_intersect(F.lit(single), F.split("texto_busqueda_normalizado", " ")).alias("_w")))))
+    return df.withColumns({f"t_{f}": text.terms_found(F.col("_m"), terms, F.col("_w")) for f, terms in catalogue.families.items()})
 
 
 def classify(df: DataFrame, catalogue: Catalogue) -> DataFrame:
