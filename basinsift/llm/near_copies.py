@@ -3,9 +3,10 @@
 Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 A fingerprint of 64 bits cannot tell such pairs (they differ in up to 18 bits), so the stage uses prints of
 256 bits: texts that are similar enough differ in at most ``THRESHOLD`` of them, unrelated ones in half.
-Prints are dealt by ``TABLES`` choices of ``KEY_BITS`` bits; those that agree in one of the choices meet in
-a task, whose Gray index links them.  The search by choices of bits is not exhaustive; the README gives the
-measured share of similar pairs whose documents end in one group.
+Prints are dealt by many choices of some bits; those that agree in one of the choices meet in a task, whose
+Gray index links them.  The number of bits follows the number of prints, so that few strangers meet, and the
+number of choices follows from that and ``RECALL``.  The search is not exhaustive; the README gives the
+measured share of near copies that it finds.
 
 The components of these links are families.  Only texts of families with several different sets are looked
 at again: the sets of a family meet in one task, or, if they are many, in one for each pair of chunks, and
@@ -21,6 +22,7 @@ verified links; rows without an id take no part and stay.
 from __future__ import annotations
 
 import gc
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,10 +39,12 @@ from basinsift.llm.common import fresh, lower_ascii, materialize, portions, smal
 SHINGLE_WORDS, PRINT_WORDS = 5, 3
 #: Words of 64 bits of a print, and bits in which near copies may differ.
 WORDS, THRESHOLD = 4, 56
-#: Choices of bits by which prints meet, and bits of each.
-TABLES, KEY_BITS = 32, 16
+#: Share of bits that two texts of similarity 0.8 differ in, and of such pairs that should meet.
+APART, RECALL = 0.13, 0.99
+#: Least number of bits by which prints meet, and unrelated prints that may share them.
+KEY_BITS, STRANGERS = 12, 1024
 #: Shingles and sets of one chunk of a family.
-CHUNK_SHINGLES, CHUNK_SETS = 1 << 20, 4096
+CHUNK_SHINGLES, CHUNK_SETS = 1 << 20, 1024
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _CODE = [f"c{k}" for k in range(WORDS)]
@@ -134,19 +138,28 @@ def release(*frames: DataFrame) -> None:
     frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
+def choices(prints: int) -> list[list[tuple[int, int]]]:
+    """For each choice of bits: the place, and the number of bits, that it takes from each word."""
+    bits = KEY_BITS
+    while bits < 48 and prints > STRANGERS << bits:
+        bits += WORDS
+    count = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - APART) ** bits))
+    part = bits // WORDS
+    # Odd steps run through all places; different ones for the words give each choice its own combination.
+    return [[((t * step + t * part // 64 * (w + 1)) % 64, part) for w, step in enumerate((part, part + 1, part + 3, part + 5))] for t in range(count)]
+
+
 def families(distinct: DataFrame) -> DataFrame:
     """``fp, family``: sets whose prints are linked, directly or over others, to that of another set.
 
-    The first half of the tables takes neighbouring bits of a word, the other half a quarter from each word.
+    Each choice takes as many bits from every word of the print, at places of its own in each.
     """
-    keys, quarter = [], KEY_BITS // WORDS
-    for t in range(TABLES):
-        at, value = t % (64 * WORDS // KEY_BITS), F.lit(0).cast("long")
-        if t < 64 * WORDS // KEY_BITS:
-            value = F.shiftrightunsigned(_CODE[at % WORDS], at // WORDS * KEY_BITS).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
-        else:
-            for c in _CODE:
-                value = F.shiftleft(value, quarter).bitwiseOR(F.shiftrightunsigned(c, at * quarter).bitwiseAND(F.lit((1 << quarter) - 1)))
+    keys = []
+    for t, places in enumerate(choices(distinct.count())):
+        value = F.lit(0).cast("long")
+        for c, (at, bits) in zip(_CODE, places, strict=True):
+            turned = F.col(c) if not at else F.shiftrightunsigned(c, at).bitwiseOR(F.shiftleft(c, 64 - at))
+            value = F.shiftleft(value, bits).bitwiseOR(turned.bitwiseAND(F.lit((1 << bits) - 1)))
         keys.append(F.struct(F.lit(t).alias("t"), value.alias("v")))
     dealt = distinct.filter("n > 0").select("fp", *_CODE, F.inline(F.array(*keys)))
     found = simhash.components(simhash.grouped_links(dealt, "fp", _CODE, THRESHOLD)).toDF("fp", "family")

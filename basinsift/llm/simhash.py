@@ -210,10 +210,12 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD, cap: int = GROUP_CAP)
     """``u, v``: links that span every component of fingerprints (column ``fp``) within ``threshold`` bits.
 
     Two linked fingerprints differ in at most ``threshold`` of ``threshold + r`` blocks, so they agree in
-    ``r`` of them and meet in the group of those blocks; ``r`` is chosen so that a group shares about 16
-    bits.
+    ``r`` of them and meet in the group of those blocks; ``r`` is the least that makes groups of unrelated
+    fingerprints a tenth of ``cap`` at most, given their number, and share 16 bits.
     """
-    equal = 1 if threshold <= 3 else 2
+    n, equal = distinct.count(), 1
+    while equal < 4 and (64 * equal // (threshold + equal) < 14 or n > (cap // 10) << 64 * equal // (threshold + equal)):
+        equal += 1
     blocks = threshold + equal
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
     parts = [F.shiftrightunsigned("fp", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)) for k in range(blocks)]
