@@ -2,8 +2,9 @@
 
 The forest's planes are fitted on a bounded sample of distinct vectors (``SAMPLE`` rows, least hashes), but
 every vector is routed into a leaf of every tree.  A query walks all trees through one priority queue,
-nearest margins first, until the visited leaves hold a share of all vectors.  That share is measured, not
-assumed: the least one with which queries from the sample reach ``RECALL`` against brute force over it.
+nearest margins first, until the visited leaves hold a number of vectors.  That number is measured, not
+assumed: the least one with which ``PROBES`` queries from the sample reach ``RECALL`` against brute force over
+all vectors, so it follows the data and their number.
 Queries and vectors meet in an equi-join on (tree, leaf), streamed from sorted partitions; distances are
 exact, on the original vectors, and a task passes on only the nearest of each query.
 Equal vectors are searched and indexed once, with their smallest ids only, so a very common vector costs no
@@ -21,6 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +32,11 @@ NEIGHBOURS = 10
 TREES = 12
 SAMPLE = 20_000
 LEAF_ROWS = 96
-#: Recall to reach on the sample, above the 0.9 that is promised; queries that measure it; shares to try.
+#: Recall to reach, above the 0.9 that is promised, and queries that measure it by brute force over all vectors.
 RECALL = 0.95
 PROBES = 200
-EFFORTS = (0.002, 0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 1.0)
+#: Vectors of a block of that search.
+BLOCK = 4096
 LEAF_CAP = 20_000
 #: Queries whose nearest a task holds before it passes them on.
 HELD_QUERIES = 20_000
@@ -109,25 +112,54 @@ class Forest:
             held += self.sizes[-node - 1] * scale
         return leaves
 
-    def effort_for(self, sample: np.ndarray, k: int = NEIGHBOURS, recall: float = RECALL, seed: int = SEED) -> float:
-        """Least share of the vectors to visit for the recall asked, measured against brute force over the sample."""
-        n = len(sample)
-        if n <= k + 1:
-            return 1.0
-        leaves = self.route(sample)
-        asked = np.random.default_rng(seed).choice(n, min(PROBES, n), replace=False)
-        nearest = []
-        for q in asked:
-            far = ((sample - sample[q]) ** 2).sum(axis=1)
-            far[q] = np.inf
-            nearest.append(np.argpartition(far, k)[:k])
-        for share in EFFORTS:
-            hits = 0
-            for q, near in zip(asked, nearest, strict=True):
-                hits += np.isin(leaves[:, near], self.search(sample[q], 1.0, share * n)).any(axis=0).sum()
-            if hits >= recall * k * len(asked):
-                return share
-        return 2.0 * len(self.roots)  # every leaf
+    def effort_for(self, asked: np.ndarray, leaves: np.ndarray, scale: float, recall: float = RECALL) -> float:
+        """Least number of vectors to visit for a share ``recall`` of the true neighbours, whose leaves (query, neighbour, tree) are given."""
+        needed = []
+        for query, near in zip(asked, leaves, strict=True):
+            order = self.search(query, scale, np.inf)
+            before = np.zeros(len(self.sizes))
+            before[order] = np.cumsum(np.r_[0.0, self.sizes[order[:-1]]]) * scale
+            needed.append(before[near].min(axis=1))
+        needed = np.sort(np.concatenate(needed)) if needed else np.zeros(0)
+        return float(np.nextafter(needed[int(np.ceil(recall * len(needed))) - 1], np.inf)) if len(needed) else np.inf
+
+
+def true_neighbours(groups: DataFrame, forest: Forest, asked: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Queries, and the leaves (query, neighbour, tree) of the ``k`` nearest of each among all vectors, by brute force in blocks.
+
+    ``own`` are the queries' ids, which are no neighbours of theirs.  A task passes on ``k`` rows for each
+    query, a number that is fixed; a query of fewer than ``k`` neighbours is left out.
+    """
+    shared = groups.sparkSession.sparkContext.broadcast((forest, asked, own))
+    dim = asked.shape[1]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, asked, own = shared.value
+        far, leaf = np.full((len(asked), k), np.inf), np.zeros((len(asked), k, len(forest.roots)), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                vectors = _matrix(part.column(1), dim)
+                square = (asked**2).sum(axis=1)[:, None] - 2 * asked @ vectors.T + (vectors**2).sum(axis=1)
+                square[own[:, None] == part.column(0).to_numpy()] = np.inf
+                near = np.argsort(square, axis=1, kind="stable")[:, :k]
+                met, back = np.unique(near, return_inverse=True)
+                routed = forest.route(vectors[met]).T[back.reshape(near.shape)]
+                both = np.concatenate([far, np.take_along_axis(square, near, axis=1)], axis=1)
+                best = np.argsort(both, axis=1, kind="stable")[:, :k]
+                far = np.take_along_axis(both, best, axis=1)
+                leaf = np.take_along_axis(np.concatenate([leaf, routed], axis=1), best[:, :, None], axis=1)
+        query, place = np.nonzero(far < np.inf)
+        yield pa.record_batch([pa.array(query), pa.array(far[query, place]), pa.array(leaf[query, place].tolist(), pa.list_(pa.int64()))], ["q", "far", "leaves"])
+
+    found = groups.select("gid", "v").mapInArrow(run, "q long, far double, leaves array<long>")
+    first = Window.partitionBy("q").orderBy("far", "leaves")
+    rows = found.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k).select("q", "leaves").collect()  # ``k`` rows for each query
+    by_query: dict[int, list] = {}
+    for r in rows:
+        by_query.setdefault(r["q"], []).append(r["leaves"])
+    whole = sorted(q for q, leaves in by_query.items() if len(leaves) == k)
+    return asked[whole], np.array([by_query[q] for q in whole], np.int64).reshape(-1, k, len(forest.roots))
 
 
 def usable(vector: Column) -> Column:
@@ -167,17 +199,22 @@ def search(
     # The k + 1 smallest ids of each distinct vector: one more than needed, for the query's own.
     ranked = rows.distinct().withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("n") <= k + 1)
     groups = materialize(ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("gid"), "ids", "v"), "vectors")
-    drawn = least_within(groups.select("v"), F.xxhash64("v"), (F.lit(1), sample)).toArrow()["v"].combine_chunks()  # bounded by ``sample``
+    drawn = least_within(groups.select("gid", "v"), F.xxhash64("v"), (F.lit(1), sample)).toArrow().sort_by("gid").combine_chunks()  # bounded by ``sample``
     if not len(drawn):
         return empty
-    lengths = np.diff(drawn.offsets.to_numpy())
+    lengths = pc.list_value_length(drawn["v"]).to_numpy()
     dim = int(np.bincount(lengths).argmax())
-    fitted = _matrix(drawn.filter(pa.array(lengths == dim)), dim)
+    drawn = drawn.filter(pa.array(lengths == dim)).combine_chunks()
+    fitted = _matrix(drawn["v"].combine_chunks(), dim)
     forest = Forest(fitted, trees, leaf_rows)
     groups, asked = groups.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
     total = groups.count()
     scale = total / len(fitted)
-    effort = forest.effort_for(fitted, k, recall) * total
+    probed = np.random.default_rng(SEED).permutation(len(fitted))[:PROBES]
+    if total > k + 1:
+        effort = forest.effort_for(*true_neighbours(groups, forest, fitted[probed], drawn["gid"].to_numpy()[probed], k), scale, recall)
+    else:
+        effort = np.inf
     chunks = max(1, int(-(-leaf_rows * scale // LEAF_CAP)))
     shared = spark.sparkContext.broadcast(forest)
     probes = asked.groupBy("v").agg(F.min("id").alias("gid"))

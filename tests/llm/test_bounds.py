@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from test_operators import DOC, empty, odd, plain_components, plain_verdict, shingles, texts, write
 
-from basinsift.llm import common, labelled, lattice_lm, near_copies, packing, pieces, quality, simhash, sketch, toxicity, url_filter, warc
+from basinsift.llm import ann, common, labelled, lattice_lm, near_copies, packing, pieces, quality, simhash, sketch, toxicity, url_filter, warc
 
 
 def model_path():
@@ -436,3 +436,31 @@ def test_score_is_that_of_a_plain_recursion(spark, frequent):
     for k, text in rows:
         score = figure(len(trained), end) + sum(figure(counts[w], logs(w, table)[-1]) for w in lattice_lm.words_of(text))
         assert math.isclose(got[k]["score"], score, rel_tol=1e-7), k
+
+
+# -- 4 ---------------------------------------------------------------------------------------------------------------------------------
+
+
+def test_effort_comes_from_true_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 50)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 8))
+    forest = ann.Forest(x[:300], 4, 20)
+    groups = spark.createDataFrame([(k * 3, v.tolist()) for k, v in enumerate(x)], "gid long, v array<double>").repartition(5)
+    queries, leaves = ann.true_neighbours(groups, forest, x[:40], np.arange(40) * 3, 6)
+    routed = forest.route(x)
+    for q, found in enumerate(leaves):
+        far = ((x - x[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        assert sorted(map(tuple, found.tolist())) == sorted(tuple(routed[:, k].tolist()) for k in np.argsort(far)[:6])
+    effort, scale = forest.effort_for(queries, leaves, 700 / 300, 0.9), 700 / 300
+    hits = lambda e: sum(np.isin(found, forest.search(q, scale, e)).any(axis=1).sum() for q, found in zip(queries, leaves, strict=True))
+    assert hits(effort) >= 0.9 * 240 > hits(effort * (1 - 1e-9) - 1e-6) - 1
+    assert ann.true_neighbours(groups.limit(4), forest, x[:2], np.array([0, 3]), 6)[1].shape == (0, 6, 4)
+
+
+def test_copies_without_number_and_ids_without_value(spark):
+    vectors = [(None, [1.0, 2.0]), (100, [1.0, 2.0]), *((k, [1.0, 2.0]) for k in range(201, 900)), (900, [3.0, 1.0]), (901, [2.0, 2.0])]
+    got = ann.search(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), F.col("id") % 100 == 0).toPandas()
+    assert list(got[got.query_id == 100].sort_values("rank").vec_id) == list(range(201, 211))
+    assert got[got.query_id == 900].sort_values("rank").vec_id.tolist()[0] == 901 and got.query_id.notna().all()
