@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import io
 import re
 import sqlite3
@@ -19,8 +20,9 @@ from basinsift.functions import codes
 from basinsift.operators.frames import unique_names
 
 POINTS = "array<array<struct<x:double,y:double>>>"
-FEATURES = f"source_path string, feature_id long, geometry struct<type:string,parts:{POINTS}>, attributes map<string,string>, error string"
+FEATURES = f"source_path string, feature_id long, geometry struct<type:string,parts:{POINTS}>, attributes map<string,string>, crs string, error string"
 ENCODINGS = ("utf-8-sig", "latin1")
+_COLUMNS = ["source_path", "feature_id", "geometry", "attributes", "crs", "error"]
 
 
 def discover(spark: SparkSession, root: str, pattern: str) -> list[str]:
@@ -114,8 +116,19 @@ def parse_shp(data: bytes) -> list[tuple[str, list] | None]:
     return out
 
 
+def code_page(data: bytes | None) -> str:
+    """Python's name of the encoding that a ``.cpg`` file gives; UTF-8 without one, or where the name is unknown."""
+    name = (data or b"").decode("ascii", "ignore").strip()
+    for guess in (name, f"cp{name}", name.upper().replace("ANSI ", "cp")):
+        try:
+            return codecs.lookup(guess).name if guess else "utf-8"
+        except LookupError:
+            continue
+    return "utf-8"
+
+
 def parse_dbf(data: bytes, encoding: str = "utf-8") -> list[dict[str, str]]:
-    """Rows of a dBASE table as text; falls back to Latin-1 where bytes are not UTF-8."""
+    """Rows of a dBASE table as text; falls back to Latin-1 where bytes don't fit the encoding."""
     n, header, width = struct.unpack_from("<IHH", data, 4)
     fields, at = [], 32
     while data[at] != 0x0D:
@@ -168,8 +181,8 @@ def parse_wkb(data: bytes, at: int = 0) -> tuple[tuple[str, list], int]:
     return (names.get(kind, "GeometryCollection"), parts), at
 
 
-def parse_gpkg(data: bytes, layer: str | None = None) -> Iterator[tuple[tuple | None, dict[str, str]]]:
-    """Features of a GeoPackage, opened in memory."""
+def parse_gpkg(data: bytes, layer: str | None = None) -> Iterator[tuple[tuple | None, dict[str, str], str | None]]:
+    """Features of a GeoPackage, opened in memory, each with its reference system."""
     db = sqlite3.connect(":memory:")
     db.deserialize(data)
     table, column = db.execute("SELECT table_name, column_name FROM gpkg_geometry_columns WHERE ? IS NULL OR table_name = ?", (layer, layer)).fetchone()
@@ -178,38 +191,45 @@ def parse_gpkg(data: bytes, layer: str | None = None) -> Iterator[tuple[tuple |
     for values in cursor:
         row = dict(zip(names, values, strict=True))
         blob = row.pop(column)
-        geometry = None
+        geometry = crs = None
         if blob:
             envelope = (0, 32, 48, 48, 64)[blob[3] >> 1 & 7]
             geometry, _ = parse_wkb(blob, 8 + envelope)
-        yield geometry, {k: str(v) for k, v in row.items() if v is not None}
+            srs = struct.unpack_from("<i" if blob[3] & 1 else ">i", blob, 4)[0]
+            crs = f"EPSG:{srs}" if srs > 0 else None
+        yield geometry, {k: str(v) for k, v in row.items() if v is not None}, crs
 
 
-def _features(path: str, features: Iterable[tuple[tuple | None, dict]]) -> pd.DataFrame:
+def _features(path: str, features: Iterable[tuple[tuple | None, dict, str | None]]) -> pd.DataFrame:
     rows = []
-    for k, (geometry, attributes) in enumerate(features):
+    for k, (geometry, attributes, crs) in enumerate(features):
         shape = None if geometry is None else {"type": geometry[0], "parts": [[{"x": float(x), "y": float(y)} for x, y in part] for part in geometry[1]]}
-        rows.append((path, k, shape, attributes, None))
-    return pd.DataFrame(rows, columns=["source_path", "feature_id", "geometry", "attributes", "error"])
+        rows.append((path, k, shape, attributes, crs, None))
+    return pd.DataFrame(rows, columns=_COLUMNS)
 
 
 def _broken(path: str, error: Exception) -> pd.DataFrame:
-    return pd.DataFrame([(path, None, None, None, f"{type(error).__name__}: {error}")], columns=["source_path", "feature_id", "geometry", "attributes", "error"])
+    return pd.DataFrame([(path, None, None, None, None, f"{type(error).__name__}: {error}")], columns=_COLUMNS)
 
 
 def read_shapefiles(spark: SparkSession, root: str) -> DataFrame:
-    """Features of all shapefiles below a folder; a file that cannot be read is one row with its error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{shp,dbf}").load(root)
+    """Features of all shapefiles below a folder; a file that cannot be read is one row with its error.
+
+    Attributes are decoded as the ``.cpg`` file says; ``crs`` is the text of the ``.prj`` file, or null.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{shp,dbf,cpg,prj}").load(root)
     stem, kind = F.regexp_replace("path", r"\.[^.]*$", ""), F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1))
-    pairs = files.select(stem.alias("stem"), kind.alias("kind"), "content").groupBy("stem").agg(F.max(F.when(F.col("kind") == "shp", F.col("content"))).alias("shp"), F.max(F.when(F.col("kind") == "dbf", F.col("content"))).alias("dbf")).filter("shp IS NOT NULL")
+    of = [F.max(F.when(F.col("kind") == k, F.col("content"))).alias(k) for k in ("shp", "dbf", "cpg", "prj")]
+    pairs = files.select(stem.alias("stem"), kind.alias("kind"), "content").groupBy("stem").agg(*of).filter("shp IS NOT NULL")
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for stem, shp, dbf in frame.itertuples(index=False):
+            for stem, shp, dbf, cpg, prj in frame.itertuples(index=False):
                 try:
                     shapes = parse_shp(bytes(shp))
-                    rows = parse_dbf(bytes(dbf)) if dbf is not None else [{}] * len(shapes)
-                    yield _features(stem + ".shp", zip(shapes, rows, strict=True))
+                    rows = parse_dbf(bytes(dbf), code_page(cpg and bytes(cpg))) if dbf is not None else [{}] * len(shapes)
+                    crs = bytes(prj).decode("utf-8", "replace").strip() if prj is not None else None
+                    yield _features(stem + ".shp", ((shape, row, crs) for shape, row in zip(shapes, rows, strict=True)))
                 except (struct.error, ValueError, IndexError) as error:
                     yield _broken(stem + ".shp", error)
 

@@ -4,6 +4,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from basinsift.operators import frames
 from basinsift.queries import PROSE
 from basinsift.sources import readers, sinks
 from basinsift.streaming import rules
@@ -45,6 +46,63 @@ def test_geopackage(spark, tmp_path):
     assert row["geometry"]["type"] == "LineString" and row["attributes"]["nombre"] == "Atoyac" and len(row["geometry"]["parts"][0]) == 2
 
 
+def poly_record(kind, parts):
+    starts, xy = [], []
+    for part in parts:
+        starts.append(len(xy))
+        xy += part
+    return struct.pack("<i4d2i", kind, 0, 0, 9, 9, len(parts), len(xy)) + struct.pack(f"<{len(parts)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in xy)
+
+
+def test_lines_and_polygons_with_code_page_and_reference_system(spark, tmp_path):
+    ring, line = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)], [(0.0, 0.0), (2.0, 3.0)]
+    records = [poly_record(3, [line]), poly_record(5, [ring]), poly_record(3, [line, line]), struct.pack("<i", 0)]
+    body = b"".join(struct.pack(">2i", k, len(r) // 2) + r for k, r in enumerate(records, 1))
+    shapefile(tmp_path, "l", [(0.0, 0.0)] * 4)
+    (tmp_path / "l.shp").write_bytes(b"\0" * 100 + body)
+    data = (tmp_path / "l.dbf").read_bytes().replace("río".encode().ljust(10), "año".encode("cp1252").ljust(10))
+    (tmp_path / "l.dbf").write_bytes(data)
+    (tmp_path / "l.cpg").write_text("1252")
+    (tmp_path / "l.prj").write_text('GEOGCS["WGS 84"]')
+    rows = readers.read_shapefiles(spark, str(tmp_path)).orderBy("feature_id").collect()
+    assert [r["geometry"] and r["geometry"]["type"] for r in rows] == ["LineString", "Polygon", "MultiLineString", None]
+    assert [(p["x"], p["y"]) for p in rows[1]["geometry"]["parts"][0]] == ring
+    assert {r["attributes"]["NOMBRE"] for r in rows} == {"año"} and {r["crs"] for r in rows} == {'GEOGCS["WGS 84"]'}
+    assert [readers.code_page(x) for x in (None, b"UTF-8", b"1252", b"ANSI 1252", b"nonsense", b"ISO-8859-1\r\n")] == ["utf-8", "utf-8", "cp1252", "cp1252", "utf-8", "iso8859-1"]
+
+
+def test_first_optional_and_template_sources(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    for name in ("b/two.csv", "one.csv"):
+        (tmp_path / name).write_text("x,y\n1,2\n")
+    assert readers.first_of(spark, str(tmp_path), "*.CSV").endswith("b/two.csv")
+    with pytest.raises(FileNotFoundError):
+        readers.first_of(spark, str(tmp_path / "none"), "*.csv")
+    assert readers.optional(spark, str(tmp_path / "layer")) is None
+    spark.range(3).write.parquet(str(tmp_path / "layer"))
+    assert readers.optional(spark, str(tmp_path / "layer/")).count() == 3
+    found = readers.read_templates(spark, {"a": str(tmp_path / "one.csv"), "c": str(tmp_path / "three.csv")})
+    assert list(found) == ["a"] and found["a"].first().asDict() == {"x": "1", "y": "2"}
+    assert readers.union_by_name([spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([("q",)], "b string")]).collect() == [(1, None), (None, "q")]
+
+
+def test_provenance_and_missing_columns(spark):
+    paths = [("file:/data/raw/Agebs/x.shp",), ("agebs\\huejotzingo\\y.shp",), ("z.shp",), (None,)]
+    rows = readers.with_provenance(spark.createDataFrame(paths, "source_path string"), "agebs").collect()
+    assert [(r["source_file"], r["source_folder"], r["layer_type"]) for r in rows] == [("x.shp", "Agebs", "agebs"), ("y.shp", "huejotzingo", "agebs"), ("z.shp", "", "agebs"), (None, None, "agebs")]
+    filled = frames.ensure(spark.createDataFrame([("n",)], "notas_auditoria string"), ["notas_auditoria", "fecha_auditoria"]).first()
+    assert filled.asDict() == {"notas_auditoria": "n", "fecha_auditoria": ""}
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    rows = spark.sql("SELECT timestamp'2026-01-01 00:10:00' AS ts, 'alta' AS prioridad_campo UNION ALL SELECT timestamp'2026-01-01 00:50:00', 'alta' UNION ALL SELECT timestamp'2026-01-01 01:10:00', 'baja'")
+    rows.write.parquet(str(tmp_path / "in"))
+    run = rules.priority_counts(rules.read_registry(spark, str(tmp_path / "in"), rows.schema), "ts").writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).start()
+    run.processAllAvailable()
+    run.stop()
+    assert sorted((r["window"]["start"].hour, r["prioridad_campo"], r["n"]) for r in spark.table("counted").collect()) == [(0, "alta", 2), (1, "baja", 1)]
+
+
 @pytest.mark.parametrize("encoding", ["utf-8-sig", "latin1"])
 def test_csv_encodings(spark, tmp_path, encoding):
     (tmp_path / "t.csv").write_bytes("año,b\nñandú,1\n".encode(encoding))
