@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Upper edges of the distance bands and their labels; bands are closed on the right.
@@ -83,6 +84,35 @@ def project_lcc(lon: Column, lat: Column, p: dict[str, float] = LCC) -> Column:
     return F.struct((p["x0"] + r * F.sin(theta)).alias("x"), (p["y0"] + scale * t(a0) ** n - r * F.cos(theta)).alias("y"))
 
 
+def project_utm(lon: Column, lat: Column, zone: int = 14, a: float = LCC["a"], f: float = LCC["f"]) -> Column:
+    """``x, y`` in metres of a northern transverse Mercator zone, by the series in the third flattening."""
+    n = f / (2 - f)
+    series = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
+    scale, c = 0.9996 * a / (1 + n) * (1 + n**2 / 4 + n**4 / 64), 2 * math.sqrt(n) / (1 + n)
+    sin, side = F.sin(F.radians(lat)), F.radians(lon - (6 * zone - 183))
+    t = F.sinh(F.atanh(sin) - c * F.atanh(c * sin))
+    north, east = F.atan2(t, F.cos(side)), F.atanh(F.sin(side) / F.sqrt(1 + t * t))
+    x, y = east, north
+    for k, alpha in enumerate(series, 1):
+        x = x + alpha * F.cos(2 * k * north) * F.sinh(2 * k * east)
+        y = y + alpha * F.sin(2 * k * north) * F.cosh(2 * k * east)
+    return F.struct((F.lit(500_000.0) + scale * x).alias("x"), (scale * y).alias("y"))
+
+
+#: Metric projections in the order of preference.
+PROJECTIONS = {"EPSG:6372": project_lcc, "EPSG:32614": project_utm}
+
+
+def choose_projection(spark: SparkSession, lon: float = -98.2, lat: float = 19.1, candidates: dict[str, Callable[[Column, Column], Column]] | None = None) -> str:
+    """The first projection that gives a probe point finite coordinates."""
+    candidates = candidates or PROJECTIONS
+    at = spark.range(1).select(*(p(F.lit(lon), F.lit(lat)).alias(name) for name, p in candidates.items())).first()
+    for name, point in zip(candidates, at, strict=True):
+        if point is not None and point["x"] is not None and math.isfinite(point["x"]):
+            return name
+    raise ValueError(f"none of {', '.join(candidates)} gives finite coordinates at {lon}, {lat}")
+
+
 def unproject_lcc(x: Column, y: Column, p: dict[str, float] = LCC) -> Column:
     """``lon, lat`` in degrees of metres: the inverse of ``project_lcc``; the latitude settles in six rounds."""
     e = math.sqrt(2 * p["f"] - p["f"] ** 2)

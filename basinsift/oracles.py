@@ -334,6 +334,8 @@ ORACLES: dict[str, str] = {
       count_if(distancia <= 250) AS cercanos_hidrografia, count_if(categoria_sugerida = 'revisar') AS requieren_revision_manual, count_if(categoria_sugerida = 'excluir') AS probablemente_excluibles FROM rev) UNPIVOT (n FOR k IN (total_registros, posible_alta_relevancia, cercanos_hidrografia, requieren_revision_manual, probablemente_excluibles))""",
     "map_colors": f"WITH {CLS} SELECT id, " + ", ".join(f"{_color(c, x)} AS {c}" for c, x in (("etapa_productiva_sugerida", "st"), ("presion_ambiental_potencial", "pr"), ("confianza_clasificacion", "cf"), ("prioridad_auditoria", "pa"))) + f", {q(OTHER_COLUMN)} AS municipio FROM cls",
     "legend_groups": """SELECT value, if(value = '', 'sin dato', value) || ' (' || n || ')' AS label, n FROM (SELECT CASE WHEN doc_id % 11 = 0 THEN '' ELSE source END AS value, count(*) AS n FROM documents GROUP BY 1) ORDER BY value LIMIT 16""",
+    "provenance": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'raw/' || source WHEN 1 THEN 'raw/' || lang || '/' || source WHEN 2 THEN 'raw/' || lang || '/' || source || '/' || source ELSE 'elsewhere/' || lang || '/' || source END || '.shp' AS relpath,
+      CASE doc_id % 4 WHEN 0 THEN '.' WHEN 1 THEN lang WHEN 2 THEN lang || '/' || source ELSE lang END AS origin, source || '.shp' AS file FROM documents""",
 }
 _one, _two = (f"SELECT {p}::BIGINT AS part, {columns} FROM ({ORACLES[k]})" for p, columns, k in ((0, "validacion, ok, NULL AS universe, NULL::BIGINT AS n", "quality_checks"), (2, "NULL, NULL, universe, n", "universe_counts")))
 ORACLES["control_sheet"] = f"{_one} UNION ALL SELECT 1, NULL, NULL, NULL, NULL UNION ALL {_two}"

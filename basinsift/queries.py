@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basinsift.functions import codes, geo, text
+from basinsift.functions import codes, geo, paths, text
 from basinsift.operators import checks, frames, overlay, review, spatial, workbook
 from basinsift.plans import cascade
 from basinsift.plans.catalogue import LOCALITIES, Catalogue
@@ -818,3 +818,12 @@ def map_colors(spark, d):
 def legend_groups(spark, d):
     df = load(spark, d, "documents").select(F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.col("source")).alias("source"))
     return frames.legend(df, "source")
+
+
+@query
+def provenance(spark, d):
+    """Paths as a scan of a source folder would give them, some of them from elsewhere."""
+    c = F.col
+    folder = codes.first_match([(c("doc_id") % 4 == 0, F.lit("data/raw/")), (c("doc_id") % 4 == 1, F.concat(F.lit("data/raw/"), c("lang"), F.lit("/"))), (c("doc_id") % 4 == 2, F.concat(F.lit("data/raw/"), c("lang"), F.lit("/"), c("source"), F.lit("/")))], F.concat(F.lit("elsewhere/"), c("lang"), F.lit("/")))
+    df = load(spark, d, "documents").select("doc_id", F.concat(folder, c("source"), F.lit(".shp")).alias("path"))
+    return df.select("doc_id", paths.relative(c("path"), "data").alias("relpath"), paths.origin_folder(c("path"), "data/raw").alias("origin"), paths.file_name(c("path")).alias("file"))

@@ -100,6 +100,22 @@ def test_projection_and_back(spark):
         assert math.isclose(r["q"]["lon"], r["lon"], abs_tol=1e-9) and math.isclose(r["q"]["lat"], r["lat"], abs_tol=1e-9)
 
 
+def test_transverse_mercator_and_choice(spark):
+    """On the zone's meridian the northing is the scaled arc, here summed numerically; eastings are symmetric."""
+    a, e2 = geo.LCC["a"], 2 * geo.LCC["f"] - geo.LCC["f"] ** 2
+    steps = 20_000
+    arc = sum(a * (1 - e2) / (1 - e2 * math.sin((k + 0.5) * math.radians(19.1) / steps) ** 2) ** 1.5 for k in range(steps)) * math.radians(19.1) / steps
+    rows = spark.createDataFrame([(-99.0, 19.1), (-98.2, 19.1), (-99.8, 19.1)], "lon double, lat double")
+    middle, east, west = (r["p"] for r in rows.select(geo.project_utm(F.col("lon"), F.col("lat")).alias("p")).collect())
+    assert math.isclose(middle["x"], 500_000, abs_tol=1e-6) and math.isclose(middle["y"], 0.9996 * arc, abs_tol=1e-3)
+    assert math.isclose(east["x"] - 500_000, 500_000 - west["x"], abs_tol=1e-6) and 84_000 < east["x"] - 500_000 < 84_300 and east["y"] > middle["y"]
+    assert geo.choose_projection(spark) == "EPSG:6372"
+    nowhere = lambda lon, lat: F.struct((lon * float("nan")).alias("x"), lat.alias("y"))
+    assert geo.choose_projection(spark, candidates={"bad": nowhere, "EPSG:32614": geo.project_utm}) == "EPSG:32614"
+    with pytest.raises(ValueError, match="none of bad"):
+        geo.choose_projection(spark, candidates={"bad": nowhere})
+
+
 def test_row_numbers_are_whole(spark):
     df = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("k"))
     got = {r["k"]: r["row_id"] for r in frames.with_row_number(df, ["k"]).collect()}
