@@ -43,8 +43,10 @@ WORDS, THRESHOLD = 4, 56
 APART, RECALL = 0.13, 0.99
 #: Least number of bits by which prints meet, and unrelated prints that may share them.
 KEY_BITS, STRANGERS = 12, 1024
-#: Shingles and sets of one chunk of a family.
-CHUNK_SHINGLES, CHUNK_SETS = 1 << 20, 1024
+#: Shingles and sets that one chunk of a family may have; families above ``SPREAD_SETS`` are cut into up to
+#: ``SPREAD`` chunks anyway, so that a large one is spread over tasks.
+CHUNK_SHINGLES, CHUNK_SETS = 1 << 20, 4096
+SPREAD_SETS, SPREAD = 256, 16
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _CODE = [f"c{k}" for k in range(WORDS)]
@@ -218,7 +220,8 @@ def links(distinct: DataFrame, sets: DataFrame) -> DataFrame:
     """``u, v``: verified links that span every group of near copies.  ``distinct`` has ``fp, place, n`` and the print, one row for each set."""
     members = materialize(distinct.join(families(distinct), "fp").select("fp", "family", "place", "n", *_CODE), "members")
     total = members.groupBy("family").agg(F.sum(F.col("n").cast("long")).alias("total"), F.count("*").alias("c"))
-    many = total.select("family", F.ceil(F.greatest(F.col("total") / CHUNK_SHINGLES, F.col("c") / CHUNK_SETS)).cast("int").alias("chunks")).filter("chunks > 1")
+    chunks = F.ceil(F.greatest(F.col("total") / CHUNK_SHINGLES, F.col("c") / CHUNK_SETS, F.least(F.col("c") / SPREAD_SETS, F.lit(float(SPREAD))))).cast("int")
+    many = total.select("family", chunks.alias("chunks")).filter("chunks > 1")
     chunk = F.expr("pmod(xxhash64(fp), chunks)").cast("int")
     pairs = F.expr("transform(sequence(0, chunks - 1), x -> struct(least(x, chunk) AS i, greatest(x, chunk) AS j))")
     dealt = (
