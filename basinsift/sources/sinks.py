@@ -88,11 +88,36 @@ def feature_collection(features: DataFrame, column: str = "feature") -> str:
     return '{"type":"FeatureCollection","features":[' + ",".join(r[column] for r in document_rows(features.select(column))) + "]}"
 
 
-def map_page(title: str, features: DataFrame, center: tuple[float, float], column: str = "feature") -> str:
-    """A page that draws GeoJSON points; a frame without rows gives a placeholder page."""
-    data = feature_collection(features, column)
-    body = f"<script>const features = {data}; const center = {json.dumps(center)};</script>" if '"Feature"' in data else "<p>Sin registros</p>"
-    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><div id="map"></div>{body}</body></html>'
+#: Draws points, lines and polygons in their box; a feature's ``color`` property is its colour, its other properties its label.
+_DRAW = """
+const svg = document.getElementById('map'), all = [], ns = 'http://www.w3.org/2000/svg';
+const walk = c => typeof c[0] === 'number' ? all.push(c) : c.forEach(walk);
+const shapes = features.features.filter(f => f.geometry);
+shapes.forEach(f => walk(f.geometry.coordinates));
+const xs = all.map(c => c[0]), ys = all.map(c => c[1]), least = v => v.reduce((a, b) => Math.min(a, b), Infinity), most = v => v.reduce((a, b) => Math.max(a, b), -Infinity);
+const box = all.length ? [least(xs), least(ys), most(xs), most(ys)] : [center[0] - 1, center[1] - 1, center[0] + 1, center[1] + 1];
+const scale = 900 / Math.max(box[2] - box[0], box[3] - box[1], 1e-9), at = c => [(c[0] - box[0]) * scale + 20, (box[3] - c[1]) * scale + 20];
+const put = (kind, f, values) => { const e = document.createElementNS(ns, kind), t = document.createElementNS(ns, 'title'), p = f.properties || {};
+  Object.entries(values).forEach(([k, v]) => e.setAttribute(k, v));
+  t.textContent = Object.entries(p).filter(([k]) => k !== 'color').map(([k, v]) => k + ': ' + v).join('\\n'); e.appendChild(t); svg.appendChild(e); };
+const path = (lines, end) => lines.map(l => 'M' + l.map(c => at(c).join(' ')).join('L') + end).join('');
+const depth = {LineString: 1, MultiPoint: 1, MultiLineString: 2, Polygon: 2, MultiPolygon: 3};
+shapes.forEach(f => { const g = f.geometry, color = (f.properties || {}).color || '#2b8cbe', c = g.coordinates;
+  if (g.type === 'Point' || g.type === 'MultiPoint') (g.type === 'Point' ? [c] : c).forEach(q => put('circle', f, {cx: at(q)[0], cy: at(q)[1], r: 5, fill: color}));
+  else { const area = g.type.endsWith('Polygon'); put('path', f, {d: path(depth[g.type] === 1 ? [c] : depth[g.type] === 2 ? c : c.flat(), area ? 'Z' : ''), fill: area ? color : 'none', 'fill-opacity': 0.3, stroke: color}); } });
+"""
+
+
+def map_page(title: str, features: DataFrame, center: tuple[float, float], column: str = "feature", legend: dict[str, str] | None = None) -> str:
+    """A page that draws GeoJSON features of any kind, needing nothing from a network; a frame without rows gives a placeholder page.
+
+    ``legend`` gives the colour of each label below the map.
+    """
+    data = feature_collection(features, column).replace("</", "<\\/")
+    drawn = f'<svg id="map" viewBox="0 0 940 940"></svg><script>const features = {data}, center = {json.dumps(center)};{_DRAW}</script>'
+    labels = "".join(f'<li style="color:{escape(color)}">{escape(label)}</li>' for label, color in (legend or {}).items())
+    body = drawn + (f"<ul>{labels}</ul>" if labels else "") if '"Feature"' in data else "<p>Sin registros</p>"
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>{body}</body></html>'
 
 
 def index_page(title: str, entries: list[tuple[str, str, int]]) -> str:

@@ -137,6 +137,9 @@ def test_sinks(spark, tmp_path):
     assert next(p for p in (tmp_path / "csv").glob("*.csv")).read_bytes().startswith(b"\xef\xbb\xbf")
     page = sinks.map_page("t", spark.createDataFrame([], "feature string"), (0.0, 0.0))
     assert "Sin registros" in page
+    shapes = spark.createDataFrame([('{"type":"Feature","properties":{"n":"</script>"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}}',)], "feature string")
+    page = sinks.map_page("a & b", shapes, (0.0, 0.0), legend={"alta <": "#b2182b"})
+    assert page.count("</script>") == 1 and "a &amp; b" in page and '"Polygon"' in page and '<li style="color:#b2182b">alta &lt;</li>' in page
     assert "## x" in sinks.report("r", {"x": df}) and sinks.run_metadata(df, "s", "f", "c").first()["registros"] == 2
     sinks.write_text(spark, str(tmp_path / "i.html"), sinks.index_page("i", [("a", "a.html", 3)]))
     assert "(3)" in (tmp_path / "i.html").read_text()
