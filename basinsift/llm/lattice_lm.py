@@ -365,3 +365,23 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def lattice_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op10_lattice_lm`` that SQL can express: a further check."""
+    return op10_lattice_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+#: The remainder of the crc32 is computed bit by bit: 3988292384 is the reversed polynomial.
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes FROM documents),
+r AS (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+  xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 10 = 0 AS held_out FROM d),
+w AS (SELECT doc_id, held_out, unnest(words) AS word FROM r),
+c AS (SELECT word, count(*) AS c FROM w WHERE NOT held_out GROUP BY word),
+t AS (SELECT (SELECT coalesce(sum(c), 0) FROM c) + count_if(NOT held_out) AS n, (SELECT count(*) FROM c) + CAST(count_if(NOT held_out) > 0 AS INTEGER) AS v, count_if(NOT held_out) AS docs FROM r),
+s AS (SELECT doc_id, count(*) AS n_words, count(c.c) AS seen, sum(log10(coalesce(c.c, 0) + 0.1)) AS part FROM w LEFT JOIN c USING (word) GROUP BY doc_id)
+SELECT r.doc_id, held_out, CAST(coalesce(n_words, 0) + 1 AS BIGINT) AS n_tokens, CAST(coalesce(seen, 0) + (docs > 0)::INTEGER AS BIGINT) AS n_known, CAST(n AS BIGINT) AS train_tokens,
+  round(coalesce(part, 0) + log10(docs + 0.1) - (coalesce(n_words, 0) + 1) * log10(n + 0.1 * (v + 1)), 4) AS base_score
+FROM r LEFT JOIN s ON r.doc_id = s.doc_id, t
+"""

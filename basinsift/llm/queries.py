@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_quality": quality.op9_quality,
         "op10_lattice_lm": lattice_lm.op10_lattice_lm,
+        # Columns of two of them that SQL can express.
+        "fingerprints_edited": sketch.fingerprints_edited,
+        "lattice_base": lattice_lm.lattice_base,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.OP2_SQL, "op5_warc": warc.OP5_SQL}
+    return {"op2_url_filter": url_filter.OP2_SQL, "op5_warc": warc.OP5_SQL, "fingerprints_edited": sketch.EDITED_SQL, "lattice_base": lattice_lm.BASE_SQL}

@@ -146,3 +146,15 @@ def op1_fingerprints(spark, sf_dir: str) -> DataFrame:
         resemblance(F.col("own"), F.col("changed")).alias("near_edited"), resemblance(F.col("own"), F.col("next_own")).alias("near_next"),
         distinct_shingles(F.col("own")).alias("n_shingles"),
     )
+
+
+def fingerprints_edited(spark, sf_dir: str) -> DataFrame:
+    """The columns of ``op1_fingerprints`` that SQL can express: a further check."""
+    return op1_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+EDITED_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, length(text) AS n_chars, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS following FROM d)
+SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, sha256(left(text, n_chars - n_chars // 4) || left(following, n_chars // 4)) AS edited_sha256 FROM n
+"""
