@@ -55,7 +55,7 @@ def nearest_distance(points: DataFrame, segments: DataFrame, id_col: str, cell:
     around = places.select("x", "y", F.inline(_cells(F.col("x") - cell, F.col("y") - cell, F.col("x") + cell, F.col("y") + cell, cell)))
     best = materialize(around.join(laid, ["i", "j"], "left").groupBy("x", "y").agg(distance), "near")
     far = best.filter(F.col("distance").isNull() | (F.col("distance") > cell)).select("x", "y")
-    found = best.filter(F.col("distance") <= cell).unionByName(_descend(far, laid, distance, cell, extent))
+    found = best if far.isEmpty() else best.filter(F.col("distance") <= cell).unionByName(_descend(far, laid, distance, cell, extent))
     return points.select(id_col, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).join(found, ["x", "y"], "left").select(id_col, "distance")
 
 
