@@ -45,7 +45,7 @@ APART, RECALL = 0.13, 0.99
 KEY_BITS, STRANGERS = 12, 1024
 #: Shingles and sets that one chunk of a family may have; families above ``SPREAD_SETS`` are cut into up to
 #: ``SPREAD`` chunks anyway, so that a large one is spread over tasks.
-CHUNK_SHINGLES, CHUNK_SETS = 1 << 20, 4096
+CHUNK_SHINGLES, CHUNK_SETS = 1 << 20, 2048
 SPREAD_SETS, SPREAD = 128, 16
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
