@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -55,6 +56,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*frames: DataFrame, collect: bool = True) -> None:
+    """Removes materialized tables that are read no more; with ``collect`` the driver also drops the files of past shuffles."""
+    spark = frames[0].sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for df in frames for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    if collect:
+        gc.collect()
+        jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the bytes of the session's Arrow batches, unless a smaller bound is set; results don't depend on it."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -21,7 +21,6 @@ verified links; rows without an id take no part and stay.
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterable, Iterator
 
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basinsift.llm import simhash
-from basinsift.llm.common import fresh, lower_ascii, materialize, portions, small_batches
+from basinsift.llm.common import fresh, lower_ascii, materialize, portions, release, small_batches
 
 #: Words of a shingle of the sets that decide, and of the prints that find candidates.
 SHINGLE_WORDS, PRINT_WORDS = 5, 3
@@ -129,17 +128,6 @@ def keyed(docs: DataFrame, name: str) -> DataFrame:
     return docs.withColumn(name, key(F.col("text").cast("string")))
 
 
-def release(*frames: DataFrame) -> None:
-    """Removes materialized tables that are read no more, and has the driver drop the files of past shuffles."""
-    for df in frames:
-        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-    gc.collect()
-    frames[0].sparkSession.sparkContext._jvm.System.gc()
-
-
 def choices(prints: int) -> list[list[tuple[int, int]]]:
     """For each choice of bits: the place, and the number of bits, that it takes from each word."""
     bits = KEY_BITS

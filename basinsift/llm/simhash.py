@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basinsift.llm.common import fresh, lower_ascii, materialize, partitions, portions, small_batches, table
+from basinsift.llm.common import fresh, lower_ascii, materialize, partitions, portions, release, small_batches, table
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -305,8 +305,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         # The greater end of a link has few links after a large star: one for each centre it met.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.inline(F.expr("array(struct(v AS u, m AS v), struct(u AS u, m AS v))")))
-        edges = materialize(small.filter("u <> v").distinct(), "small")
+        before, edges = edges, materialize(small.filter("u <> v").distinct(), "small")
         now = state()
+        release(before, large, collect=now == mark)
         if now == mark:
             break
         mark = now
