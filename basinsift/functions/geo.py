@@ -143,6 +143,30 @@ def repaired(geometry: Column) -> Column:
     return F.when(F.size(parts) > 0, F.struct(geometry["type"].alias("type"), parts.alias("parts")))
 
 
+def ring_area(ring: Column) -> Column:
+    """Signed area of a closed ring, positive if it runs counter-clockwise; taken from its first vertex, so large coordinates don't blur it."""
+    first = F.get(ring, F.lit(0))
+    pairs = F.zip_with(F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), lambda a, b: (a.x - first.x) * (b.y - first.y) - (b.x - first.x) * (a.y - first.y))
+    return F.aggregate(pairs, F.lit(0.0), lambda total, v: total + v) / 2
+
+
+def polygons(geometry: Column) -> Column:
+    """Polygons of a geometry, each an array of rings, its shell first; null for others than polygons.
+
+    The rings of several polygons lie in one array, each shell before its holes; rings that turn the other way than the first one are holes.
+    """
+    parts = geometry["parts"]
+    turned = F.transform(parts, lambda ring: F.struct(ring_area(ring).alias("area"), ring.alias("ring")))
+    empty = F.slice(F.array(parts), 1, 0)
+
+    def grouped(rings: Column) -> Column:
+        first = F.get(rings, F.lit(0)).area
+        add = lambda found, r: F.when(r.area * first >= 0, F.concat(found, F.array(F.array(r.ring)))).otherwise(F.concat(F.slice(found, F.lit(1), F.size(found) - 1), F.array(F.concat(F.element_at(found, -1), F.array(r.ring)))))
+        return F.aggregate(rings, empty, add)
+
+    return F.when(geometry["type"] == "Polygon", F.array(parts)).when(geometry["type"] == "MultiPolygon", F.get(F.transform(F.array(turned), grouped), F.lit(0)))
+
+
 def edges(geometry: Column) -> Column:
     """``x1, y1, x2, y2`` of the edges of all parts."""
     pairs = lambda part: F.transform(F.slice(part, F.lit(2), F.greatest(F.size(part) - 1, F.lit(0))), lambda v, k: F.struct(F.get(part, k).x.alias("x1"), F.get(part, k).y.alias("y1"), v.x.alias("x2"), v.y.alias("y2")))
@@ -157,12 +181,13 @@ def box(geometry: Column) -> Column:
 
 
 def geojson(geometry: Column, *properties: Column) -> Column:
-    """A feature of any geometry; each part of several polygons is one polygon."""
-    parts = F.transform(geometry["parts"], lambda part: F.transform(part, lambda v: F.array(v.x, v.y)))
+    """A feature of any geometry; polygons keep their holes."""
+    place = lambda part: F.transform(part, lambda v: F.array(v.x, v.y))
+    parts = F.transform(geometry["parts"], place)
     shape = (
         F.when(geometry["type"] == "Point", F.to_json(F.get(F.get(parts, F.lit(0)), F.lit(0))))
         .when(geometry["type"].isin("LineString", "MultiPoint"), F.to_json(F.get(parts, F.lit(0))))
-        .when(geometry["type"] == "MultiPolygon", F.to_json(F.transform(parts, lambda part: F.array(part))))
+        .when(geometry["type"] == "MultiPolygon", F.to_json(F.transform(polygons(geometry), lambda rings: F.transform(rings, place))))
         .otherwise(F.to_json(parts))
     )
     return F.concat(

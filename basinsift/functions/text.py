@@ -5,28 +5,97 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _fold_table() -> tuple[str, str]:
-    """Lower-case Latin letters that decompose to one ASCII letter plus marks, and those letters."""
-    source, target = [], []
-    for code in range(0xC0, 0x250):
-        c = chr(code)
-        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if c == c.lower() and len(base) == 1 and base.isascii() and base.isalpha():
-            source.append(c)
-            target.append(base)
-    return "".join(source), "".join(target)
+#: Precomposed syllables of U+AC00 on decompose by arithmetic into 19 leads, 21 vowels and 27 tails; nothing decomposes beyond ``_LAST``.
+_SYLLABLES, _LEADS, _VOWELS, _TAILS, _LAST = (0xAC00, 0xD7A3), (0x1100, 19), (0x1161, 21), (0x11A8, 27), 0x30000
+#: Below this point letters are looked up in a small table; texts with others take the whole one.
+_LATIN_END = 0x250
 
 
-_FOLD = _fold_table()
+def strip_py(text: str) -> str:
+    """Compatibility decomposition without combining marks."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+@cache
+def _decompositions() -> dict[str, str]:
+    """What each character becomes, if not itself; precomposed syllables are left out."""
+    codes = (c for c in range(0x80, _LAST) if not (_SYLLABLES[0] <= c <= _SYLLABLES[1] or 0xD800 <= c <= 0xDFFF))
+    return {chr(c): base for c in codes if (unicodedata.decomposition(chr(c)) or unicodedata.combining(chr(c))) and (base := strip_py(chr(c))) != chr(c)}
+
+
+@cache
+def _letters(end: int = _LAST) -> tuple[str, str]:
+    """Characters that become a single one, followed by those that vanish, and the former's replacements."""
+    found = {c: base for c, base in _decompositions().items() if len(base) < 2 and ord(c) < end}
+    ordered = sorted(found, key=lambda c: (not found[c], c))
+    return "".join(ordered), "".join(found[c] for c in ordered)
+
+
+def _ranges(codes: Iterable[int]) -> str:
+    """Inside of a character class."""
+    out: list[list[int]] = []
+    for c in sorted(codes):
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
+
+
+@cache
+def _classes() -> tuple[str, str]:
+    """Patterns of what the small table can't do, and of what becomes several characters."""
+    several = [ord(c) for c, base in _decompositions().items() if len(base) > 1]
+    beyond = _ranges([c for c in several if c < _LATIN_END]) + f"\\x{{{_LATIN_END:x}}}-\\x{{10ffff}}"
+    return f"[{beyond}]", f"[{_ranges([*several, *range(_SYLLABLES[0], _SYLLABLES[1] + 1)])}]"
+
+
+@cache
+def _pages() -> tuple[str, str]:
+    """What becomes several characters, in pages of 256 code points: the number of each page, and the strings of all pages."""
+    several = {ord(c): base for c, base in _decompositions().items() if len(base) > 1}
+    used = sorted({c >> 8 for c in several})
+    numbers = [str(used.index(p)) if p in used else "-1" for p in range(_LAST >> 8)]
+    return ",".join(numbers), "\x01".join(several.get((p << 8) + k, "") for p in used for k in range(256))
+
+
+def _expanded(text: Column) -> Column:
+    """Each character that becomes several, replaced."""
+    numbers, strings = (F.lit(x) for x in _pages())
+    run = lambda first, n: F.lit("".join(chr(first + k) for k in range(n)))
+
+    def syllable(code: Column) -> Column:
+        s = code - _SYLLABLES[0]
+        at = lambda table, k: F.substr(run(*table), k.cast("int") + 1, F.lit(1))
+        tail = F.when(s % 28 > 0, at(_TAILS, s % 28 - 1)).otherwise("")
+        return F.concat(at(_LEADS, F.floor(s / 588)), at(_VOWELS, F.floor(s % 588 / 28)), tail)
+
+    def piece(c: Column) -> Column:
+        code = F.ascii(c)
+        page = F.get(F.split(numbers, ",").cast("array<int>"), F.shiftright(code, 8))
+        found = F.nullif(F.get(F.split(strings, "\x01"), page * 256 + code.bitwiseAND(F.lit(255))), F.lit(""))
+        return F.when(code < 0x80, c).when(code.between(*_SYLLABLES), syllable(code)).otherwise(F.coalesce(found, c))
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), piece), "")
+
+
+def strip_accents(col: Column) -> Column:
+    """Compatibility decomposition without combining marks, of any text; ASCII stays, Latin letters take a small table."""
+
+    def whole(x: Column) -> Column:
+        return let(F.translate(x, *_letters()), lambda y: F.when(y.rlike(_classes()[1]), _expanded(y)).otherwise(y))
+
+    return let(col, lambda x: F.when(is_ascii(x), x).when(~x.rlike(_classes()[0]), F.translate(x, *_letters(_LATIN_END))).otherwise(whole(x)))
 
 
 def fold_py(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    return strip_py(text).lower()
 
 
 def tokens_py(text: str) -> str:
@@ -48,8 +117,8 @@ def is_ascii(col: Column) -> Column:
 
 
 def fold(col: Column) -> Column:
-    """Lower case without accents; null as empty.  Only texts with other than ASCII characters are looked up letter by letter."""
-    return let(F.lower(F.coalesce(col, F.lit(""))), lambda low: F.when(is_ascii(low), low).otherwise(F.translate(low, *_FOLD)))
+    """Lower case without accents; null as empty."""
+    return F.lower(strip_accents(F.coalesce(col, F.lit(""))))
 
 
 def normalize(col: Column) -> Column:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,3 +29,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that is not taken (names compare without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Rows of one key above which ``join_spread`` deals them out.
+SPREAD_ROWS = 100_000
+
+
+def join_spread(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", rows: int = SPREAD_ROWS) -> DataFrame:
+    """A join whose left side may hold very many rows of one key: these are dealt out by a hash, and the right side's rows of the key repeated.
+
+    Keys of more than ``rows`` rows are looked for first; there are no more than the left side's rows divided by ``rows``.
+    """
+    hot = materialize(left.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > rows).withColumn("__parts", F.ceil(F.col("__n") / rows).cast("int")).drop("__n"), "hot")
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    few = F.broadcast(hot)
+    dealt = left.join(few, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    copied = right.join(few, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(copied, [*keys, "__salt"], how).drop("__salt")

@@ -8,11 +8,13 @@ from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basinsift.functions import geo
-from basinsift.operators.shared import materialize
+from basinsift.functions import geo, rings
+from basinsift.operators import cover
+from basinsift.operators.shared import fresh, materialize
 
 
 #: Cells of one level that meet in a cell of the next, along each axis, and cells of the top level.
@@ -92,12 +94,13 @@ def _descend(places: DataFrame, laid: DataFrame, distance: Column, cell: float,
 
 
 def point_in_polygon(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, cell: float) -> DataFrame:
-    """``point_id, polygon_id`` for every polygon (``ring``: closed array of points) that strictly holds the point; null for points in none."""
-    xs, ys = F.transform("ring", lambda p: p.x), F.transform("ring", lambda p: p.y)
-    laid = polygons.select(polygon_id, "ring", F.inline(_cells(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys), cell)))
-    placed = points.select(point_id, "x", "y", F.floor(F.col("x") / cell).alias("i"), F.floor(F.col("y") / cell).alias("j"))
-    hits = placed.join(laid, ["i", "j"]).filter(geo.inside(F.col("x"), F.col("y"), F.col("ring"))).select(point_id, polygon_id)
-    return points.select(point_id).join(hits, point_id, "left")
+    """``point_id, polygon_id`` for every polygon that strictly holds the point; null for points in none.
+
+    A polygon is a ``geometry`` with any number of parts and holes, or a ``ring``, a closed array of points.
+    """
+    if "geometry" not in polygons.columns:
+        polygons = polygons.select(polygon_id, F.struct(F.lit("Polygon").alias("type"), F.array("ring").alias("parts")).alias("geometry"))
+    return cover.points_in_shapes(points, polygons, point_id, polygon_id, cell)
 
 
 def crop(df: DataFrame, x: str, y: str, bounds: tuple[float, float, float, float], pad: float) -> DataFrame:
@@ -107,9 +110,41 @@ def crop(df: DataFrame, x: str, y: str, bounds: tuple[float, float, float, float
     return df if kept.isEmpty() else kept
 
 
+def _replaced(shapes: pa.Array, nested: pa.Array) -> pa.Array:
+    """The shapes with those whose nested rings are given made valid; a valid one stays, one without any area has no parts."""
+    fixed, take = [], list(range(len(shapes)))
+    for k, polygons in enumerate(nested.to_pylist()):
+        if polygons is not None:
+            before = [[[(v["x"], v["y"]) for v in ring] for ring in polygon] for polygon in polygons]
+            after = rings.make_valid(before)
+            if after != before:
+                take[k] = len(shapes) + len(fixed)
+                parts = [[{"x": x, "y": y} for x, y in ring] for polygon in after for ring in polygon]
+                fixed.append({"type": "Polygon" if len(after) == 1 else "MultiPolygon", "parts": parts})
+    return pa.concat_arrays([shapes, pa.array(fixed, shapes.type)]).take(pa.array(take)) if fixed else shapes
+
+
 def repair(df: DataFrame, column: str = "geometry") -> DataFrame:
-    """Rows whose geometry holds something, with repeated vertices gone and rings closed."""
-    return df.withColumn(column, geo.repaired(F.col(column))).filter(F.col(column).isNotNull())
+    """Rows whose geometry holds something: repeated vertices gone, rings closed, and polygons valid.
+
+    Polygons are made valid by ``rings.make_valid``, one feature at a time; single triangles, which are valid, and others than
+    polygons are left to the native steps.
+    """
+    shape = F.col(column)
+    df = df.withColumn(column, geo.repaired(shape)).filter(shape.isNotNull())
+    one = F.get(shape["parts"], F.lit(0))
+    triangle = (F.size(shape["parts"]) == 1) & (F.size(one) <= 4) & (geo.ring_area(one) != 0)
+    names, nested = df.columns, fresh(df.columns, "nested")
+    at = names.index(column)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.columns[:-1]
+            columns[at] = _replaced(columns[at], batch.column(len(names)))
+            yield pa.record_batch(columns, names)
+
+    fixed = df.withColumn(nested, F.when(~triangle, geo.polygons(shape))).mapInArrow(run, df.schema)
+    return fixed.filter(F.size(shape["parts"]) > 0)
 
 
 def boundary_segments(df: DataFrame, column: str = "geometry") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from basinsift.functions import codes
 from basinsift.functions.text import tokens_py
-from basinsift.operators import frames
 from basinsift.plans import cascade
 from basinsift.plans.catalogue import COLORS, FAMILIES, FAMILY_NOTES, INSTRUCTIONS, LOCALITIES, OTHER_COLUMN, OTHER_VALUE, REGIONS, REVIEW_QUERIES, STAGE_QUERIES, STAGE_QUERY_DEFAULT
 from basinsift.queries import DIMENSIONS, HIGH, KEYWORDS, MAKING, MEDIUM, OTHER, PREFIXES, PROSE, SELECTED, TRADE, TRADE_PREFIXES, WORDS
@@ -197,7 +196,9 @@ _sheets = {
 }
 _marks = {"prioritarios": "pri", "universo_alcance_proyecto": "scope", "excluidos_comercio": "de = 'excluir_por_comercio'", "excluidos_renta": "de = 'excluir_por_renta'", "confeccion_especializada": "st = 'confeccion_especializada_baja_relevancia'", "ambiguos_auditar": "aud", "procesos_humedos": "wet"}
 _scope_marks = {"universo_alcance_proyecto": "scope", "procesos_humedos": "wet", "lavado_deslavado": "lav", "mezclilla_jeans": "mez", "fuera_alcance_contexto_textil": "NOT scope"}
-_names = [c for t in ("customer", "supplier", "part") for c in [*_inventory[t].split(", "), "Año Censal", "", "% total", "Año  censal"]]
+# Clean headers written out: the tables' own names are clean already, the same four odd headers follow each table.
+_odd = [[("Año Censal", "ano_censal"), ("", "columna"), ("% total", "total"), ("Año  censal", "ano_censal_2")], [("Año Censal", "ano_censal_3"), ("", "columna_2"), ("% total", "total_2"), ("Año  censal", "ano_censal_4")], [("Año Censal", "ano_censal_5"), ("", "columna_3"), ("% total", "total_3"), ("Año  censal", "ano_censal_6")]]
+_heads = [h for t, odd in zip(("customer", "supplier", "part"), _odd, strict=True) for h in [*((c, c) for c in _inventory[t].split(", ")), *odd]]
 _split0 = f"cand AS (SELECT *, {starts('code', PREFIXES)} OR {anysub('t', SELECTED)} AS candidate, {starts('code', TRADE_PREFIXES)} OR ({anysub('t', TRADE)} AND NOT {anysub('t', MAKING)}) AS ex_trade, {anysub('t', OTHER)} AND NOT {starts('code', PREFIXES)} AS ex_other FROM sea0)"
 _hex_rows = int(34 / 3**0.5)
 
@@ -273,7 +274,7 @@ ORACLES: dict[str, str] = {
     "dedup_keep_last": "SELECT o_custkey, max(o_orderkey) AS o_orderkey, max_by(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY o_custkey",
     "representative_sample": f"WITH {CLS}, lab AS (" + " UNION ALL ".join(f"SELECT {q(k)} AS tipo_ejemplo, id FROM cls WHERE {v}" for k, v in _marks.items()) + ") SELECT tipo_ejemplo, id, n FROM (SELECT *, row_number() OVER (PARTITION BY tipo_ejemplo ORDER BY id) AS n FROM lab) WHERE n <= 15",
     "surrogate_id": "SELECT row_number() OVER (ORDER BY p_name, p_partkey) AS row_id, p_partkey FROM part",
-    "unique_headers": "SELECT CAST(p AS BIGINT) AS position, raw, clean FROM (VALUES " + ", ".join(f"({k}, {q(a)}, {q(b)})" for k, (a, b) in enumerate(zip(_names, frames.unique_names(_names), strict=True))) + ") AS t(p, raw, clean)",
+    "unique_headers": "SELECT CAST(p AS BIGINT) AS position, raw, clean FROM (VALUES " + ", ".join(f"({k}, {q(a)}, {q(b)})" for k, (a, b) in enumerate(_heads)) + ") AS t(p, raw, clean)",
     "column_roles": "SELECT * FROM (VALUES ('customer', 'name', 'c_name'), ('customer', 'key', 'c_custkey'), ('customer', 'place', 'c_nationkey'), ('customer', 'date', 'c_mktsegment'), ('part', 'name', 'p_name'), ('part', 'price', 'p_retailprice'), ('part', 'key', 'p_partkey'), ('part', 'type', 'p_type'), ('orders', 'price', 'o_totalprice'), ('orders', 'key', 'o_orderkey'), ('orders', 'date', 'o_orderdate'), ('events', 'key', 'event_id'), ('events', 'type', 'event_type'), ('events', 'date', 'ts')) AS t(table_name, role, column_name)",
     "audit_priority_sort": f"WITH {REV} SELECT row_number() OVER (ORDER BY {_order}) AS position, id FROM rev",
     "top_k_priority": f"WITH {REV} SELECT id, prioridad_revision, distancia FROM rev ORDER BY {_order} LIMIT 30",
@@ -337,5 +338,33 @@ ORACLES: dict[str, str] = {
     "provenance": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'raw/' || source WHEN 1 THEN 'raw/' || lang || '/' || source WHEN 2 THEN 'raw/' || lang || '/' || source || '/' || source ELSE 'elsewhere/' || lang || '/' || source END || '.shp' AS relpath,
       CASE doc_id % 4 WHEN 0 THEN '.' WHEN 1 THEN lang WHEN 2 THEN lang || '/' || source ELSE lang END AS origin, source || '.shp' AS file FROM documents""",
 }
+
+
+def _diamond(cx: str, size: int, turn: int) -> str:
+    """Coordinates of a closed diamond as JSON."""
+    corners = [(f"{cx} + {size}", "cy"), (cx, f"cy + {size * turn}"), (f"{cx} - {size}", "cy"), (cx, f"cy - {size * turn}"), (f"{cx} + {size}", "cy")]
+    return "concat('[', " + ", ',', ".join(f"'[', {x}, ',', {y}, ']'" for x, y in corners) + ", ']')"
+
+
+_LATTICE = "dia AS (SELECT n_nationkey AS poly_id, (n_nationkey % 5) * 4000.0::DOUBLE + 2000 AS cx, (n_nationkey // 5) * 4000.0::DOUBLE + 2000 AS cy FROM nation)"
+ORACLES |= {
+    "point_in_rings": f"""WITH {PTS}, {_LATTICE} SELECT poly_id, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM pts LEFT JOIN dia
+      ON (abs(x - cx) + abs(y - cy) < 1700 AND abs(x - cx) + abs(y - cy) > 900) OR abs(x - cx - 2000) + abs(y - cy) < 200 GROUP BY poly_id""",
+    "polygon_holes": f"""WITH {_LATTICE} SELECT CAST(poly_id AS BIGINT) AS id, 2::BIGINT AS n_polygons, 2::BIGINT AS n_rings, concat('{{"type":"Feature","properties":{{"id":', poly_id, '}},"geometry":{{"type":"MultiPolygon","coordinates":[[',
+      {_diamond("cx", 1700, 1)}, ',', {_diamond("cx", 900, -1)}, '],[', {_diamond("cx + 2000", 200, 1)}, ']]}}}}') AS feature FROM dia""",
+    # Areas in squares of w: two triangles; a square; two squares without their overlap; a square without its part of the hole, and the rest of that; a square with a hole.
+    "make_valid": """SELECT s_suppkey AS id, if(s_suppkey % 5 IN (0, 2, 3), 'MultiPolygon', 'Polygon') AS type, [2, 1, 2, 2, 1][CAST(s_suppkey % 5 AS INTEGER) + 1]::BIGINT AS n_polygons,
+      [2, 1, 2, 2, 2][CAST(s_suppkey % 5 AS INTEGER) + 1]::BIGINT AS n_rings, [2, 16, 24, 14, 15][CAST(s_suppkey % 5 AS INTEGER) + 1]::DOUBLE * (s_suppkey % 50 + 2) * (s_suppkey % 50 + 2) AS area FROM supplier""",
+    "fold_decomposed": f"SELECT doc_id, md5({toks('text')}) AS tokens_md5 FROM documents",
+    "quantile_ranks": "WITH s AS (SELECT count(*) AS rows, quantile_cont(l_extendedprice, [" + ", ".join(f"{k / 20}" for k in range(21)) + "]) AS qs FROM lineitem) SELECT rows, CAST(k AS BIGINT) AS twentieth, round(qs[CAST(k AS INTEGER) + 1], 4) AS price FROM s, range(21) t(k)",
+    "layer_profile": """WITH f AS (SELECT s_suppkey AS k, s_nationkey AS nk, s_nationkey % 9 = 0 AS broken, CAST(s_suppkey * 3571 % 20000 AS DOUBLE) AS x, CAST(s_suppkey * 9173 % 20000 AS DOUBLE) AS y FROM supplier),
+      g AS (SELECT *, ['Polygon', 'LineString', 'Point', 'MultiLineString', 'LineString'][CAST(k % 6 AS INTEGER) + 1] AS kind, [100, 30, 0, 60][CAST(k % 6 AS INTEGER) + 1] AS wide, [50, 40, 0, 80][CAST(k % 6 AS INTEGER) + 1] AS tall FROM f)
+      SELECT concat('raw/', nk, '.shp') AS source_path, count(*) FILTER (WHERE NOT broken) AS n_features, coalesce(string_agg(DISTINCT kind, ',' ORDER BY kind) FILTER (WHERE NOT broken), '') AS geometry_types,
+        if(NOT bool_or(broken) AND nk % 2 = 0, 'EPSG:6372', '') AS crs, count(*) FILTER (WHERE NOT broken AND k % 6 = 5) AS n_null_geometry,
+        if(bool_or(broken), '', concat('clave:int64:0,nombre:object:', count(*) FILTER (WHERE k % 3 = 0), ',saldo:', if(count(*) FILTER (WHERE k % 4 <> 0) = 0, 'object', 'float64'), ':', count(*) FILTER (WHERE k % 4 = 0))) AS columns,
+        min(x) FILTER (WHERE NOT broken AND k % 6 < 4) AS minx, min(y) FILTER (WHERE NOT broken AND k % 6 < 4) AS miny, max(x + wide) FILTER (WHERE NOT broken) AS maxx, max(y + tall) FILTER (WHERE NOT broken) AS maxy,
+        if(bool_or(broken), 'error', 'ok') AS status, if(bool_or(broken), 'UnicodeDecodeError: bytes', '') AS error FROM g GROUP BY nk""",
+    "rule_usage": f"WITH {CLS} " + " UNION ALL ".join(f"SELECT {q(f)} AS familia_regla, {q('; '.join(ts))} AS terminos, count(*) FILTER (WHERE f_{f} <> '') AS n FROM cls" for f, ts in FAM.items()),
+}
 _one, _two = (f"SELECT {p}::BIGINT AS part, {columns} FROM ({ORACLES[k]})" for p, columns, k in ((0, "validacion, ok, NULL AS universe, NULL::BIGINT AS n", "quality_checks"), (2, "NULL, NULL, universe, n", "universe_counts")))
 ORACLES["control_sheet"] = f"{_one} UNION ALL SELECT 1, NULL, NULL, NULL, NULL UNION ALL {_two}"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basinsift.functions import codes, geo, paths, text
-from basinsift.operators import checks, frames, overlay, review, spatial, workbook
+from basinsift.operators import checks, frames, overlay, profiles, quantiles, review, spatial, workbook
 from basinsift.plans import cascade
 from basinsift.plans.catalogue import LOCALITIES, Catalogue
 
@@ -286,6 +286,27 @@ def point_in_polygon(spark, d):
     return hits.groupBy("poly_id").agg(F.count("*").alias("n"))
 
 
+def holed(spark: SparkSession, d: str) -> DataFrame:
+    """Diamonds around a lattice of nations: one with a hole, and a second one beside it."""
+    k = F.col("n_nationkey")
+    x, y = (k % 5) * 4000.0 + 2000.0, F.floor(k / 5) * 4000.0 + 2000.0
+
+    def diamond(cx: Column, size: float, turn: int) -> Column:
+        at = lambda a, b: F.struct((cx + a).alias("x"), (y + b).alias("y"))
+        corners = [at(size, 0.0), at(0.0, size * turn), at(-size, 0.0), at(0.0, -size * turn), at(size, 0.0)]
+        return F.array(*corners)
+
+    parts = F.array(diamond(x, 1700.0, 1), diamond(x, 900.0, -1), diamond(x + 2000.0, 200.0, 1))
+    return load(spark, d, "nation").select(k.alias("poly_id"), F.struct(F.lit("MultiPolygon").alias("type"), parts.alias("parts")).alias("geometry"))
+
+
+@query
+def point_in_rings(spark, d):
+    """Places per polygon of several parts and holes."""
+    hits = spatial.point_in_polygon(points(spark, d), holed(spark, d), "id", "poly_id", 1000.0)
+    return hits.groupBy("poly_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
 @query
 def choropleth_join(spark, d):
     areas = load(spark, d, "nation").select(F.col("n_name").alias("nombre"), F.col("n_nationkey").alias("clave"))
@@ -434,9 +455,18 @@ def map_center(spark, d):
 @query
 def histogram_quartiles(spark, d):
     v = load(spark, d, "customer").select("c_acctbal")
-    stats = v.agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"), F.percentile("c_acctbal", 0.25).alias("q1"), F.percentile("c_acctbal", 0.5).alias("q2"), F.percentile("c_acctbal", 0.75).alias("q3"))
-    binned = v.join(F.broadcast(stats)).withColumn("bin", F.least(F.lit(19), F.floor((F.col("c_acctbal") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 20))).cast("long"))
-    return binned.groupBy("bin", "q1", "q2", "q3").agg(F.count("*").alias("n")).select("bin", "n", r6(F.col("q1")).alias("q1"), r6(F.col("q2")).alias("q2"), r6(F.col("q3")).alias("q3"))
+    lo, q1, q2, q3, hi = quantiles.exact(v, "c_acctbal", [0.0, 0.25, 0.5, 0.75, 1.0])
+    binned = v.select(F.least(F.lit(19), F.floor((F.col("c_acctbal") - lo) / ((hi - lo) / 20))).cast("long").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    return binned.select("bin", "n", *(r6(F.lit(q)).alias(name) for name, q in (("q1", q1), ("q2", q2), ("q3", q3))))
+
+
+@query
+def quantile_ranks(spark, d):
+    """Order statistics of prices at many ranks, from histograms alone."""
+    shares = [k / 20 for k in range(21)]
+    found = quantiles.exact(load(spark, d, "lineitem"), "l_extendedprice", shares)
+    table = F.array(*(F.struct(F.lit(k).cast("long").alias("twentieth"), F.round(F.lit(v), 4).alias("price")) for k, v in enumerate(found)))
+    return load(spark, d, "lineitem").agg(F.count("*").alias("rows")).select("rows", F.inline(table))
 
 
 @query
@@ -529,6 +559,15 @@ def normalize_tokens(spark, d):
     return load(spark, d, "documents").select("doc_id", F.md5(text.tokens(F.col("text"))).alias("tokens_md5"))
 
 
+@query
+def fold_decomposed(spark, d):
+    """Token texts of documents whose accents are combining marks, and with letters in compatibility forms."""
+    value = F.col("text")
+    for plain, marks in (("é", "e\u0301"), ("è", "e\u0300"), ("ê", "e\u0302"), ("ñ", "n\u0303"), ("ü", "u\u0308"), ("ö", "o\u0308"), ("fi", "\ufb01"), ("T", "\uff34"), ("xa", "\U0001d431a")):
+        value = F.replace(value, F.lit(plain), F.lit(marks))
+    return load(spark, d, "documents").select("doc_id", F.md5(text.tokens(value)).alias("tokens_md5"))
+
+
 @query
 def slugify(spark, d):
     return load(spark, d, "part").select("p_partkey", text.slug(F.concat_ws(" - ", "p_name", "p_brand", "p_type"), "columna").alias("slug"), text.slug(F.lit("??"), "columna").alias("empty_slug"))
@@ -729,6 +768,41 @@ def repair_geometry(spark, d):
     return fixed.select("id", F.col("geometry.type").alias("type"), F.array_join(parts, ";").alias("vertices"))
 
 
+@query
+def polygon_holes(spark, d):
+    """Features of polygons with holes, and how many polygons and rings they have."""
+    shape = F.col("geometry")
+    nested = holed(spark, d).withColumn("polygons", geo.polygons(shape))
+    feature = geo.geojson(shape, F.col("poly_id").alias("id"))
+    return nested.select(F.col("poly_id").cast("long").alias("id"), F.size("polygons").cast("long").alias("n_polygons"), F.size(F.col("polygons")[0]).cast("long").alias("n_rings"), feature.alias("feature"))
+
+
+def tangled(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as invalid polygons: bow-ties, squares with a spike, overlapping squares, a hole that sticks out, and valid ones."""
+    k = F.col("s_suppkey")
+    x, y, w = (k * 3571 % 20000).cast("double"), (k * 9173 % 20000).cast("double"), (k % 50 + 2).cast("double")
+    ring = lambda *places: F.array(*(F.struct((x + w * a).alias("x"), (y + w * b).alias("y")) for a, b in places))
+    square = lambda a, b, c: ring((a, b), (a + c, b), (a + c, b + c), (a, b + c), (a, b))
+    kinds = [
+        ("Polygon", F.array(ring((0, 0), (2, 2), (2, 0), (0, 2), (0, 0)))),
+        ("Polygon", F.array(ring((0, 0), (4, 0), (4, 4), (6, 4), (4, 4), (0, 4), (0, 0)))),
+        ("MultiPolygon", F.array(square(0, 0, 4), square(2, 2, 4))),
+        ("Polygon", F.array(square(0, 0, 4), ring((1, 1), (1, 3), (6, 3), (6, 1), (1, 1)))),
+        ("Polygon", F.array(square(0, 0, 4), ring((1, 1), (1, 2), (2, 2), (2, 1), (1, 1)))),
+    ]
+    shape = codes.first_match([(k % 5 == n, F.struct(F.lit(kind).alias("type"), parts.alias("parts"))) for n, (kind, parts) in enumerate(kinds)], None)
+    return load(spark, d, "supplier").select(k.alias("id"), w.alias("w"), shape.alias("geometry"))
+
+
+@query
+def make_valid(spark, d):
+    """Polygons, rings and even-odd area of repaired features."""
+    fixed = spatial.repair(tangled(spark, d))
+    nested = geo.polygons(F.col("geometry"))
+    area = F.aggregate(F.transform("geometry.parts", geo.ring_area), F.lit(0.0), lambda total, a: total + a)
+    return fixed.select("id", F.col("geometry.type").alias("type"), F.size(nested).cast("long").alias("n_polygons"), F.size("geometry.parts").cast("long").alias("n_rings"), r6(area).alias("area"))
+
+
 @query
 def polygon_segments(spark, d):
     return spatial.boundary_segments(borders(spark, d)).select("id", *(F.col(c).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")))
@@ -772,6 +846,26 @@ def display_projection(spark, d):
     return back.select("c_custkey", r6(F.col("q.lon")).alias("lon"), r6(F.col("q.lat")).alias("lat"))
 
 
+def layers(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as features of as many layers as there are nations, some of them unreadable."""
+    c = F.col
+    base = load(spark, d, "supplier").join(shapes(spark, d).withColumnRenamed("id", "s_suppkey"), "s_suppkey")
+    values = F.create_map(F.lit("clave"), c("s_suppkey").cast("string"), F.lit("saldo"), F.when(c("s_suppkey") % 4 != 0, c("s_acctbal").cast("string")), F.lit("nombre"), F.when(c("s_suppkey") % 3 != 0, c("s_name")))
+    broken = c("s_nationkey") % 9 == 0
+    return base.select(
+        F.concat(F.lit("raw/"), c("s_nationkey").cast("string"), F.lit(".shp")).alias("source_path"), F.when(~broken, c("s_suppkey")).alias("feature_id"), F.when(~broken, c("geometry")).alias("geometry"),
+        F.when(~broken, values).alias("attributes"), F.when(~broken, F.when(c("s_nationkey") % 2 == 0, "EPSG:6372")).alias("crs"), F.when(broken, "UnicodeDecodeError: bytes").alias("error"),
+    )
+
+
+@query
+def layer_profile(spark, d):
+    found = profiles.layer_profile(layers(spark, d))
+    columns = F.array_join(F.transform("columns", lambda x: F.concat_ws(":", x["name"], x["dtype"], x["n_null"].cast("string"))), ",")
+    bounds = [F.col(f"bounds.{c}").alias(c) for c in ("minx", "miny", "maxx", "maxy")]
+    return found.select("source_path", "n_features", F.array_join("geometry_types", ",").alias("geometry_types"), F.array_join("crs", ",").alias("crs"), "n_null_geometry", columns.alias("columns"), *bounds, "status", "error")
+
+
 # -- workbook, catalogue, legend -------------------------------------------------------------------------------------------------------------
 
 
@@ -791,6 +885,14 @@ def rule_catalogue(spark, d):
     return workbook.rule_catalogue(spark)
 
 
+@query
+def rule_usage(spark, d):
+    """The catalogue of families with the number of establishments that hold a term of each."""
+    df = cascade.with_signals(searched(spark, d), PROSE)
+    used = frames.conditional_counts(df, {f: F.size(f"t_{f}") > 0 for f in PROSE.families}, "familia_regla")
+    return workbook.rule_catalogue(spark, PROSE.families).join(used, "familia_regla").select("familia_regla", "terminos", "n")
+
+
 @query
 def fill_instructions(spark, d):
     return workbook.instructions(spark)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinsift.functions import codes
+from basinsift.functions import codes, rings
 from basinsift.operators.frames import unique_names
 
 POINTS = "array<array<struct<x:double,y:double>>>"
@@ -87,6 +87,11 @@ def read_census(spark: SparkSession, path: str, preamble: int = 4, year: str = "
     return rows.filter(codes.safe_number(F.col(year)).isNotNull()).dropna(how="all")
 
 
+def _polygon_parts(polygons: list[list[list[tuple[float, float]]]]) -> tuple[str, list[list[tuple[float, float]]]]:
+    """Type and rings of polygons, each shell (counter-clockwise) before its holes (clockwise)."""
+    return ("Polygon" if len(polygons) == 1 else "MultiPolygon"), [ring for polygon in polygons for ring in polygon]
+
+
 def _parts(kind: int, body: bytes) -> tuple[str, list[list[tuple[float, float]]]]:
     """Type and parts of one shapefile record body."""
     base = kind % 10
@@ -100,8 +105,9 @@ def _parts(kind: int, body: bytes) -> tuple[str, list[list[tuple[float, float]]]
     at = 44 + 4 * n_parts
     xy = [struct.unpack_from("<2d", body, at + 16 * k) for k in range(n)]
     parts = [xy[a:b] for a, b in zip(starts, starts[1:], strict=False)]
-    name = "LineString" if base == 3 else "Polygon"
-    return (name if len(parts) == 1 else f"Multi{name}"), parts
+    if base == 3:
+        return ("LineString" if len(parts) == 1 else "MultiLineString"), parts
+    return _polygon_parts(rings.assign(parts))
 
 
 def parse_shp(data: bytes) -> list[tuple[str, list] | None]:
@@ -172,7 +178,7 @@ def parse_wkb(data: bytes, at: int = 0) -> tuple[tuple[str, list], int]:
     if kind == 3:
         for _ in range(count):
             ring, at = run(at)
-            parts.append(ring)
+            parts.append(rings.turned(ring, not parts) if len(ring) > 3 else ring)
         return ("Polygon", parts), at
     names = {4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon"}
     for _ in range(count):
