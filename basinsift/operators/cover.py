@@ -32,47 +32,35 @@ CELL_PLACES, CELLS_PER_PARTITION, DEEPEST = 4096, 8, 40
 _EDGE = "struct<k:int,x1:double,y1:double,x2:double,y2:double>"
 
 
-def cells_along(x1: Column, y1: Column, x2: Column, y2: Column, size: float) -> Column:
+def cells_along(size: float, x1: str = "x1", y1: str = "y1", x2: str = "x2", y2: str = "y2") -> Column:
     """Cells that a segment runs through, and those that it misses by rounding only."""
-    pad = size * PAD
-    low, high, slope = F.least(x1, x2), F.greatest(x1, x2), (y2 - y1) / F.nullif(x2 - x1, F.lit(0.0))
+    pad, slope = size * PAD, f"(({y2} - {y1}) / nullif({x2} - {x1}, 0D))"
+    at = lambda x: f"({y1} + ({x} - {x1}) * {slope})"
+    a, b = at(f"greatest(least({x1}, {x2}), i * {size}D - {pad}D)"), at(f"least(greatest({x1}, {x2}), (i + 1) * {size}D + {pad}D)")
+    steep = f"({slope} IS NULL OR abs({slope}) > 1e6D)"  # its heights can't be told from its places along x
+    bottom, top = f"if({steep}, least({y1}, {y2}), least({a}, {b}))", f"if({steep}, greatest({y1}, {y2}), greatest({a}, {b}))"
+    rows = f"transform(sequence(floor(({bottom} - {pad}D) / {size}D), floor(({top} + {pad}D) / {size}D)), j -> struct(i, j))"
+    return F.expr(f"flatten(transform(sequence(floor((least({x1}, {x2}) - {pad}D) / {size}D), floor((greatest({x1}, {x2}) + {pad}D) / {size}D)), i -> {rows}))")
 
-    def rows(i: Column) -> Column:
-        at = lambda x: y1 + (x - x1) * slope
-        a, b = at(F.greatest(low, i * size - pad)), at(F.least(high, (i + 1) * size + pad))
-        steep = slope.isNull() | (F.abs(slope) > 1e6)  # its heights can't be told from its places along x
-        bottom, top = F.when(steep, F.least(y1, y2)).otherwise(F.least(a, b)), F.when(steep, F.greatest(y1, y2)).otherwise(F.greatest(a, b))
-        return F.transform(F.sequence(F.floor((bottom - pad) / size), F.floor((top + pad) / size)), lambda j: F.struct(i.alias("i"), j.alias("j")))
 
-    return F.flatten(F.transform(F.sequence(F.floor((low - pad) / size), F.floor((high + pad) / size)), rows))
-
-
-def crossed(edges: Column, x: Column, y: Column, to_x: Column, to_y: Column) -> Column:
+def crossed(edges: str, x: str, y: str, to_x: str, to_y: str) -> Column:
     """How many edges the straight way between two points that lie on none of them crosses."""
-    cross = lambda ax, ay, bx, by: ax * by - ay * bx
-    dx, dy = to_x - x, to_y - y
-
-    def hit(e: Column) -> Column:
-        ax, ay, bx, by = e.x1 - x, e.y1 - y, e.x2 - x, e.y2 - y
-        ends = (cross(dx, dy, ax, ay) > 0) != (cross(dx, dy, bx, by) > 0)
-        return ends & ((cross(bx - ax, by - ay, -ax, -ay) > 0) != (cross(bx - ax, by - ay, dx - ax, dy - ay) > 0))
-
-    return F.size(F.filter(edges, hit))
-
-
-def on_edge(edges: Column, x: Column, y: Column) -> Column:
-    flat = lambda e: ((e.x2 - e.x1) * (y - e.y1) == (e.y2 - e.y1) * (x - e.x1)) & x.between(F.least(e.x1, e.x2), F.greatest(e.x1, e.x2)) & y.between(F.least(e.y1, e.y2), F.greatest(e.y1, e.y2))
-    return F.exists(edges, flat)
+    side = lambda px, py: f"(({to_x} - {x}) * ({py} - {y}) - ({to_y} - {y}) * ({px} - {x}) > 0)"
+    of_edge = lambda px, py: f"((e.x2 - e.x1) * (({py} - {y}) - (e.y1 - {y})) - (e.y2 - e.y1) * (({px} - {x}) - (e.x1 - {x})) > 0)"
+    return F.expr(f"size(filter({edges}, e -> {side('e.x1', 'e.y1')} <> {side('e.x2', 'e.y2')} AND {of_edge(x, y)} <> {of_edge(to_x, to_y)}))")
 
 
-def _reference(edges: Column, i: Column, j: Column, size: float) -> Column:
-    """``x, y`` of the candidate that is farthest from the edges."""
+def on_edge(edges: str, x: str, y: str) -> Column:
+    within = f"{x} BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2) AND {y} BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2)"
+    return F.expr(f"exists({edges}, e -> (e.x2 - e.x1) * ({y} - e.y1) = (e.y2 - e.y1) * ({x} - e.x1) AND {within})")
 
-    def candidate(a: float, b: float) -> Column:
-        x, y = (i + a) * size, (j + b) * size
-        return F.struct(F.array_min(F.transform(edges, lambda e: geo.segment_distance(x, y, e.x1, e.y1, e.x2, e.y2))).alias("apart"), x.alias("x"), y.alias("y"))
 
-    return F.array_max(F.array(*(candidate(a, b) for a, b in CANDIDATES)))
+def _reference(edges: str, i: str, j: str, size: float) -> Column:
+    """``apart, x, y`` of the candidate that is farthest from the edges; ``apart`` is the square of the distance."""
+    spots = ", ".join(f"struct(({i} + {a}D) * {size}D AS x, ({j} + {b}D) * {size}D AS y)" for a, b in CANDIDATES)
+    share = "greatest(0D, least(1D, ((c.x - e.x1) * (e.x2 - e.x1) + (c.y - e.y1) * (e.y2 - e.y1)) / ((e.x2 - e.x1) * (e.x2 - e.x1) + (e.y2 - e.y1) * (e.y2 - e.y1))))"
+    off = lambda c: f"pow(c.{c} - e.{c}1 - {share} * (e.{c}2 - e.{c}1), 2)"
+    return F.expr(f"array_max(transform(array({spots}), c -> struct(array_min(transform({edges}, e -> {off('x')} + {off('y')})) AS apart, c.x AS x, c.y AS y)))")
 
 
 def cover(shapes: DataFrame, shape_id: str, size: float, column: str = "geometry") -> DataFrame:
@@ -80,23 +68,20 @@ def cover(shapes: DataFrame, shape_id: str, size: float, column: str = "geometry
     key, ends = "shape", ["x1", "y1", "x2", "y2"]
     edges = shapes.filter(F.col(column)["type"].contains("Polygon")).select(F.col(shape_id).alias(key), F.posexplode(geo.edges(F.col(column))).alias("k", "e")).select(key, "k", "e.*")
     edges = edges.filter("x1 <> x2 OR y1 <> y2")
-    laid = edges.select(key, F.struct("k", *ends).alias("e"), F.inline(cells_along(*(F.col(c) for c in ends), size)))
+    laid = edges.select(key, F.struct("k", *ends).alias("e"), F.inline(cells_along(size)))
     border = laid.groupBy(key, "i", "j").agg(F.collect_list("e").alias("edges"))  # a polygon's edges in one cell
-    border = border.withColumn("ref", _reference(F.col("edges"), F.col("i"), F.col("j"), size))
+    border = border.withColumn("ref", _reference("edges", "i", "j", size))
     row = Window.partitionBy(key, "j").orderBy("i")
-    here = F.struct(F.col("ref.x").alias("x"), F.col("ref.y").alias("y"), "edges")
+    here = F.expr("struct(ref.x AS x, ref.y AS y, edges)")
     border = border.withColumns({"last": F.lag(here).over(row), "next_i": F.lead("i").over(row)})
-    rx, ry = F.col("ref.x"), F.col("ref.y")
-    begin = crossed(F.col("edges"), (F.col("i") - 0.5) * size, ry, rx, ry)  # from the cell before, which has no edges
-    onward = crossed(F.array_union(F.col("last.edges"), F.col("edges")), F.col("last.x"), F.col("last.y"), rx, ry)
+    begin = crossed("edges", f"((i - 0.5D) * {size}D)", "ref.y", "ref.x", "ref.y")  # from the cell before, which has no edges
+    onward = crossed("array_union(last.edges, edges)", "last.x", "last.y", "ref.x", "ref.y")
     border = border.withColumn("step", F.when(F.col("last").isNull(), begin).otherwise(onward))
     border = border.withColumn("inner", F.sum("step").over(row) % 2 == 1)
-    beyond = crossed(F.col("edges"), rx, ry, (F.col("i") + 1.5) * size, ry)
-    gap = F.when((F.col("next_i") > F.col("i") + 1) & ((beyond + F.col("inner").cast("int")) % 2 == 1), F.sequence(F.col("i") + 1, F.col("next_i") - 1))
-    cells = F.concat(
-        F.array(F.struct(F.col("i"), F.col("edges"), rx.alias("rx"), ry.alias("ry"), F.col("inner"))),
-        F.transform(F.coalesce(gap, F.array().cast("array<bigint>")), lambda i: F.struct(i.alias("i"), F.lit(None).cast(f"array<{_EDGE}>").alias("edges"), F.lit(None).cast("double").alias("rx"), F.lit(None).cast("double").alias("ry"), F.lit(True).alias("inner"))),
-    )
+    border = border.withColumn("beyond", crossed("edges", "ref.x", "ref.y", f"((i + 1.5D) * {size}D)", "ref.y"))
+    gap = "if(next_i > i + 1 AND (beyond + int(inner)) % 2 = 1, sequence(i + 1, next_i - 1), array())"
+    inside = f"transform({gap}, i -> struct(i, CAST(NULL AS array<{_EDGE}>) AS edges, CAST(NULL AS double) AS rx, CAST(NULL AS double) AS ry, true AS inner))"
+    cells = F.expr(f"concat(array(struct(i, edges, ref.x AS rx, ref.y AS ry, inner)), {inside})")
     return border.select(key, F.lit(0).alias("level"), "j", F.inline(cells)).select(key, "level", "i", "j", "edges", "rx", "ry", "inner")
 
 
@@ -143,27 +128,17 @@ def refined(cells: DataFrame, size: float, split: list[DataFrame]) -> DataFrame:
         marked = F.broadcast(hot)
         done.append(rest.join(marked, ["i", "j"], "left_anti"))
         finer = size / 2 ** (level + 1)
-        quarter = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1))))
-        parts = rest.join(marked, ["i", "j"]).select("*", quarter.alias("q"))
-        parts = parts.withColumns({"ci": F.col("i") * 2 + F.col("q.a"), "cj": F.col("j") * 2 + F.col("q.b")})
-        west, south, pad = F.col("ci") * finer, F.col("cj") * finer, finer * PAD
-        east, north = west + finer, south + finer
-
-        def meets(e: Column) -> Column:  # used at once, in this round
-            apart = (F.greatest(e.x1, e.x2) < west - pad) | (F.least(e.x1, e.x2) > east + pad) | (F.greatest(e.y1, e.y2) < south - pad) | (F.least(e.y1, e.y2) > north + pad)
-            side = lambda x, y: (e.x2 - e.x1) * (y - e.y1) - (e.y2 - e.y1) * (x - e.x1)
-            corners = [side(x, y) for x in (west - pad, east + pad) for y in (south - pad, north + pad)]
-            return ~apart & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
-
-        parts = parts.withColumn("own", F.filter("edges", meets))
-        spot = F.when(F.size("own") > 0, _reference(F.col("own"), F.col("ci"), F.col("cj"), finer)).otherwise(F.struct(F.lit(0.0).alias("apart"), (west + finer / 2).alias("x"), (south + finer / 2).alias("y")))
-        parts = parts.withColumn("ref", spot)
-        side = F.when(F.col("edges").isNull(), F.lit(True)).otherwise((crossed(F.col("edges"), F.col("rx"), F.col("ry"), F.col("ref.x"), F.col("ref.y")) + F.col("inner").cast("int")) % 2 == 1)
-        parts = parts.withColumn("side", side).filter((F.size("own") > 0) | F.col("side"))
-        rest = materialize(
-            parts.select("shape", F.lit(level + 1).alias("level"), F.col("ci").alias("i"), F.col("cj").alias("j"), F.when(F.size("own") > 0, F.col("own")).alias("edges"), F.col("ref.x").alias("rx"), F.col("ref.y").alias("ry"), F.col("side").alias("inner")),
-            "cover",
-        )
+        quarter = F.explode(F.expr("array(struct(0 AS a, 0 AS b), struct(0 AS a, 1 AS b), struct(1 AS a, 0 AS b), struct(1 AS a, 1 AS b))"))
+        parts = rest.join(marked, ["i", "j"]).select("*", quarter.alias("q")).selectExpr("*", "i * 2 + q.a AS ci", "j * 2 + q.b AS cj")
+        west, south, east, north = (f"(({c} + {n}D) * {finer}D)" for c, n in (("ci", -PAD), ("cj", -PAD), ("ci", 1 + PAD), ("cj", 1 + PAD)))
+        corners = ", ".join(f"(e.x2 - e.x1) * ({y} - e.y1) - (e.y2 - e.y1) * ({x} - e.x1)" for x in (west, east) for y in (south, north))
+        near = f"greatest(e.x1, e.x2) >= {west} AND least(e.x1, e.x2) <= {east} AND greatest(e.y1, e.y2) >= {south} AND least(e.y1, e.y2) <= {north}"
+        parts = parts.withColumn("own", F.expr(f"filter(edges, e -> {near} AND least({corners}) <= 0 AND greatest({corners}) >= 0)"))
+        middle = F.expr(f"struct(0D AS apart, (ci + 0.5D) * {finer}D AS x, (cj + 0.5D) * {finer}D AS y)")
+        parts = parts.withColumn("ref", F.when(F.size("own") > 0, _reference("own", "ci", "cj", finer)).otherwise(middle))
+        side = F.when(F.col("edges").isNull(), F.lit(True)).otherwise((crossed("edges", "rx", "ry", "ref.x", "ref.y") + F.col("inner").cast("int")) % 2 == 1)
+        parts = parts.withColumn("side", side).filter("size(own) > 0 OR side")
+        rest = materialize(parts.selectExpr("shape", f"{level + 1} AS level", "ci AS i", "cj AS j", "if(size(own) > 0, own, NULL) AS edges", "ref.x AS rx", "ref.y AS ry", "side AS inner"), "cover")
     columns = ["shape", "level", "i", "j", "edges", "rx", "ry", "inner"]
     return reduce(DataFrame.unionByName, (d.select(columns) for d in [*done, rest]))
 
@@ -179,8 +154,7 @@ def points_in_shapes(points: DataFrame, shapes: DataFrame, point_id: str, shape_
     split = splits(places, size)
     cells = refined(cover(shapes, shape_id, size, column), size, split)
     met = leaves(places, size, split).join(cells, ["level", "i", "j"])
-    x, y, edges = F.col("x"), F.col("y"), F.col("edges")
-    odd = (crossed(edges, F.col("rx"), F.col("ry"), x, y) + F.col("inner").cast("int")) % 2 == 1
-    hits = met.filter(edges.isNull() | odd & ~on_edge(edges, x, y)).groupBy("x", "y").agg(F.collect_set("shape").alias("shapes"))
+    odd = (crossed("edges", "rx", "ry", "x", "y") + F.col("inner").cast("int")) % 2 == 1
+    hits = met.filter(F.col("edges").isNull() | odd & ~on_edge("edges", "x", "y")).groupBy("x", "y").agg(F.collect_set("shape").alias("shapes"))
     placed = points.select(F.col(point_id), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     return join_spread(placed, hits, ["x", "y"]).select(point_id, F.explode_outer("shapes").alias(shape_id))
