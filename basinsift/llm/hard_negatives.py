@@ -222,15 +222,16 @@ class Index:
                 here[0], here[1] = min(here[0], a), max(here[1], b)
         self.tree.ranges = ranges
 
-    def visits(self, query: np.ndarray, label: int, windows: list[dict]) -> list[int]:
-        """Leaves that may hold a row of any window, given what the sample holds."""
+    def visits(self, query: np.ndarray, label: int, windows: list[dict]) -> tuple[list[int], list[dict]]:
+        """Leaves that may hold a row of any window, and the windows without what is behind the k-th row of the sample."""
         real = query.astype(np.float64)
         far, square = self.tree.distances(real), float((real**2).sum())
         leaves: set[int] = set()
+        closer = []
         for window, found in zip(windows, self.sample.search(query, label, windows), strict=True):
-            reached = found[-1][0] if len(found) == window["k"] else window["lo"]
-            leaves.update(leaf for leaf, _ in self.tree.visits(far, square, window["lo"], window["hi"], reached))
-        return sorted(leaves)
+            closer.append(window | {"lo": max(window["lo"], found[-1][0])} if len(found) == window["k"] else window)
+            leaves.update(leaf for leaf, _ in self.tree.visits(far, square, closer[-1]["lo"], window["hi"], closer[-1]["lo"]))
+        return sorted(leaves), closer
 
 
 def usable(vector: Column) -> Column:
@@ -291,16 +292,18 @@ def window_search(index: Index, routed: DataFrame, asks: DataFrame) -> DataFrame
             labels, windows = batch.column(2).to_pylist(), batch.column(4).to_pylist()
             at, leaf, chunk = [], [], []
             for k, query in enumerate(matrix(batch.column(3), dim)):
-                for x in index.visits(query, labels[k], windows[k]):
+                leaves, windows[k] = index.visits(query, labels[k], windows[k])
+                for x in leaves:
                     for c in range(index.chunks[x]):
                         at.append(k)
                         leaf.append(x)
                         chunk.append(c)
             take = pa.array(at, pa.int64())
-            gid, g, label, v, w = (c.take(take) for c in batch.columns)
+            gid, g, label, v = (c.take(take) for c in batch.columns[:4])
+            w = pa.array(windows, batch.column(4).type).take(take)
             yield pa.record_batch([pa.array(leaf, pa.int64()), pa.array(chunk, pa.int32()), pa.array([1] * len(at), pa.int32()), gid, g, label, pa.nulls(len(at), pa.list_(pa.int64())), v, w], _NAMES)
 
-    visits = asks.select("gid", "g", "label", "v", "windows").mapInArrow(visit, _SEARCH)
+    visits = asks.select("gid", "g", "label", "v", "windows").repartition(partitions(spark), "gid").mapInArrow(visit, _SEARCH)
     met = rows.unionByName(visits).repartition(partitions(spark), "leaf", "chunk").sortWithinPartitions("leaf", "chunk", "side")
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
