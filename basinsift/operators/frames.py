@@ -99,12 +99,32 @@ def profile(frames: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Bits of a key filter: one row of 64 bits for each word, so the table that is broadcast has a fixed size.
+FILTER_BITS = 1 << 22
+
+
+def key_filter(keys: DataFrame) -> DataFrame:
+    """``word, bits``: a bit for the hash of every value of the column ``v``; others may share a bit."""
+    at = F.pmod(F.xxhash64("v"), F.lit(FILTER_BITS))
+    return keys.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(v), {FILTER_BITS}L) % 64 AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
 def join_column(left: DataFrame, right: DataFrame, key: str) -> str | None:
-    """The first column of the left side that shares a value with the right side's key."""
-    for c in left.columns:
-        if not left.select(F.col(c).cast("string").alias("k")).join(right.select(F.col(key).cast("string").alias("k")), "k", "left_semi").isEmpty():
-            return c
-    return None
+    """The first column of the left side that shares a value (as text) with the right side's key.
+
+    One pass over the left side tests the values of all columns against a filter of the keys; what passes is made distinct and
+    joined with the keys, which removes values that only share a bit.
+    """
+    keys = right.select(F.col(key).cast("string").alias("v")).filter("v IS NOT NULL").distinct()
+    quoted = [F.col(f"`{c.replace('`', '``')}`") for c in left.columns]
+    simple = [k for k, f in enumerate(left.schema) if f.dataType.typeName() not in ("array", "map", "struct")]
+    if not simple:
+        return None
+    values = left.select(F.inline(F.array(*(F.struct(F.lit(k).alias("place"), quoted[k].cast("string").alias("v")) for k in simple)))).filter("v IS NOT NULL")
+    possible = values.withColumn("word", F.expr(f"shiftright(pmod(xxhash64(v), {FILTER_BITS}L), 6)")).join(F.broadcast(key_filter(keys)), "word")  # FILTER_BITS / 64 rows at most
+    possible = possible.filter(F.expr(f"(shiftright(bits, CAST(pmod(xxhash64(v), {FILTER_BITS}L) % 64 AS int)) & 1) = 1")).select("place", "v").distinct()
+    place = possible.join(keys, "v", "left_semi").agg(F.min("place")).first()[0]
+    return None if place is None else left.columns[place]
 
 
 def column_catalogue(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:

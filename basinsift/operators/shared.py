@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +35,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_lists(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str | StructType) -> DataFrame:
+    """Maps batches, given and returned as lists by column name; nested values are lists and dicts."""
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    fields = [(f.name, to_arrow_type(f.dataType)) for f in kind.fields]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = function({n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True)})
+            yield pa.record_batch([pa.array(out[n], t) for n, t in fields], [n for n, _ in fields])
+
+    return df.mapInArrow(run, kind)
+
+
 def fresh(columns: list[str], name: str) -> str:
     """A column name that is not taken (names compare without case)."""
     taken = {c.lower() for c in columns}

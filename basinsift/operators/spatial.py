@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basinsift.functions import geo, rings
-from basinsift.operators import cover
-from basinsift.operators.shared import fresh, materialize
+from basinsift.operators import borders, cover
+from basinsift.operators.shared import SPREAD_ROWS, fresh, join_spread, materialize
 
 
 #: Cells of one level that meet in a cell of the next, along each axis, and cells of the top level.
@@ -46,19 +46,41 @@ def nearest_distance(points: DataFrame, segments: DataFrame, id_col: str, cell:
     """``id, distance`` of each point (``x, y``) to the nearest segment (``x1, y1, x2, y2``), exact.
 
     A row for each point; the distance is null for points without coordinates, and without segments.
-    Places meet the segments of their cell and its neighbours; a distance up to the cell's size is final.
-    The others descend through levels of occupied cells, keeping those that may hold the nearest segment.
+    Places meet the segments of their cell and its neighbours, in a quadtree whose cells hold a bounded number of places; a
+    distance up to the cell's size is final.  The others descend through levels of occupied cells, keeping those that may
+    hold the nearest segment.
     """
     ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
     known = lambda *columns: reduce(and_, (c.isNotNull() & ~F.isnan(c) for c in columns))
     laid = materialize(segments.filter(known(*ends)).select("x1", "y1", "x2", "y2", F.inline(_cells_along(*ends, cell))), "laid")
     places = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter(known(F.col("x"), F.col("y"))).distinct()
+    split = cover.splits(places, cell)
     distance = F.min(geo.segment_distance(F.col("x"), F.col("y"), *ends)).alias("distance")
-    around = places.select("x", "y", F.inline(_cells(F.col("x") - cell, F.col("y") - cell, F.col("x") + cell, F.col("y") + cell, cell)))
-    best = materialize(around.join(laid, ["i", "j"], "left").groupBy("x", "y").agg(distance), "near")
-    far = best.filter(F.col("distance").isNull() | (F.col("distance") > cell)).select("x", "y")
-    found = best if far.isEmpty() else best.filter(F.col("distance") <= cell).unionByName(_descend(far, laid, distance, cell, extent))
-    return points.select(id_col, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).join(found, ["x", "y"], "left").select(id_col, "distance")
+    beside = F.expr("flatten(transform(sequence(i - 1, i + 1), i -> transform(sequence(j - 1, j + 1), j -> struct(i, j))))")
+    around = cover.leaves(places, cell, split).select("x", "y", "level", F.inline(beside))
+    met = around.join(_laid_finer(laid, cell, split), ["level", "i", "j"], "left")
+    size = cell / F.pow(F.lit(2.0), F.min("level"))  # a place has one level
+    best = materialize(met.groupBy("x", "y").agg(distance, size.alias("size")), "near")
+    final = F.col("distance").isNotNull() & (F.col("distance") <= F.col("size"))
+    far = best.filter(~final).select("x", "y")
+    n_far = far.count()
+    found = best.select("x", "y", "distance") if not n_far else best.filter(final).select("x", "y", "distance").unionByName(_descend(far, laid, distance, cell, extent, n_far > SPREAD_ROWS))
+    placed = points.select(id_col, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return join_spread(placed, found, ["x", "y"]).select(id_col, "distance")
+
+
+def _laid_finer(laid: DataFrame, cell: float, split: list[DataFrame]) -> DataFrame:
+    """Segments by ``level, i, j``: all of them in the first level's cells, and in the finer cells in and beside split ones."""
+    out = last = laid.withColumn("level", F.lit(0))
+    for level, hot in enumerate(split, 1):
+        size = cell / 2**level
+        near = hot.select(F.inline(F.expr("flatten(transform(sequence(i - 1, i + 1), i -> transform(sequence(j - 1, j + 1), j -> struct(i, j))))"))).distinct()
+        fine = hot.select(F.inline(F.expr("flatten(transform(sequence(2 * i - 1, 2 * i + 2), i -> transform(sequence(2 * j - 1, 2 * j + 2), j -> struct(i, j))))"))).distinct()
+        ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+        own = last.join(F.broadcast(near), ["i", "j"], "left_semi").select(*ends).distinct()  # 9 cells for each split one
+        last = own.select(*ends, F.inline(_cells_along(*ends, size))).join(F.broadcast(fine), ["i", "j"], "left_semi").withColumn("level", F.lit(level))
+        out = out.unionByName(last)
+    return out
 
 
 def _reach(size: float) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
@@ -70,8 +92,12 @@ def _reach(size: float) -> tuple[Callable[[Column], Column], Callable[[Column],
     return lambda c: F.hypot(*off(c)) + HALF * size, lambda c: F.hypot(*(F.greatest(x - size / 2, F.lit(0.0)) for x in off(c)))
 
 
-def _descend(places: DataFrame, laid: DataFrame, distance: Column, cell: float, extent: float) -> DataFrame:
-    """``x, y, distance``: each level keeps the cells that are no farther than the farthest corner of the best one."""
+def _descend(places: DataFrame, laid: DataFrame, distance: Column, cell: float, extent: float, spread: bool = False) -> DataFrame:
+    """``x, y, distance``: each level keeps the cells that are no farther than the farthest corner of the best one.
+
+    With ``spread``, for very many places, those that have a cell in common are dealt out to several tasks.
+    """
+    meet = (lambda left, right: join_spread(materialize(left, "descent"), right, ["i", "j"], "inner")) if spread else (lambda left, right: left.join(right, ["i", "j"]))
     grids, sizes = [laid.select("i", "j").distinct()], [cell]
     top = grids[0].limit(1).collect()
     while top and (sizes[-1] < extent or len(top := grids[-1].limit(TOP_CELLS + 1).collect()) > TOP_CELLS):
@@ -89,8 +115,8 @@ def _descend(places: DataFrame, laid: DataFrame, distance: Column, cell: float,
         if level:
             up = [F.floor(F.col(c) / FANOUT).alias(n) for c, n in (("i", "pi"), ("j", "pj"))]
             below = grids[level - 1].select(*up, F.struct("i", "j").alias("cell")).groupBy(F.col("pi").alias("i"), F.col("pj").alias("j")).agg(F.collect_list("cell").alias("below"))
-            rest = rest.join(below, ["i", "j"]).groupBy("x", "y").agg(F.flatten(F.collect_list("below")).alias("cells"))
-    return rest.join(laid, ["i", "j"]).groupBy("x", "y").agg(distance)
+            rest = meet(rest, below).groupBy("x", "y").agg(F.flatten(F.collect_list("below")).alias("cells"))
+    return meet(rest, laid).groupBy("x", "y").agg(distance)
 
 
 def point_in_polygon(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, cell: float) -> DataFrame:
@@ -163,33 +189,18 @@ def crop_geometries(df: DataFrame, column: str, bounds: tuple[float, float, floa
 
 def simplified(part: np.ndarray, tolerance: float) -> np.ndarray:
     """Which vertices of a line stay so that none of the others is farther than the tolerance from what is left; a ring keeps four."""
-    keep = np.zeros(len(part), bool)
-    keep[[0, -1]] = True
-    ring = len(part) > 3 and (part[0] == part[-1]).all()
-    if ring:
-        keep[int(np.argmax(((part - part[0]) ** 2).sum(axis=1)))] = True
-    ends = np.flatnonzero(keep).tolist()
-    stack = list(zip(ends, ends[1:], strict=False))
-    while stack:
-        a, b = stack.pop()
-        if b - a < 2:
-            continue
-        along, off = part[b] - part[a], part[a + 1 : b] - part[a]
-        square = float(along @ along)
-        share = np.clip(off @ along / square, 0, 1) if square else np.zeros(len(off))
-        apart = np.sqrt(((off - share[:, None] * along) ** 2).sum(axis=1))
-        at = int(np.argmax(apart))
-        if apart[at] > tolerance:
-            keep[a + 1 + at] = True
-            stack += [(a, a + 1 + at), (a + 1 + at, b)]
-    if ring and keep.sum() < 4:
+    keep = borders.thinned(part, tolerance)
+    if len(part) > 3 and (part[0] == part[-1]).all() and keep.sum() < 4:
         inner = np.flatnonzero(~keep)
         keep[inner[np.linspace(0, len(inner) - 1, 4 - int(keep.sum())).astype(int)]] = True
     return keep
 
 
 def simplify(df: DataFrame, column: str, tolerance: float) -> DataFrame:
-    """Lines and borders with the vertices that a tolerance (in metres) does not need left out, for display; points stay."""
+    """Lines and borders with the vertices that a tolerance (in metres) does not need left out, for display; points stay.
+
+    Each part by itself, in one pass; ``borders.simplify`` also keeps rings from crossing and shared borders shared.
+    """
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

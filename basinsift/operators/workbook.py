@@ -87,5 +87,5 @@ def export_review(enriched: dict[str, DataFrame], folder: str, distance: str) ->
     sinks.write_csv(rows, paths["todos_csv"])
     book = {catalogue.REGION_FILES[region][1]: df for region, df in enriched.items()}
     book |= {"Todos": rows, "Resumen": review_summary(rows, distance).orderBy("seccion", "clave")}
-    sinks.write_text(session, paths["todos_xlsx"], sinks.workbook(book))
+    sinks.write_workbook(session, book, paths["todos_xlsx"])
     return paths

@@ -364,6 +364,15 @@ ORACLES |= {
         if(bool_or(broken), '', concat('clave:int64:0,nombre:object:', count(*) FILTER (WHERE k % 3 = 0), ',saldo:', if(count(*) FILTER (WHERE k % 4 <> 0) = 0, 'object', 'float64'), ':', count(*) FILTER (WHERE k % 4 = 0))) AS columns,
         min(x) FILTER (WHERE NOT broken AND k % 6 < 4) AS minx, min(y) FILTER (WHERE NOT broken AND k % 6 < 4) AS miny, max(x + wide) FILTER (WHERE NOT broken) AS maxx, max(y + tall) FILTER (WHERE NOT broken) AS maxy,
         if(bool_or(broken), 'error', 'ok') AS status, if(bool_or(broken), 'UnicodeDecodeError: bytes', '') AS error FROM g GROUP BY nk""",
+    # A side's middle vertex stays if it is more than 12 m off; it adds or takes a triangle of half the side's length.
+    "simplify_borders": """WITH s AS (SELECT CAST(n_nationkey AS BIGINT) AS id, n_nationkey % 5 AS i, n_nationkey // 5 AS j FROM nation),
+      b AS (SELECT id, (i * 7 + j * 11) % 24 AS south, (i * 7 + (j + 1) * 11) % 24 AS north, (i * 7 + j * 11 + 5) % 24 AS west, ((i + 1) * 7 + j * 11 + 5) % 24 AS east FROM s)
+      SELECT id, 5::BIGINT + (south > 12)::INT + (north > 12)::INT + (west > 12)::INT + (east > 12)::INT AS n_vertices,
+        1000000.0::DOUBLE + 500 * (if(north > 12, north, 0) + if(east > 12, east, 0) - if(south > 12, south, 0) - if(west > 12, west, 0)) AS area FROM b""",
+    "tile_pyramid": """WITH p AS (SELECT -117.03::DOUBLE + c_custkey * 7919 % 300 / 10 AS lon, 14.07::DOUBLE + c_custkey * 10473 % 180 / 10 AS lat FROM customer),
+      u AS (SELECT (lon + 180) / 360 AS u, (1 - asinh(tan(radians(lat))) / pi()) / 2 AS v FROM p),
+      t AS (SELECT z, CAST(floor(u * 2 ** z) AS BIGINT) AS x, CAST(floor(v * 2 ** z) AS BIGINT) AS y, count(*) AS n, count(DISTINCT (floor(u * 2 ** z * 64), floor(v * 2 ** z * 64))) AS cells FROM u, range(10) r(z) GROUP BY ALL)
+      SELECT t.z, t.x, t.y, t.n <= 40 OR t.z = 9 AS leaf, if(t.n <= 40 OR t.z = 9, t.n, t.cells) AS items, t.n FROM t LEFT JOIN t up ON up.z = t.z - 1 AND up.x = t.x // 2 AND up.y = t.y // 2 WHERE t.z = 0 OR up.n > 40""",
     "rule_usage": f"WITH {CLS} " + " UNION ALL ".join(f"SELECT {q(f)} AS familia_regla, {q('; '.join(ts))} AS terminos, count(*) FILTER (WHERE f_{f} <> '') AS n FROM cls" for f, ts in FAM.items()),
 }
 _one, _two = (f"SELECT {p}::BIGINT AS part, {columns} FROM ({ORACLES[k]})" for p, columns, k in ((0, "validacion, ok, NULL AS universe, NULL::BIGINT AS n", "quality_checks"), (2, "NULL, NULL, universe, n", "universe_counts")))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from basinsift.functions import codes, geo, paths, text
 from basinsift.operators import checks, frames, overlay, profiles, quantiles, review, spatial, workbook
+from basinsift.operators.borders import simplify as simplify_shared
 from basinsift.plans import cascade
 from basinsift.plans.catalogue import LOCALITIES, Catalogue
+from basinsift.sources import tiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 HIGH, MEDIUM, TRADE, MAKING, OTHER = ["idiot", "stupid", "tation", "scum"], ["with the", "nicht", "para", "pour"], ["venta", "que", "les"], ["idiot", "with", "this"], ["loser", "von"]
@@ -819,6 +821,16 @@ def nearest_border(spark, d):
     return spatial.nearest_distance(points(spark, d), edges, "id", POINTS_CELL, EXTENT).select("id", r6(F.col("distance")).alias("distance"))
 
 
+@query
+def tile_pyramid(spark, d):
+    """Tiles of a map of customers: leaves of at most 40, and overviews that merge what lies in one cell."""
+    k = F.col("c_custkey")
+    place = F.struct((F.lit(-117.03) + k * 7919 % 300 / 10).alias("x"), (F.lit(14.07) + k * 10473 % 180 / 10).alias("y"))
+    features = load(spark, d, "customer").select(k.alias("id"), F.struct(F.lit("Point").alias("type"), F.array(F.array(place)).alias("parts")).alias("geometry"))
+    made = tiles.pyramid(features, most=40, deepest=9)
+    return made.groupBy("z", "x", "y", "leaf").agg(F.count("*").alias("items"), F.sum("n").alias("n")).withColumn("z", F.col("z").cast("long"))
+
+
 @query
 def crop_lines(spark, d):
     box = (4000.0, 4000.0, 9000.0, 8000.0)
@@ -838,6 +850,23 @@ def simplify_lines(spark, d):
     return lines.select("id", F.size(F.col("geometry.parts")[0]).cast("long").alias("n_vertices"))
 
 
+def lattice(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as squares that share their sides, each with a vertex off its middle by up to 23 metres, the same for both squares."""
+    k = F.col("n_nationkey")
+    i, j = (k % 5).cast("int"), F.floor(k / 5).cast("int")
+    at = lambda x, y: F.struct((x * 1000.0).cast("double").alias("x"), (y * 1000.0).cast("double").alias("y"))
+    bump = lambda a, b, turn: ((a * 7 + b * 11 + turn * 5) % 24) / 1000.0
+    ring = [at(i, j), at(i + 0.5, j + bump(i, j, 0)), at(i + 1, j), at(i + 1 + bump(i + 1, j, 1), j + 0.5), at(i + 1, j + 1), at(i + 0.5, j + 1 + bump(i, j + 1, 0)), at(i, j + 1), at(i + bump(i, j, 1), j + 0.5), at(i, j)]
+    return load(spark, d, "nation").select(k.cast("long").alias("id"), F.struct(F.lit("Polygon").alias("type"), F.array(F.array(*ring)).alias("parts")).alias("geometry"))
+
+
+@query
+def simplify_borders(spark, d):
+    """Vertices and areas of squares whose shared sides are simplified once for both."""
+    thin = simplify_shared(lattice(spark, d), "id", 12.0)
+    return thin.select("id", F.size(F.col("geometry.parts")[0]).cast("long").alias("n_vertices"), r6(geo.ring_area(F.col("geometry.parts")[0])).alias("area"))
+
+
 @query
 def display_projection(spark, d):
     k = F.col("c_custkey")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import codecs
 import io
 import re
 import sqlite3
@@ -16,11 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinsift.functions import codes, rings
+from basinsift.functions import codes
 from basinsift.operators.frames import unique_names
+from basinsift.sources import vector
+from basinsift.sources.formats import code_page, parse_dbf, parse_gpkg, parse_shp
 
-POINTS = "array<array<struct<x:double,y:double>>>"
-FEATURES = f"source_path string, feature_id long, geometry struct<type:string,parts:{POINTS}>, attributes map<string,string>, crs string, error string"
+FEATURES = vector.FEATURES
 ENCODINGS = ("utf-8-sig", "latin1")
 _COLUMNS = ["source_path", "feature_id", "geometry", "attributes", "crs", "error"]
 
@@ -48,17 +48,31 @@ def first_of(spark: SparkSession, root: str, pattern: str) -> str:
     return found[0]
 
 
+def encodings(spark: SparkSession, path: str) -> dict[str, str]:
+    """Encoding of each text file of a path: UTF-8 if all of its lines are, else Latin-1.
+
+    Lines are tested by ranges of the files, so no file is loaded whole; an empty file has no lines and is not listed.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.is_valid_utf8("value").alias("ok"))
+    return {r["path"]: ENCODINGS[0] if r["ok"] else ENCODINGS[1] for r in lines.groupBy("path").agg(F.bool_and("ok").alias("ok")).collect()}  # one row for each file
+
+
 def sniff(spark: SparkSession, path: str) -> str:
-    """Encoding of a text file: UTF-8 if all of its bytes are, else Latin-1; tested per file by a task."""
-    data = spark.read.format("binaryFile").load(path).select("content")
-    valid = data.select(F.expr("try_validate_utf8(cast(content AS string)) IS NOT NULL").alias("ok")).first()
-    return ENCODINGS[0] if valid is None or valid["ok"] else ENCODINGS[1]
+    """The encoding that all files of a path fit."""
+    return ENCODINGS[0] if set(encodings(spark, path).values()) <= {ENCODINGS[0]} else ENCODINGS[1]
 
 
 def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
-    encoding = sniff(spark, path)
-    df = spark.read.csv(path, header=True, encoding="UTF-8" if encoding == "utf-8-sig" else "ISO-8859-1", multiLine=True, escape='"', **options)
-    return df.toDF(*(c.removeprefix("﻿") for c in df.columns))
+    """A CSV file, or all of a folder, each file in its own encoding."""
+    found = encodings(spark, path)
+    frames = []
+    for name, charset in zip(ENCODINGS, ("UTF-8", "ISO-8859-1"), strict=True):
+        files = sorted(f for f, e in found.items() if e == name)
+        if files or not found and name == ENCODINGS[0]:
+            # A single file or encoding is read by the given path, which may be a folder with partition columns.
+            df = spark.read.csv(path if len(files) == len(found) else files, header=True, encoding=charset, multiLine=True, escape='"', **options)
+            frames.append(df.toDF(*(c.removeprefix("\ufeff").removeprefix("ï»¿") for c in df.columns)))
+    return union_by_name(frames)
 
 
 def sidecar_csv(spark: SparkSession, path: str) -> DataFrame | None:
@@ -87,125 +101,6 @@ def read_census(spark: SparkSession, path: str, preamble: int = 4, year: str = "
     return rows.filter(codes.safe_number(F.col(year)).isNotNull()).dropna(how="all")
 
 
-def _polygon_parts(polygons: list[list[list[tuple[float, float]]]]) -> tuple[str, list[list[tuple[float, float]]]]:
-    """Type and rings of polygons, each shell (counter-clockwise) before its holes (clockwise)."""
-    return ("Polygon" if len(polygons) == 1 else "MultiPolygon"), [ring for polygon in polygons for ring in polygon]
-
-
-def _parts(kind: int, body: bytes) -> tuple[str, list[list[tuple[float, float]]]]:
-    """Type and parts of one shapefile record body."""
-    base = kind % 10
-    if base == 1:
-        return "Point", [[struct.unpack_from("<2d", body, 4)]]
-    if base == 8:
-        n = struct.unpack_from("<i", body, 36)[0]
-        return "MultiPoint", [[struct.unpack_from("<2d", body, 40 + 16 * k)] for k in range(n)]
-    n_parts, n = struct.unpack_from("<2i", body, 36)
-    starts = [*struct.unpack_from(f"<{n_parts}i", body, 44), n]
-    at = 44 + 4 * n_parts
-    xy = [struct.unpack_from("<2d", body, at + 16 * k) for k in range(n)]
-    parts = [xy[a:b] for a, b in zip(starts, starts[1:], strict=False)]
-    if base == 3:
-        return ("LineString" if len(parts) == 1 else "MultiLineString"), parts
-    return _polygon_parts(rings.assign(parts))
-
-
-def parse_shp(data: bytes) -> list[tuple[str, list] | None]:
-    """Geometries of a shapefile's main file; null shapes are None."""
-    out, at = [], 100
-    while at + 8 <= len(data):
-        size = struct.unpack_from(">i", data, at + 4)[0] * 2
-        body = data[at + 8 : at + 8 + size]
-        kind = struct.unpack_from("<i", body)[0]
-        out.append(_parts(kind, body) if kind else None)
-        at += 8 + size
-    return out
-
-
-def code_page(data: bytes | None) -> str:
-    """Python's name of the encoding that a ``.cpg`` file gives; UTF-8 without one, or where the name is unknown."""
-    name = (data or b"").decode("ascii", "ignore").strip()
-    for guess in (name, f"cp{name}", name.upper().replace("ANSI ", "cp")):
-        try:
-            return codecs.lookup(guess).name if guess else "utf-8"
-        except LookupError:
-            continue
-    return "utf-8"
-
-
-def parse_dbf(data: bytes, encoding: str = "utf-8") -> list[dict[str, str]]:
-    """Rows of a dBASE table as text; falls back to Latin-1 where bytes don't fit the encoding."""
-    n, header, width = struct.unpack_from("<IHH", data, 4)
-    fields, at = [], 32
-    while data[at] != 0x0D:
-        fields.append((data[at : at + 11].split(b"\0")[0].decode("latin1"), data[at + 16]))
-        at += 32
-    rows = []
-    for k in range(n):
-        at, row = header + k * width + 1, {}
-        for name, size in fields:
-            raw = data[at : at + size].strip(b" \0")
-            try:
-                row[name] = raw.decode(encoding)
-            except UnicodeDecodeError:
-                row[name] = raw.decode("latin1")
-            at += size
-        rows.append(row)
-    return rows
-
-
-def parse_wkb(data: bytes, at: int = 0) -> tuple[tuple[str, list], int]:
-    """Geometry of well-known binary and the offset behind it."""
-    order = "<" if data[at] else ">"
-    kind = struct.unpack_from(order + "I", data, at + 1)[0]
-    dims = 3 if kind // 1000 in (1, 2) or kind & 0x80000000 else 2
-    kind = kind % 1000 & 0xFF
-    at += 5
-
-    def run(at: int) -> tuple[list[tuple[float, float]], int]:
-        n = struct.unpack_from(order + "I", data, at)[0]
-        xy = [struct.unpack_from(order + "2d", data, at + 4 + 8 * dims * k) for k in range(n)]
-        return xy, at + 4 + 8 * dims * n
-
-    if kind == 1:
-        return ("Point", [[struct.unpack_from(order + "2d", data, at)]]), at + 8 * dims
-    if kind == 2:
-        xy, at = run(at)
-        return ("LineString", [xy]), at
-    count = struct.unpack_from(order + "I", data, at)[0]
-    at += 4
-    parts: list = []
-    if kind == 3:
-        for _ in range(count):
-            ring, at = run(at)
-            parts.append(rings.turned(ring, not parts) if len(ring) > 3 else ring)
-        return ("Polygon", parts), at
-    names = {4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon"}
-    for _ in range(count):
-        (_, inner), at = parse_wkb(data, at)
-        parts += inner
-    return (names.get(kind, "GeometryCollection"), parts), at
-
-
-def parse_gpkg(data: bytes, layer: str | None = None) -> Iterator[tuple[tuple | None, dict[str, str], str | None]]:
-    """Features of a GeoPackage, opened in memory, each with its reference system."""
-    db = sqlite3.connect(":memory:")
-    db.deserialize(data)
-    table, column = db.execute("SELECT table_name, column_name FROM gpkg_geometry_columns WHERE ? IS NULL OR table_name = ?", (layer, layer)).fetchone()
-    cursor = db.execute(f'SELECT * FROM "{table}"')
-    names = [c[0] for c in cursor.description]
-    for values in cursor:
-        row = dict(zip(names, values, strict=True))
-        blob = row.pop(column)
-        geometry = crs = None
-        if blob:
-            envelope = (0, 32, 48, 48, 64)[blob[3] >> 1 & 7]
-            geometry, _ = parse_wkb(blob, 8 + envelope)
-            srs = struct.unpack_from("<i" if blob[3] & 1 else ">i", blob, 4)[0]
-            crs = f"EPSG:{srs}" if srs > 0 else None
-        yield geometry, {k: str(v) for k, v in row.items() if v is not None}, crs
-
-
 def _features(path: str, features: Iterable[tuple[tuple | None, dict, str | None]]) -> pd.DataFrame:
     rows = []
     for k, (geometry, attributes, crs) in enumerate(features):
@@ -218,11 +113,20 @@ def _broken(path: str, error: Exception) -> pd.DataFrame:
     return pd.DataFrame([(path, None, None, None, None, f"{type(error).__name__}: {error}")], columns=_COLUMNS)
 
 
-def read_shapefiles(spark: SparkSession, root: str) -> DataFrame:
-    """Features of all shapefiles below a folder; a file that cannot be read is one row with its error.
+def read_shapefiles(spark: SparkSession, root: str, bbox: tuple[float, float, float, float] | None = None, columns: list[str] | None = None, records: int = vector.RECORDS) -> DataFrame:
+    """Features of all shapefiles below a folder, read by ranges of records; a file or range that cannot be read is a row with its error.
 
-    Attributes are decoded as the ``.cpg`` file says; ``crs`` is the text of the ``.prj`` file, or null.
+    Attributes are decoded as the ``.cpg`` file says; ``crs`` is the text of the ``.prj`` file, or null.  With ``bbox`` only
+    features whose box meets it are decoded, with ``columns`` only those attributes.
     """
+    files = discover(spark, root, "*.shp")
+    if all(map(vector.reachable, files)):
+        return vector.load(spark, "shp", files, bbox, columns, records)
+    return vector.within(_whole_shapefiles(spark, root), bbox, columns)
+
+
+def _whole_shapefiles(spark: SparkSession, root: str) -> DataFrame:
+    """The same in stores that only Spark reaches: each file is loaded whole by one task."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{shp,dbf,cpg,prj}").load(root)
     stem, kind = F.regexp_replace("path", r"\.[^.]*$", ""), F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1))
     of = [F.max(F.when(F.col("kind") == k, F.col("content"))).alias(k) for k in ("shp", "dbf", "cpg", "prj")]
@@ -242,7 +146,17 @@ def read_shapefiles(spark: SparkSession, root: str) -> DataFrame:
     return pairs.mapInPandas(run, FEATURES)
 
 
-def read_geopackages(spark: SparkSession, root: str, layer: str | None = None) -> DataFrame:
+def read_geopackages(
+    spark: SparkSession, root: str, layer: str | None = None, bbox: tuple[float, float, float, float] | None = None, columns: list[str] | None = None, records: int = vector.RECORDS
+) -> DataFrame:
+    """Features of a layer (the first one) of all GeoPackages below a folder, read by ranges of row ids; otherwise as ``read_shapefiles``."""
+    files = discover(spark, root, "*.gpkg")
+    if all(map(vector.is_local, files)):
+        return vector.load(spark, "gpkg", files, bbox, columns, records, layer)
+    return vector.within(_whole_geopackages(spark, root, layer), bbox, columns)
+
+
+def _whole_geopackages(spark: SparkSession, root: str, layer: str | None = None) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gpkg").load(root).select("path", "content")
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,8 +190,9 @@ def read_workbook(data: bytes, sheet: str | None = None) -> list[list[str]]:
         cells: list[str] = []
         for c in row.iterfind("m:c", ns):
             column = 0
-            for letter in re.match("[A-Z]+", c.get("r")).group():
+            for letter in re.match("[A-Z]*", c.get("r", "")).group():
                 column = column * 26 + ord(letter) - 64
+            column = column or len(cells) + 1  # cells without a place follow one another
             value = c.findtext("m:v", "", ns)
             text = "".join(t.text or "" for t in c.iterfind(".//m:t", ns)) if c.get("t") == "inlineStr" else shared[int(value)] if c.get("t") == "s" else value
             cells += [""] * (column - 1 - len(cells)) + [text]

@@ -126,3 +126,18 @@ def test_point_on_border_and_overlap(spark):
 def test_keep_last_with_null_keys(spark):
     df = spark.createDataFrame([("a", 1, 1), ("a", 2, 1), (None, 1, 2), (None, 1, 1)], "k string, f int, r int")
     assert sorted((r["k"] or "", r["f"], r["r"]) for r in frames.keep_last(df, ["k"], ["f", "r"]).collect()) == [("", 1, 2), ("a", 2, 1)]
+
+
+def test_folding_equals_the_full_decomposition(spark):
+    """Every assigned code point, alone and between letters; and decomposed accents in words."""
+    import unicodedata
+
+    rows = [(chr(c),) for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) != "Cn"]
+    df = spark.createDataFrame(rows, "c string").repartition(4)
+    found = df.select("c", text.strip_accents(F.col("c")).alias("one"), text.strip_accents(F.concat(F.lit("é"), F.col("c"), F.lit("Ź"))).alias("three")).collect()
+    assert len(found) == len(rows) > 280_000
+    assert [r["c"] for r in found if r["one"] != text.strip_py(r["c"]) or r["three"] != text.strip_py("é" + r["c"] + "Ź")] == []
+    words = ["café lavandería", "ẽ Ｔ ﬁn", "각 ㎏ ½", "İstanbul ẞ ǆ", None, "plain"]
+    tokens = spark.createDataFrame([(w,) for w in words], "w string").select(text.tokens(F.col("w")).alias("t"), text.fold(F.col("w")).alias("f")).collect()
+    assert [r["t"] for r in tokens] == [text.tokens_py(w or "") for w in words] and tokens[0]["t"] == "cafe lavanderia"
+    assert [r["f"] for r in tokens] == [text.fold_py(w or "") for w in words]
