@@ -287,8 +287,8 @@ def spread_join(rows: DataFrame, keys: DataFrame, on: str, weight: str, total: i
     return rows.join(hot, on).unionByName(rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """``node, root``: connected components of ``u, v`` by alternating large-star and small-star rounds.
+def components(edges: DataFrame) -> DataFrame:
+    """``node, root``: connected components of ``u, v`` by alternating large-star and small-star rounds, until nothing changes.
 
     Each round's state is written to the shared folder; centres of large stars are joined by broadcast.
     """
@@ -297,7 +297,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     edges = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = state()
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
         large = spread_join(both, least, "u", "c", 2 * mark[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -311,8 +311,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError(f"components not settled after {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
