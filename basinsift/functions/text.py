@@ -213,10 +213,7 @@ def html_escape(col: Column) -> Column:
 
 def joined_once(parts: list[Column], suffix: Column) -> Column:
     """Parts without blanks and without those whose token text came before, then a suffix."""
-    kept, keys = [], [tokens(p) for p in parts]
-    for k, part in enumerate(parts):
-        fresh = F.trim(part) != ""
-        for earlier in range(k):
-            fresh = fresh & ((keys[earlier] != keys[k]) | (F.trim(parts[earlier]) == ""))
-        kept.append(F.when(fresh, F.trim(part)))
-    return F.trim(F.concat_ws(" ", *kept, suffix))
+    keyed = F.filter(F.transform(F.array(*parts), lambda p: F.struct(F.trim(p).alias("part"), tokens(p).alias("key"))), lambda e: e["part"] != "")
+    first = lambda all_parts: F.filter(all_parts, lambda e, k: ~F.exists(F.slice(all_parts, F.lit(1), k), lambda q: q["key"] == e["key"]))
+    kept = F.transform(let(keyed, first), lambda e: e["part"])
+    return F.trim(F.concat_ws(" ", kept, suffix))

@@ -150,7 +150,7 @@ def points_in_shapes(points: DataFrame, shapes: DataFrame, point_id: str, shape_
     """
     known = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
     spots = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    places = spots.filter(known("x") & known("y")).distinct()
+    places = materialize(spots.filter(known("x") & known("y")).distinct(), "places")
     split = splits(places, size)
     cells = refined(cover(shapes, shape_id, size, column), size, split)
     met = leaves(places, size, split).join(cells, ["level", "i", "j"])

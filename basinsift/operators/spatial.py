@@ -54,6 +54,7 @@ def nearest_distance(points: DataFrame, segments: DataFrame, id_col: str, cell:
     known = lambda *columns: reduce(and_, (c.isNotNull() & ~F.isnan(c) for c in columns))
     laid = materialize(segments.filter(known(*ends)).select("x1", "y1", "x2", "y2", F.inline(_cells_along(*ends, cell))), "laid")
     places = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter(known(F.col("x"), F.col("y"))).distinct()
+    places = materialize(places, "places")
     split = cover.splits(places, cell)
     distance = F.min(geo.segment_distance(F.col("x"), F.col("y"), *ends)).alias("distance")
     beside = F.expr("flatten(transform(sequence(i - 1, i + 1), i -> transform(sequence(j - 1, j + 1), j -> struct(i, j))))")
