@@ -3,8 +3,11 @@
 Tiles are those of the web Mercator grid: tile (z, x, y) is a rectangle of longitudes and latitudes.  A tile of at most
 ``most`` pieces is a leaf and holds them whole; one with more is an overview, in which pieces smaller than a cell (one of 64 x 64)
 are merged into points with their number, and larger ones are simplified; its pieces go on, clipped, to its four quarters.
-So every feature is in leaves, whatever their depth, and no tile of many small features grows with the table.  Each level
-is a Spark job over the pieces of overviews; nothing is collected.
+So every feature is in leaves, whatever their depth, and no tile of many small features grows with the table.
+
+Points are never clipped, so they don't descend: they are counted once in cells of the deepest level, the levels are worked
+out from these counts, and a point is joined to the level of its leaf.  For lines and areas each level is a Spark job over
+the pieces of overviews.  Nothing is collected.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from basinsift.functions import geo
 from basinsift.operators.borders import thinned
-from basinsift.operators.shared import map_lists, materialize
+from basinsift.operators.shared import join_spread, map_lists, materialize
 from basinsift.sources import sinks, vector
 
 #: Pieces of a leaf, cells of an overview along each axis, and the level that is not split any more.
@@ -140,33 +143,64 @@ def pyramid(features: DataFrame, most: int = MOST, deepest: int = DEEPEST) -> Da
     points = F.transform(shape["parts"], lambda part: F.array(part))  # each point is a piece
     each = F.when(shape["type"].contains("Point"), points).otherwise(F.array(shape["parts"]))
     pieces = rows.select("properties", F.when(shape["type"].contains("Point"), "Point").otherwise(shape["type"]).alias("kind"), F.explode(each).alias("parts"), F.lit(0).alias("z"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
+    # Where a point's cell is on the deepest level; coordinates beyond the grid descend like lines.
+    fine = deepest + CELLS.bit_length() - 1
+    vertex = F.get(F.get("parts", F.lit(0)), F.lit(0))
+    single = (F.col("kind") == "Point") & (F.size("parts") == 1) & (F.size(F.get("parts", F.lit(0))) == 1)
+    on_grid = single & F.expr(f"{tile_x('spot.x', '0')} >= 0D AND {tile_x('spot.x', '0')} < 1D AND {tile_y('spot.y', '0')} >= 0D AND {tile_y('spot.y', '0')} < 1D")
+    placed = {c: F.when(on_grid, F.expr(f"floor({of})")) for c, of in (("cx", tile_x("spot.x", str(fine))), ("cy", tile_y("spot.y", str(fine))))}
+    every = materialize(pieces.withColumn("spot", vertex).withColumns(placed), "pieces")
+    points, pieces = every.filter("cx IS NOT NULL"), every.filter("cx IS NULL").select(pieces.columns)
+    cells = materialize(points.groupBy("cx", "cy").agg(F.count("*").alias("n"), F.min(F.struct("spot.x", "spot.y")).alias("spot")), "cells")
+    n_cells, no_pieces = cells.count(), pieces.isEmpty()
     out: list[DataFrame] = []
+    settled: list[DataFrame] = []  # cells and the level of their leaf
     for level in range(deepest + 1):
-        pieces = materialize(map_lists(pieces, _clip, pieces.schema), "pieces")
-        crowded = pieces.groupBy("x", "y").count().filter(F.col("count") > (most if level < deepest else F.lit(2**62))).select("x", "y")
+        tile = {"x": F.shiftright("cx", fine - level), "y": F.shiftright("cy", fine - level)}
+        if level:
+            up = {"x": F.shiftright("cx", fine - level + 1), "y": F.shiftright("cy", fine - level + 1)}
+            spots = cells.withColumns(up).join(tiles, ["x", "y"], "left_semi").withColumns(tile)
+        else:
+            spots = cells.withColumns(tile)
+        counts = spots.groupBy("x", "y").agg(F.sum("n").alias("n"))
+        if not no_pieces:
+            pieces = materialize(map_lists(pieces, _clip, pieces.schema), "pieces")
+            counts = counts.unionByName(pieces.groupBy("x", "y").agg(F.count("*").alias("n"))).groupBy("x", "y").agg(F.sum("n").alias("n"))
+        crowded = counts.filter(F.col("n") > (most if level < deepest else F.lit(2**62))).select("x", "y")
         crowded = materialize(crowded, "crowded")
         n_crowded = crowded.count()
         tiles = F.broadcast(crowded) if n_crowded <= _BROADCAST_TILES else crowded
-        leaf = pieces.join(tiles, ["x", "y"], "left_anti") if n_crowded else pieces
-        out.append(leaf.select("z", "x", "y", F.lit(True).alias("leaf"), F.lit(1).cast("long").alias("n"), "kind", "parts", "properties"))
+        settled.append((spots.join(tiles, ["x", "y"], "left_anti") if n_crowded else spots).select("cx", "cy", F.lit(level).alias("__z")))
+        if not no_pieces:
+            leaf = pieces.join(tiles, ["x", "y"], "left_anti") if n_crowded else pieces
+            out.append(leaf.select("z", "x", "y", F.lit(True).alias("leaf"), F.lit(1).cast("long").alias("n"), "kind", "parts", "properties"))
         if not n_crowded:
             break
-        inner = materialize(pieces.join(tiles, ["x", "y"], "left_semi").select(pieces.columns), "inner")
-        boxed = inner.withColumn("box", geo.box(F.struct(F.col("kind").alias("type"), F.col("parts").alias("parts"))))
-        cell = [F.expr(f"floor({of} * {CELLS})") for of in (tile_x("box.minx", "z"), tile_x("box.maxx", "z"), tile_y("box.maxy", "z"), tile_y("box.miny", "z"))]
-        boxed = boxed.withColumns({"cx": cell[0], "cy": cell[2], "small": (cell[0] == cell[1]) & (cell[2] == cell[3])})
-        spot = F.get(F.get("parts", F.lit(0)), F.lit(0))
-        merged = boxed.filter("small").groupBy("z", "x", "y", "cx", "cy").agg(F.count("*").alias("n"), F.min(F.struct(spot["x"].alias("x"), spot["y"].alias("y"))).alias("spot"))
+        small = spots.join(tiles, ["x", "y"], "left_semi").withColumns({c: F.shiftright(c, deepest - level) for c in ("cx", "cy")})
+        small = small.select(F.lit(level).alias("z"), "x", "y", "cx", "cy", "n", "spot")
+        if not no_pieces:
+            inner = materialize(pieces.join(tiles, ["x", "y"], "left_semi").select(pieces.columns), "inner")
+            boxed = inner.withColumn("box", geo.box(F.struct(F.col("kind").alias("type"), F.col("parts").alias("parts"))))
+            cell = [F.expr(f"floor({of} * {CELLS})") for of in (tile_x("box.minx", "z"), tile_x("box.maxx", "z"), tile_y("box.maxy", "z"), tile_y("box.miny", "z"))]
+            boxed = boxed.withColumns({"cx": cell[0], "cy": cell[2], "small": (cell[0] == cell[1]) & (cell[2] == cell[3])})
+            small = small.unionByName(boxed.filter("small").select("z", "x", "y", "cx", "cy", F.lit(1).cast("long").alias("n"), F.struct(vertex["x"].alias("x"), vertex["y"].alias("y")).alias("spot")))
+        merged = small.groupBy("z", "x", "y", "cx", "cy").agg(F.sum("n").alias("n"), F.min("spot").alias("spot"))
         merged = merged.select("z", "x", "y", F.lit(False).alias("leaf"), "n", F.lit("Point").alias("kind"), F.array(F.array("spot")).alias("parts"), F.to_json(F.struct("n")).alias("properties"))
+        out.append(merged)
+        if no_pieces:
+            continue
         large = map_lists(boxed.filter("NOT small").select(pieces.columns), _simplify, pieces.schema)
-        out += [merged, large.select("z", "x", "y", F.lit(False).alias("leaf"), F.lit(1).cast("long").alias("n"), "kind", "parts", "properties")]
+        out.append(large.select("z", "x", "y", F.lit(False).alias("leaf"), F.lit(1).cast("long").alias("n"), "kind", "parts", "properties"))
         # Quarters that the piece's box meets.
         axis = lambda low, high, own: f"sequence(greatest(2 * {own}, floor({low})), least(2 * {own} + 1, floor({high})))"
         xs, ys = axis(tile_x("box.minx", "z + 1"), tile_x("box.maxx", "z + 1"), "x"), axis(tile_y("box.maxy", "z + 1"), tile_y("box.miny", "z + 1"), "y")
         inside = f"greatest(2 * x, floor({tile_x('box.minx', 'z + 1')})) <= 2 * x + 1 AND least(2 * x + 1, floor({tile_x('box.maxx', 'z + 1')})) >= 2 * x AND greatest(2 * y, floor({tile_y('box.maxy', 'z + 1')})) <= 2 * y + 1 AND least(2 * y + 1, floor({tile_y('box.miny', 'z + 1')})) >= 2 * y"
         quarters = F.expr(f"if({inside}, flatten(transform({xs}, i -> transform({ys}, j -> struct(i, j)))), array(struct(2 * x AS i, 2 * y AS j)))")
         pieces = boxed.select("properties", "kind", "parts", (F.col("z") + 1).alias("z"), F.inline(quarters)).select("properties", "kind", "parts", "z", F.col("i").alias("x"), F.col("j").alias("y"))
-    tiles = reduce(DataFrame.unionByName, out)
+    level_of = materialize(reduce(DataFrame.unionByName, settled), "levels")
+    leaf = points.join(F.broadcast(level_of), ["cx", "cy"]) if n_cells <= _BROADCAST_TILES else join_spread(points, level_of, ["cx", "cy"], "inner")
+    leaf = leaf.select(F.col("__z").alias("z"), F.expr(f"shiftright(cx, {fine} - __z)").alias("x"), F.expr(f"shiftright(cy, {fine} - __z)").alias("y"), F.lit(True).alias("leaf"), F.lit(1).cast("long").alias("n"), "kind", "parts", "properties")
+    tiles = reduce(DataFrame.unionByName, [leaf, *out])
     # A clipped line or polygon may have come apart.
     kind = F.when(F.col("kind").contains("Polygon"), "MultiPolygon").when(F.col("kind").contains("Line"), "MultiLineString").otherwise("Point")
     whole = F.struct(kind.alias("type"), F.col("parts").alias("parts"))

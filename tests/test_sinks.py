@@ -129,3 +129,20 @@ def test_map_folder(spark, tmp_path):
     page = (tmp_path / "mapa" / "index.html").read_text()
     assert "Puntos &amp; más" in page and "function tile" in page
     assert tiles.write_map(spark, df.limit(0), str(tmp_path / "nada"), "Nada").count() == 0 and "Sin registros" in (tmp_path / "nada" / "index.html").read_text()
+
+
+def test_points_of_one_place_are_written_once_however_deep_their_tile(spark, monkeypatch):
+    written, keep = [], tiles.materialize
+
+    def counted(df, name):
+        out = keep(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(tiles, "materialize", counted)
+    rows = [(k, "p", ("Point", [[(-99.2, 19.1)]])) for k in range(300)] + [(300, "short", ("LineString", [[(-99.2, 19.1), (-99.2, 19.1000001)]]))]
+    made = tiles.pyramid(spark.createDataFrame(rows, SHAPE), most=10, deepest=12).collect()
+    assert sum(written) < 2 * len(rows)
+    leaves = [r for r in made if r["leaf"]]
+    assert {r["z"] for r in leaves} == {12} and {json.loads(r["feature"])["properties"]["id"] for r in leaves} == {r[0] for r in rows}
+    assert sorted((r["z"], r["n"]) for r in made if not r["leaf"]) == [(z, 301) for z in range(12)]
