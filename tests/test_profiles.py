@@ -47,3 +47,13 @@ def test_layer_profile_of_odd_layers(spark):
     assert (got["c.shp"]["n_features"], got["c.shp"]["geometry_types"], got["c.shp"]["error"]) == (0, [], "OSError: none")
     assert got[None]["n_features"] == 1 and got[None]["geometry_types"] == ["Polygon"] and got[None]["bounds"]["minx"] is None
     assert profiles.layer_profile(spark.createDataFrame([], FEATURE)).count() == 0
+
+
+def test_a_row_is_counted_once_in_a_round_however_many_ranks(spark, monkeypatch):
+    plans, frame = [], type(spark.range(1))
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: plans.append(df._jdf.queryExecution().toString()) or collect(df))
+    df = spark.range(50_001).selectExpr("id * id AS v")
+    ranks = range(0, 50_001, 2500)
+    assert quantiles.at_ranks(df, "v", list(ranks)) == {k: float(k * k) for k in ranks}
+    assert len(plans) > 1 and not any("Generate" in p for p in plans)
