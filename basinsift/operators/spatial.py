@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from operator import and_
@@ -21,6 +22,8 @@ from basinsift.operators.shared import SPREAD_ROWS, fresh, join_spread, material
 FANOUT, TOP_CELLS = 4, 64
 #: Half a diagonal of a unit square, rounded up.
 HALF = 0.7072
+#: Pairs of places and segments that need no finer cells; work of laying a segment in a cell and of a place's descent, in pairs.
+FEW_PAIRS, LAID, DESCENT = 2**24, 20, 500
 
 
 def _cells(low_x: Column, low_y: Column, high_x: Column, high_y: Column, size: float) -> Column:
@@ -46,15 +49,17 @@ def nearest_distance(points: DataFrame, segments: DataFrame, id_col: str, cell:
     """``id, distance`` of each point (``x, y``) to the nearest segment (``x1, y1, x2, y2``), exact.
 
     A row for each point; the distance is null for points without coordinates, and without segments.
-    Places meet the segments of their cell and its neighbours, in a quadtree whose cells hold a bounded number of places; a
-    distance up to the cell's size is final.  The others descend through levels of occupied cells, keeping those that may
-    hold the nearest segment.
+    Equal segments count once, and the cells are halved where segments are dense.  Places meet the segments of their cell and
+    its neighbours, in a quadtree whose cells hold a bounded number of places; a distance up to the cell's size is final.  The
+    others descend through levels of occupied cells, keeping those that may hold the nearest segment.
     """
     ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
     known = lambda *columns: reduce(and_, (c.isNotNull() & ~F.isnan(c) for c in columns))
-    laid = materialize(segments.filter(known(*ends)).select("x1", "y1", "x2", "y2", F.inline(_cells_along(*ends, cell))), "laid")
+    lines = materialize(segments.filter(known(*ends)).select("x1", "y1", "x2", "y2").distinct(), "lines")
     places = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter(known(F.col("x"), F.col("y"))).distinct()
     places = materialize(places, "places")
+    cell = _halved(places, lines, cell)
+    laid = materialize(lines.select("x1", "y1", "x2", "y2", F.inline(_cells_along(*ends, cell))), "laid")
     split = cover.splits(places, cell)
     distance = F.min(geo.segment_distance(F.col("x"), F.col("y"), *ends)).alias("distance")
     beside = F.expr("flatten(transform(sequence(i - 1, i + 1), i -> transform(sequence(j - 1, j + 1), j -> struct(i, j))))")
@@ -70,6 +75,23 @@ def nearest_distance(points: DataFrame, segments: DataFrame, id_col: str, cell:
     return join_spread(placed, found, ["x", "y"]).select(id_col, "distance")
 
 
+def _halved(places: DataFrame, lines: DataFrame, cell: float) -> float:
+    """The cell size at which the work is least, counted at one size after the other: pairs that meet, laid segments, places to descend."""
+    if 9 * places.count() * lines.count() <= FEW_PAIRS:
+        return cell
+    ends, best = [F.col(c) for c in ("x1", "y1", "x2", "y2")], math.inf
+    for halvings in range(cover.DEEPEST):
+        size = cell / 2**halvings
+        laid = lines.select(F.inline(_cells_along(*ends, size))).groupBy("i", "j").agg(F.count("*").cast("double").alias("s"))
+        spots = places.groupBy(F.floor(F.col("x") / size).alias("i"), F.floor(F.col("y") / size).alias("j")).agg(F.count("*").cast("double").alias("p"))
+        work = F.coalesce(F.sum(9 * F.col("p") * F.col("s")), F.lit(0.0)) + LAID * F.coalesce(F.sum("s"), F.lit(0.0)) + DESCENT * F.coalesce(F.sum(F.when(F.col("s").isNull(), F.col("p"))), F.lit(0.0))
+        now = spots.join(laid, ["i", "j"], "full").agg(work).first()[0]
+        if now > 0.8 * best:
+            return 2 * size
+        best = now
+    return size
+
+
 def _laid_finer(laid: DataFrame, cell: float, split: list[DataFrame]) -> DataFrame:
     """Segments by ``level, i, j``: all of them in the first level's cells, and in the finer cells in and beside split ones."""
     out = last = laid.withColumn("level", F.lit(0))

@@ -120,3 +120,38 @@ def test_row_numbers_are_whole(spark):
     df = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("k"))
     got = {r["k"]: r["row_id"] for r in frames.with_row_number(df, ["k"]).collect()}
     assert got == {k: k + 1 for k in range(5000)}
+
+
+def test_nearest_distance_among_dense_and_repeated_segments(spark, monkeypatch):
+    laid, keep = [], spatial.materialize
+
+    def counted(df, name):
+        out = keep(df, name)
+        if name == "laid":
+            laid.append(out.count())
+        return out
+
+    rng = np.random.default_rng(5)
+    lines = [tuple(map(float, r)) for r in rng.uniform(0, 1000, (300, 4))] + [(2000.0, 2000.0, 2000.0, 2000.0)]
+    spots = [(k, *map(float, rng.uniform(-200, 1400, 2))) for k in range(150)] + [(150, 2000.5, 2000.0), (151, None, 3.0)]
+    x1, y1, x2, y2 = np.array(lines).T
+    want = {}
+    for k, x, y in spots[:-1]:
+        dx, dy = x2 - x1, y2 - y1
+        t = np.clip(((x - x1) * dx + (y - y1) * dy) / np.where(dx * dx + dy * dy == 0, 1, dx * dx + dy * dy), 0, 1)
+        want[k] = float(np.hypot(x - x1 - t * dx, y - y1 - t * dy).min())
+    monkeypatch.setattr(spatial, "materialize", counted)
+    points = spark.createDataFrame(spots, "id int, x double, y double")
+    for copies, few in ((1, 2**24), (20, 2**24), (20, 0)):
+        monkeypatch.setattr(spatial, "FEW_PAIRS", few)
+        df = spark.createDataFrame(lines * copies, "x1 double, y1 double, x2 double, y2 double")
+        got = dict(spatial.nearest_distance(points, df, "id", 512.0, 4000.0).collect())
+        assert got.pop(151) is None and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    assert laid[0] == laid[1]  # copies are laid once
+
+
+def test_cells_are_halved_where_segments_are_dense(spark):
+    places = spark.range(20_000).selectExpr("CAST(id % 200 AS double) * 5 AS x", "CAST(id div 200 AS double) * 10 AS y")
+    lines = spark.range(2000).selectExpr("CAST(id % 50 AS double) * 20 AS x1", "CAST(id div 50 AS double) * 25 AS y1").selectExpr("x1", "y1", "x1 + 3 AS x2", "y1 AS y2")
+    assert spatial._halved(places, lines, 1000.0) < 500.0
+    assert spatial._halved(places.limit(10), lines, 1000.0) == 1000.0
