@@ -35,6 +35,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly to as many tasks as the session shuffles to or runs at once; for work that is long beside the size of its rows."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def map_lists(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str | StructType) -> DataFrame:
     """Maps batches, given and returned as lists by column name; nested values are lists and dicts."""
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from basinsift.functions import geo, rings
 from basinsift.operators import borders, cover
-from basinsift.operators.shared import SPREAD_ROWS, fresh, join_spread, materialize
+from basinsift.operators.shared import SPREAD_ROWS, dealt, fresh, join_spread, materialize
 
 
 #: Cells of one level that meet in a cell of the next, along each axis, and cells of the top level.
@@ -177,10 +177,11 @@ def repair(df: DataFrame, column: str = "geometry") -> DataFrame:
     """Rows whose geometry holds something: repeated vertices gone, rings closed, and polygons valid.
 
     Polygons are made valid by ``rings.make_valid``, one feature at a time; single triangles, which are valid, and others than
-    polygons are left to the native steps.
+    polygons are left to the native steps.  Features are small beside the work on them, so few input files may hold very many:
+    they are dealt out to all tasks first.
     """
     shape = F.col(column)
-    df = df.withColumn(column, geo.repaired(shape)).filter(shape.isNotNull())
+    df = dealt(df).withColumn(column, geo.repaired(shape)).filter(shape.isNotNull())
     one = F.get(shape["parts"], F.lit(0))
     triangle = (F.size(shape["parts"]) == 1) & (F.size(one) <= 4) & (geo.ring_area(one) != 0)
     names, nested = df.columns, fresh(df.columns, "nested")

@@ -155,3 +155,12 @@ def test_cells_are_halved_where_segments_are_dense(spark):
     lines = spark.range(2000).selectExpr("CAST(id % 50 AS double) * 20 AS x1", "CAST(id div 50 AS double) * 25 AS y1").selectExpr("x1", "y1", "x1 + 3 AS x2", "y1 AS y2")
     assert spatial._halved(places, lines, 1000.0) < 500.0
     assert spatial._halved(places.limit(10), lines, 1000.0) == 1000.0
+
+
+def test_features_of_one_file_are_repaired_by_all_tasks(spark):
+    bow = "named_struct('type', 'Polygon', 'parts', array(array(struct(0D AS x, 0D AS y), struct(2D AS x, 2D AS y), struct(2D AS x, 0D AS y), struct(0D AS x, 2D AS y), struct(0D AS x, 0D AS y))))"
+    df = spark.range(400).coalesce(1).selectExpr("id", f"{bow} AS geometry")
+    fixed = spatial.repair(df).select("id", F.size("geometry.parts").alias("n"), F.spark_partition_id().alias("task")).collect()
+    assert sorted((r["id"], r["n"]) for r in fixed) == [(k, 2) for k in range(400)]
+    per_task = [sum(r["task"] == t for r in fixed) for t in range(4)]
+    assert sum(per_task) == 400 and min(per_task) > 50
