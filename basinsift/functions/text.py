@@ -49,11 +49,12 @@ def _ranges(codes: Iterable[int]) -> str:
 
 
 @cache
-def _classes() -> tuple[str, str]:
-    """Patterns of what the small table can't do, and of what becomes several characters."""
+def _classes() -> tuple[str, str, str]:
+    """Patterns of what the small table can't do, of what becomes several characters, and of one such or a run of others; ASCII is tested first."""
     several = [ord(c) for c, base in _decompositions().items() if len(base) > 1]
     beyond = _ranges([c for c in several if c < _LATIN_END]) + f"\\x{{{_LATIN_END:x}}}-\\x{{10ffff}}"
-    return f"[{beyond}]", f"[{_ranges([*several, *range(_SYLLABLES[0], _SYLLABLES[1] + 1)])}]"
+    longer = _ranges([*several, *range(_SYLLABLES[0], _SYLLABLES[1] + 1)])
+    return f"[{beyond}]", f"[\\x{{80}}-\\x{{10ffff}}&&[{longer}]]", f"[\\x00-\\x7f[^{longer}]]+|[{longer}]"
 
 
 @cache
@@ -66,7 +67,7 @@ def _pages() -> tuple[str, str]:
 
 
 def _expanded(text: Column) -> Column:
-    """Each character that becomes several, replaced."""
+    """Each character that becomes several, replaced; what lies between two of them is one piece."""
     numbers, strings = (F.lit(x) for x in _pages())
     run = lambda first, n: F.lit("".join(chr(first + k) for k in range(n)))
 
@@ -82,7 +83,7 @@ def _expanded(text: Column) -> Column:
         found = F.nullif(F.get(F.split(strings, "\x01"), page * 256 + code.bitwiseAND(F.lit(255))), F.lit(""))
         return F.when(code < 0x80, c).when(code.between(*_SYLLABLES), syllable(code)).otherwise(F.coalesce(found, c))
 
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), piece), "")
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_classes()[2]), F.lit(0)), piece), "")
 
 
 def strip_accents(col: Column) -> Column:

@@ -141,3 +141,12 @@ def test_folding_equals_the_full_decomposition(spark):
     tokens = spark.createDataFrame([(w,) for w in words], "w string").select(text.tokens(F.col("w")).alias("t"), text.fold(F.col("w")).alias("f")).collect()
     assert [r["t"] for r in tokens] == [text.tokens_py(w or "") for w in words] and tokens[0]["t"] == "cafe lavanderia"
     assert [r["f"] for r in tokens] == [text.fold_py(w or "") for w in words]
+
+
+def test_a_long_text_is_folded_in_runs(spark):
+    long = "x" * 1000 + "ﬁ" + "е́\n\x01" * 1000 + "각\U0001d431" + "z" * 1000
+    odd = [long, "ﬁﬁ", "ﬁ", "\nﬁ\r\nﬁ ", "́각\U0001f600ﷺ[^]&&-\\", ""]
+    pieces, value = F.regexp_extract_all("s", F.lit(text._classes()[2]), F.lit(0)), text.strip_accents(F.col("s"))
+    rows = spark.createDataFrame([(s,) for s in odd], "s string").select("s", pieces.alias("pieces"), value.alias("plain")).collect()
+    assert [len(r["pieces"]) for r in rows if r["s"] == long] == [5]  # each character was one before
+    assert all("".join(r["pieces"]) == r["s"] and r["plain"] == text.strip_py(r["s"]) for r in rows)
